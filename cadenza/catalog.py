@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import text
 from cadenza.functions.time import timestamp_to_text
 from cadenza.operators import (
-    answers, assistant, attribution, changes, decode, enrich, geocode, user_log, windows,
+    answers, assistant, attribution, boards, changes, decode, enrich, geocode, user_log, windows,
 )
 from cadenza.plans import heat, regions
 from cadenza.plans import stand_ins as S
@@ -173,6 +173,19 @@ def song_hot_latest_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def serving_top_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The read over a serving table: rows of the greatest window end, best first."""
+    stats = heat.song_heat(_plays(spark, sf_dir), _songs(spark, sf_dir), "1 day")
+    return boards.top_songs(windows.to_serving(stats, "dm_song_hot_10s"))
+
+
+@query
+def serving_top_singers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = heat.singer_heat(_plays(spark, sf_dir), _songs(spark, sf_dir), "1 day")
+    return boards.top_singers(windows.to_serving(stats, "dm_singer_hot_10s"))
+
+
 @query
 def singer_hot_latest_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heat.latest_top_singers(
@@ -541,8 +554,8 @@ def intent_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _boards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     plays, songs = _plays(spark, sf_dir), _songs(spark, sf_dir)
     return (
-        windows.to_serving(heat.song_heat(plays, songs, "1 day"), "dm_song_hot_10s"),
-        windows.to_serving(heat.singer_heat(plays, songs, "1 day"), "dm_singer_hot_10s"),
+        heat.latest_top_songs(plays, songs, length="1 day"),
+        heat.latest_top_singers(plays, songs, length="1 day"),
     )
 
 
@@ -590,8 +603,8 @@ def ods_response_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def serving_window_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Serving rows with their bounds back as text, as the read side shows them."""
-    songs, _ = _boards(spark, sf_dir)
-    return songs.select(
+    stats = heat.song_heat(_plays(spark, sf_dir), _songs(spark, sf_dir), "1 day")
+    return windows.to_serving(stats, "dm_song_hot_10s").select(
         timestamp_to_text(F.col("window_start")).alias("window_start"),
         timestamp_to_text(F.col("window_end")).alias("window_end"),
         "song_id", "song_name", "play_count",

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from cadenza import fixed_values as V
 from cadenza.functions import questions as Q
+from cadenza.functions.once import evaluated_once
 from cadenza.functions.text import has_text
-from cadenza.operators.boards import top_singers, top_songs
 
 
 def query_request_reason() -> Column:
@@ -50,10 +50,10 @@ def classify(
 
 
 def _ranked(board: DataFrame, *columns: str) -> Column:
-    """A board of at most ``MAX_ANSWER_ROWS`` rows as one array, best first."""
-    tie = columns[0]
-    rows = F.array_agg(F.struct((-F.col("playCount")).alias("_r"), F.col(tie).alias("_t"), *columns))
-    return board.agg(F.array_sort(rows)).scalar()
+    """The best ``MAX_ANSWER_ROWS`` rows of a board as one array, best first."""
+    rank = (-F.col("playCount")).alias("rank")
+    top = board.orderBy(rank, *columns).limit(V.MAX_ANSWER_ROWS)
+    return top.agg(F.array_sort(F.array_agg(F.struct(rank, *columns)))).scalar()
 
 
 def _sentence(parts: tuple[str, str, str], names: Column) -> Column:
@@ -69,21 +69,21 @@ def answer(
     song_board: DataFrame,
     singer_board: DataFrame,
 ) -> DataFrame:
-    """Answer each classified question from the two serving tables.
+    """Answer each classified question from the two boards (see ``boards``).
 
-    The newest window is ranked once; the best ``MAX_ANSWER_ROWS`` rows become one
-    value that every question slices by its own limit, so questions are neither
-    shuffled nor joined.  Adds ``answerText, success, responseSource,
+    The best ``MAX_ANSWER_ROWS`` rows of each become one value that every question
+    slices by its own limit, so questions are neither shuffled nor joined.  Adds ``answerText, success, responseSource,
     resultSongIds, resultSingerNames``.
     """
-    songs = _ranked(top_songs(song_board, V.MAX_ANSWER_ROWS), "songId", "songName")
-    singers = _ranked(top_singers(singer_board, V.MAX_ANSWER_ROWS), "singerInfo")
+    songs = _ranked(song_board, "songId", "songName")
+    singers = _ranked(singer_board, "singerInfo")
     limit = F.col("rowLimit")
-    with_rows = classified.withColumns({"_songs": songs, "_singers": singers}).withColumns(
+    with_rows = evaluated_once(
+        classified,
         {
-            "_songs": F.slice("_songs", F.lit(1), limit),
-            "_singers": F.slice("_singers", F.lit(1), limit),
-        }
+            "_songs": F.slice(songs, F.lit(1), limit),
+            "_singers": F.slice(singers, F.lit(1), limit),
+        },
     )
 
     asks_song = F.col("intentType") == V.HOT_SONG_QUERY

@@ -9,6 +9,7 @@ from cadenza.fixed_values import AI_FEEDBACK, AI_QUERY, AI_RESPONSE
 from cadenza.functions.json import (
     as_boolean, as_long, is_bad_number, is_object, parse_object, string_list,
 )
+from cadenza.functions.once import evaluated_once
 from cadenza.functions.text import has_text, trim_all
 
 _TEXT_FIELDS = ("eventId", "eventType", "eventTime", "requestId", "sessionId")
@@ -42,13 +43,14 @@ def route_of(event_type: Column) -> Column:
 
 def split_assistant_log(messages: DataFrame, value: str = "value") -> DataFrame:
     """Add ``ev``, ``route`` and ``reason`` (NULL for rows that go on)."""
-    parsed = messages.withColumn("ev", parse_object(F.col(value), _ENVELOPE_FIELDS))
-    return parsed.withColumn("route", route_of(F.col("ev.eventType"))).withColumn(
-        "reason",
+    parsed = evaluated_once(messages, {"ev": parse_object(F.col(value), _ENVELOPE_FIELDS)})
+    route = route_of(F.col("ev.eventType"))
+    reason = (
         F.when(~is_valid_envelope(), "invalid envelope")
-        .when(F.col("route") == UNKNOWN, "unknown event type")
-        .when(is_bad_number(F.col("ev.userId")), "bad user id"),
+        .when(route == UNKNOWN, "unknown event type")
+        .when(is_bad_number(F.col("ev.userId")), "bad user id")
     )
+    return evaluated_once(parsed, {"route": route, "reason": reason})
 
 
 def quarantined(split: DataFrame, value: str = "value") -> DataFrame:
@@ -57,11 +59,13 @@ def quarantined(split: DataFrame, value: str = "value") -> DataFrame:
 
 def _branch(split: DataFrame, route: str, fields: tuple[str, ...]) -> DataFrame:
     rows = split.filter((F.col("route") == route) & F.col("reason").isNull())
-    return rows.select(
+    flat = rows.select(
         *[F.col("ev")[name].alias(name) for name in _TEXT_FIELDS],
         as_long(F.col("ev.userId")).alias("userId"),
-        parse_object(F.col("ev.payload"), fields).alias("payload"),
-    ).select(*_TEXT_FIELDS, "userId", "payload.*")
+        F.col("ev.payload").alias("payload"),
+    )
+    parsed = evaluated_once(flat, {"payload": parse_object(F.col("payload"), fields)})
+    return parsed.select(*_TEXT_FIELDS, "userId", "payload.*")
 
 
 def query_branch(split: DataFrame) -> DataFrame:
@@ -89,11 +93,12 @@ def valid_responses(responses: DataFrame) -> DataFrame:
 
 def widen_responses(responses: DataFrame) -> DataFrame:
     """Add size, presence and first element of both result lists."""
-    with_lists = valid_responses(responses).withColumns(
+    with_lists = evaluated_once(
+        valid_responses(responses),
         {
             "_songs": string_list(trim_all("resultSongIds")),
             "_singers": string_list(trim_all("resultSingerNames")),
-        }
+        },
     )
     return with_lists.withColumns(
         {

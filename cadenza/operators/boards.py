@@ -18,11 +18,10 @@ def newest_window(serving: DataFrame) -> DataFrame:
     return serving.filter(F.col("window_end") == newest)
 
 
-def _top(serving: DataFrame, names: dict[str, str], rows: int) -> DataFrame:
+def best(serving: DataFrame, names: dict[str, str], rows: int = BOARD_SIZE) -> DataFrame:
     """Most played first, ties by key; planned as one top-k per task and a merge."""
     order: list[Column] = [F.col("play_count").desc(), *[F.col(c) for c in names]]
-    best = newest_window(serving).orderBy(*order).limit(rows)
-    return best.select(
+    return serving.orderBy(*order).limit(rows).select(
         timestamp_to_text(F.col("window_start")).alias("windowStart"),
         timestamp_to_text(F.col("window_end")).alias("windowEnd"),
         *[F.col(s).alias(t) for s, t in names.items()],
@@ -31,8 +30,8 @@ def _top(serving: DataFrame, names: dict[str, str], rows: int) -> DataFrame:
 
 
 def top_songs(serving: DataFrame, rows: int = BOARD_SIZE) -> DataFrame:
-    return _top(serving, SONG_BOARD, rows)
+    return best(newest_window(serving), SONG_BOARD, rows)
 
 
 def top_singers(serving: DataFrame, rows: int = BOARD_SIZE) -> DataFrame:
-    return _top(serving, SINGER_BOARD, rows)
+    return best(newest_window(serving), SINGER_BOARD, rows)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from cadenza.fixed_values import DELETE_TYPE, UPSERT_TYPES
 from cadenza.functions import text
+from cadenza.functions.once import evaluated_once
 
 _ENVELOPE = T.StructType(
     [
@@ -46,7 +47,7 @@ def parse_changes(messages: DataFrame, value: str = "value") -> DataFrame:
     dropped; :func:`without_data` shows them.
     """
     keep = [c for c in messages.columns if c != value]
-    parsed = messages.select(*keep, F.from_json(F.col(value), _ENVELOPE).alias("m"))
+    parsed = evaluated_once(messages, {"m": F.from_json(F.col(value), _ENVELOPE)})
     return parsed.filter(F.col("m.data").isNotNull()).select(*keep, "m.*")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.json import as_int, as_long, parse_object
+from cadenza.functions.once import evaluated_once
 
 SONG_COLUMNS = {
     "name": "songName",
@@ -44,7 +45,7 @@ _CONSUME_FIELDS = (
 
 def parse_consume(messages: DataFrame, value: str = "value") -> DataFrame:
     """Consume rows out of routed change messages."""
-    row = messages.select(parse_object(F.col(value), _CONSUME_FIELDS).alias("r"))
+    row = evaluated_once(messages, {"r": parse_object(F.col(value), _CONSUME_FIELDS)})
     return row.select(
         as_long(F.col("r.id")).alias("id"),
         as_long(F.col("r.mid")).alias("mid"),

@@ -13,6 +13,7 @@ from cadenza.fixed_values import (
     GEOCODE_BATCH_SIZE, GEOCODE_OK_INFOCODE, GEOCODE_OK_STATUS,
 )
 from cadenza.functions.json import parse_object
+from cadenza.functions.once import evaluated_once
 from cadenza.functions.text import location_key, region_city, region_province
 from cadenza.operators.enrich import valid_logins
 
@@ -29,10 +30,14 @@ def answer_entries(answer: Column) -> Column:
     return F.when(accepted, F.from_json(top["regeocodes"], "array<string>"))
 
 
-def region_of_entry(entry: Column) -> list[Column]:
-    """``province, city, district, adcode`` of one entry."""
+def parse_entry(entry: Column) -> Column:
+    """Address of one entry as text fields."""
     address = parse_object(entry, ("addressComponent",)).getField("addressComponent")
-    raw = parse_object(address, _PARTS)
+    return parse_object(address, _PARTS)
+
+
+def region_columns(raw: Column) -> list[Column]:
+    """``province, city, district, adcode`` out of :func:`parse_entry`."""
     return [
         region_province(raw["province"]).alias("province"),
         region_city(raw["city"], raw["province"]).alias("city"),
@@ -54,7 +59,8 @@ def zip_answers(
     )
     both = F.filter(pairs, lambda p: p["point"].isNotNull() & p["entry"].isNotNull())
     rows = batches.select(*keep, F.inline(both))
-    return rows.select(*keep, "point", *region_of_entry(F.col("entry")))
+    parsed = evaluated_once(rows, {"entry": parse_entry(F.col("entry"))})
+    return parsed.select(*keep, "point", *region_columns(F.col("entry")))
 
 
 def resolve_regions(
@@ -93,6 +99,7 @@ def resolve_regions(
             yield frame.assign(_entry=pd.Series(entries, index=frame.index, dtype=object))
 
     asked = facts.mapInPandas(ask, schema)
-    return asked.select(
-        *[c for c in facts.columns if c != "_key"], *region_of_entry(F.col("_entry"))
+    parsed = evaluated_once(asked, {"_entry": parse_entry(F.col("_entry"))})
+    return parsed.select(
+        *[c for c in facts.columns if c != "_key"], *region_columns(F.col("_entry"))
     )

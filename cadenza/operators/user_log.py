@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.fixed_values import LOGIN_EVENT, SONG_EVENT
 from cadenza.functions.json import as_int, as_long, is_bad_number, parse_object
+from cadenza.functions.once import evaluated_once
 from cadenza.functions.time import date_of_millis, hour_of_millis, seconds_to_millis
 
 _EVENT_FIELDS = (
@@ -23,8 +24,10 @@ OTHER_ROUTES = (PAUSE, SKIP, OTHER)
 
 def parse_user_log(events: DataFrame, event: str = "event") -> DataFrame:
     """Add ``ev`` and ``content``, the event and its nested object as text fields."""
-    parsed = events.withColumn("ev", parse_object(F.col(event), _EVENT_FIELDS))
-    return parsed.withColumn("content", parse_object(F.col("ev.event_content"), _CONTENT_FIELDS))
+    parsed = evaluated_once(events, {"ev": parse_object(F.col(event), _EVENT_FIELDS)})
+    return evaluated_once(
+        parsed, {"content": parse_object(F.col("ev.event_content"), _CONTENT_FIELDS)}
+    )
 
 
 def is_song_event() -> Column:

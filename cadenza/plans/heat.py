@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.fixed_values import BOARD_SIZE, WINDOW_LENGTH
-from cadenza.operators.boards import top_singers, top_songs
+from cadenza.operators.boards import SINGER_BOARD, SONG_BOARD, best
 from cadenza.operators.enrich import add_song
 from cadenza.operators.windows import EVENT_TIME, play_times, to_serving, window_bounds
 
@@ -38,12 +38,13 @@ def singer_heat(plays: DataFrame, songs: DataFrame, length: str = WINDOW_LENGTH)
 
 
 def _newest_plays(
-    plays: DataFrame, songs: DataFrame, column: str, condition: str, length: str
+    plays: DataFrame, songs: DataFrame, condition: str, length: str
 ) -> DataFrame:
     """Plays of the newest window that reaches the serving table.
 
     Only ``timestamp`` and ``songId`` are read to find it, and everything older
-    is filtered out before any aggregation.
+    is filtered out before any aggregation.  A later window holds only plays without
+    a dimension row, which never reach the serving table.
     """
     served = play_times(plays).join(
         songs.filter(f"source_id != '' and {condition}").select(
@@ -62,12 +63,14 @@ def latest_top_songs(
     plays: DataFrame, songs: DataFrame, rows: int = BOARD_SIZE, length: str = WINDOW_LENGTH
 ) -> DataFrame:
     """Top songs of the newest served window straight from the play log."""
-    newest = _newest_plays(plays, songs, "songName", "name is not null", length)
-    return top_songs(to_serving(song_heat(newest, songs, length), "dm_song_hot_10s"), rows)
+    newest = _newest_plays(plays, songs, "name is not null", length)
+    served = to_serving(song_heat(newest, songs, length), "dm_song_hot_10s")
+    return best(served, SONG_BOARD, rows)
 
 
 def latest_top_singers(
     plays: DataFrame, songs: DataFrame, rows: int = BOARD_SIZE, length: str = WINDOW_LENGTH
 ) -> DataFrame:
-    newest = _newest_plays(plays, songs, "singerInfo", "singer_info != ''", length)
-    return top_singers(to_serving(singer_heat(newest, songs, length), "dm_singer_hot_10s"), rows)
+    newest = _newest_plays(plays, songs, "singer_info != ''", length)
+    served = to_serving(singer_heat(newest, songs, length), "dm_singer_hot_10s")
+    return best(served, SINGER_BOARD, rows)
