@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cadenza.functions.once import evaluated_once
 
 
 def _elements(value: Column) -> Column:
@@ -38,3 +41,13 @@ def encode_events(batches: DataFrame, events: str = "events", out: str = "value"
 def to_json_value(df: DataFrame) -> DataFrame:
     """Whole row as one JSON text column ``value`` (absent fields are left out)."""
     return df.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def parse_records(messages: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
+    """JSON text as typed columns; a narrow ``schema`` reads only those fields.
+
+    Text that is no JSON object gives a row of NULLs, which the next validity
+    filter removes.
+    """
+    parsed = evaluated_once(messages, {"r": F.from_json(F.col(value), schema)})
+    return parsed.select("r.*")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -49,17 +48,27 @@ def build_session(
     return builder.getOrCreate()
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
+def configured_dir(spark: SparkSession) -> str | None:
+    """The folder the cluster names in ``spark.checkpoint.dir``, if it does."""
+    return spark.conf.get("spark.checkpoint.dir", None) or None
+
+
 def shared_dir(spark: SparkSession, *parts: str) -> str:
-    """A path below the cluster's shared folder (``spark.checkpoint.dir``).
+    """A path below the cluster's shared folder.
 
     Only where the session names none (single-machine tests) a temporary folder
-    is made and remembered in the session, so that later calls agree.
+    is made, one per application.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="cadenza-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, *parts) if parts else root
+    root = configured_dir(spark)
+    if root is None:
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="cadenza-")
+        root = _LOCAL_ROOTS[app]
+    return "/".join([root.rstrip("/"), *parts])
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
