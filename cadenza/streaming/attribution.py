@@ -16,9 +16,11 @@ request runs in ``salts`` tasks.
 from __future__ import annotations
 
 import bisect
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -35,6 +37,9 @@ OUTPUT = (
 )
 DAY_MS = 86_400_000
 
+# the processor travels to the workers as code, so they need not have the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class FeedbackAttribution(StatefulProcessor):
     """State per (request, salt): last intent, waiting counts, clean-up timer."""
