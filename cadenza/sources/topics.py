@@ -46,6 +46,10 @@ class KafkaTopics:
             F.struct("timestamp", "partition", "offset").alias("seq"),
         )
 
+    def ordered(self, batch: DataFrame) -> DataFrame:
+        """A table or micro-batch whose ``seq`` orders every message: it does already."""
+        return batch
+
     def write_batch(self, rows: DataFrame, batch_id: int, topic: str | None = None) -> None:
         """Send ``value`` to ``topic``, or each row to the topic it names."""
         del batch_id
@@ -80,10 +84,14 @@ class FolderTopics:
                 F.col("_metadata.file_modification_time").alias("modified"),
                 F.col("_metadata.file_path").alias("file"),
                 F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("row"),
             ).alias("seq"),
         )
 
+    def ordered(self, batch: DataFrame) -> DataFrame:
+        """Refine ``seq`` of a table or micro-batch to the line within its file."""
+        line = F.monotonically_increasing_id().alias("line")
+        return batch.withColumn("seq", F.struct("seq.*", line))
+
     def write_batch(self, rows: DataFrame, batch_id: int, topic: str | None = None) -> None:
         if topic:
             write_batch(rows.select("value"), self.path(topic), batch_id, "text")

@@ -148,7 +148,8 @@ def change_log_job(wh: Warehouse) -> StreamingQuery:
     def each(batch: DataFrame, batch_id: int) -> None:
         config = changes.latest_config(read_config(batch.sparkSession))
         wh.write(changes.without_data(batch).drop("seq"), "quarantine_changes", batch_id)
-        routed = changes.route_changes(changes.parse_changes(batch), config)
+        ordered = wh.topics.ordered(batch)
+        routed = changes.route_changes(changes.parse_changes(ordered), config)
         with _kept(routed) as rows:
             wh.topics.write_batch(changes.with_topic(rows), batch_id)
             wh.write(
