@@ -27,11 +27,13 @@ def parse_object(c: Column, names: Sequence[str]) -> Column:
     return F.from_json(c, text_struct(names))
 
 
-def is_object(c: Column) -> Column:
-    """True iff the text is a well-formed JSON object; never NULL."""
-    return F.coalesce(
-        F.ltrim(c).startswith("{") & F.from_json(c, "map<string,string>").isNotNull(),
-        F.lit(False),
+MALFORMED = "_malformed"
+
+
+def parse_checked_object(c: Column, names: Sequence[str]) -> Column:
+    """:func:`parse_object` with one more field, not NULL iff the text is no JSON object."""
+    return F.from_json(
+        c, text_struct([*names, MALFORMED]), {"columnNameOfCorruptRecord": MALFORMED}
     )
 
 

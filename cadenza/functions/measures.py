@@ -45,13 +45,16 @@ def response_deltas() -> list[Column]:
     ]
 
 
-def feedback_deltas(times: Column | None = None) -> list[Column]:
-    """Deltas of a feedback row; the frame has ``feedbackType``.
+def feedback_kind(c: Column | str) -> Column:
+    return F.upper(trim_all(c))
+
+
+def feedback_deltas(kind: Column, times: Column | None = None) -> list[Column]:
+    """Deltas of a feedback row of a normalized kind.
 
     An unknown kind gives zeros only, which still open a window.  ``times``
     counts rows already collapsed into one.
     """
-    kind = F.upper(trim_all("feedbackType"))
     count = F.lit(1).cast("bigint") if times is None else times
     return [
         *[zero().alias(name) for name in DELTA_COLUMNS[:4]],

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cadenza.fixed_values import AI_FEEDBACK, AI_QUERY, AI_RESPONSE
 from cadenza.functions.json import (
-    as_boolean, as_long, is_bad_number, is_object, parse_object, string_list,
+    MALFORMED, as_boolean, as_long, is_bad_number, parse_checked_object, parse_object,
+    string_list,
 )
 from cadenza.functions.once import evaluated_once
 from cadenza.functions.text import has_text, trim_all
@@ -20,13 +21,18 @@ _RESPONSE_FIELDS = (
     "modelName", "promptTemplateId", "resultSongIds", "resultSingerNames", "responseSource",
 )
 _FEEDBACK_FIELDS = ("feedbackType", "feedbackTime")
+_PAYLOAD_FIELDS = tuple(dict.fromkeys((*_QUERY_FIELDS, *_RESPONSE_FIELDS, *_FEEDBACK_FIELDS)))
 
 QUERY, RESPONSE, FEEDBACK, UNKNOWN = "query", "response", "feedback", "unknown"
 
 
 def is_valid_envelope() -> Column:
-    """Five texts, a user and an object as payload; never NULL. Needs ``ev``."""
-    valid = F.col("ev.userId").isNotNull() & is_object(F.col("ev.payload"))
+    """Five texts, a user and an object as payload; never NULL.
+
+    Needs ``ev`` and ``body``, the parsed payload.
+    """
+    is_object = F.ltrim("ev.payload").startswith("{") & F.col("body")[MALFORMED].isNull()
+    valid = F.col("ev.userId").isNotNull() & is_object
     for name in _TEXT_FIELDS:
         valid = valid & has_text(F.col("ev")[name])
     return F.coalesce(valid, F.lit(False))
@@ -42,8 +48,13 @@ def route_of(event_type: Column) -> Column:
 
 
 def split_assistant_log(messages: DataFrame, value: str = "value") -> DataFrame:
-    """Add ``ev``, ``route`` and ``reason`` (NULL for rows that go on)."""
+    """Add ``ev``, ``body``, ``route`` and ``reason`` (NULL for rows that go on).
+
+    Envelope and payload are parsed once each, whatever the branches read.
+    """
     parsed = evaluated_once(messages, {"ev": parse_object(F.col(value), _ENVELOPE_FIELDS)})
+    body = parse_checked_object(F.col("ev.payload"), _PAYLOAD_FIELDS)
+    parsed = evaluated_once(parsed, {"body": body})
     route = route_of(F.col("ev.eventType"))
     reason = (
         F.when(~is_valid_envelope(), "invalid envelope")
@@ -59,13 +70,11 @@ def quarantined(split: DataFrame, value: str = "value") -> DataFrame:
 
 def _branch(split: DataFrame, route: str, fields: tuple[str, ...]) -> DataFrame:
     rows = split.filter((F.col("route") == route) & F.col("reason").isNull())
-    flat = rows.select(
+    return rows.select(
         *[F.col("ev")[name].alias(name) for name in _TEXT_FIELDS],
         as_long(F.col("ev.userId")).alias("userId"),
-        F.col("ev.payload").alias("payload"),
+        *[F.col("body")[name].alias(name) for name in fields],
     )
-    parsed = evaluated_once(flat, {"payload": parse_object(F.col("payload"), fields)})
-    return parsed.select(*_TEXT_FIELDS, "userId", "payload.*")
 
 
 def query_branch(split: DataFrame) -> DataFrame:

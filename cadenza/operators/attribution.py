@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.fixed_values import PENDING_FEEDBACK_MINUTES
-from cadenza.functions.measures import feedback_deltas
+from cadenza.functions.once import evaluated_once
 from cadenza.functions.time import local_text_to_timestamp
-from cadenza.operators.windows import response_metrics, valid_feedback
+from cadenza.operators.windows import feedback_metrics, response_metrics, valid_feedback
 
 INTENT = ("intentType", "intentGroup")
 _KEY = ("requestId", "_bucket")
@@ -43,26 +43,20 @@ def attribute_feedback(
     does not change the result.
     """
     valid = responses.dropna(subset=["requestId", "responseTime", *INTENT])
-    answered = valid.select(
+    answered = evaluated_once(valid, {"_at": _seconds(F.col("responseTime"))}).select(
         "requestId",
-        _seconds(F.col("responseTime")).alias("_at"),
-        F.struct(
-            _seconds(F.col("responseTime")).alias("at"), F.col(tie).alias("tie"),
-            *INTENT,
-        ).alias("_response"),
-    ).filter(F.col("_at").isNotNull())
-    waiting = valid_feedback(feedback)
-    payload = [c for c in waiting.columns if c not in ("requestId", *INTENT)]
-    waiting = waiting.select(
-        "requestId",
-        _seconds(F.col("feedbackTime")).alias("_at"),
-        F.struct(*payload).alias("_feedback"),
-    ).filter(F.col("_at").isNotNull())
+        "_at",
+        F.struct(F.col("_at").alias("at"), F.col(tie).alias("tie"), *INTENT).alias("_response"),
+    )
+    given = valid_feedback(feedback)
+    payload = [c for c in given.columns if c not in ("requestId", *INTENT)]
+    waiting = evaluated_once(given, {"_at": _seconds(F.col("feedbackTime"))}).select(
+        "requestId", "_at", F.struct(*payload).alias("_feedback")
+    )
 
     bucket = F.floor(F.col("_at") / F.lit(bucket_seconds)).alias("_bucket")
-    rows = answered.select(*_KEY[:1], bucket, "_at", "_response").unionByName(
-        waiting.select(*_KEY[:1], bucket, "_at", "_feedback"), allowMissingColumns=True
-    )
+    rows = answered.unionByName(waiting, allowMissingColumns=True).filter("_at is not null")
+    rows = rows.select("requestId", bucket, "_at", "_response", "_feedback")
 
     # one summary row per request and bucket, with what lies outside the bucket
     edges = rows.groupBy(*_KEY).agg(
@@ -118,7 +112,4 @@ def intent_metrics(
 ) -> DataFrame:
     """Metric deltas by intent: one per response, one per attributed feedback."""
     attributed = attribute_feedback(responses, feedback, wait_seconds, bucket_seconds, tie)
-    by_feedback = attributed.select(
-        F.col("feedbackTime").alias("eventTime"), *INTENT, *feedback_deltas()
-    )
-    return response_metrics(responses, *INTENT).unionByName(by_feedback)
+    return response_metrics(responses, *INTENT).unionByName(feedback_metrics(attributed, *INTENT))

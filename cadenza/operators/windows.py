@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from cadenza.fixed_values import WINDOW_LENGTH
 from cadenza.functions.measures import (
-    DELTA_COLUMNS, FEEDBACK_COLUMNS, feedback_deltas, guarded_mean, response_deltas,
+    DELTA_COLUMNS, FEEDBACK_COLUMNS, feedback_deltas, feedback_kind, guarded_mean,
+    response_deltas,
 )
+from cadenza.functions.once import evaluated_once
 from cadenza.functions.time import (
     kept_above_watermark, local_text_to_timestamp, millis_to_timestamp, timestamp_to_text,
 )
@@ -30,7 +32,15 @@ EVENT_TIME = "eventTs"
 
 def with_event_time(rows: DataFrame, event_time: Column, delay: str | None) -> DataFrame:
     """Add the event time, drop rows without one and set the watermark if asked."""
-    timed = rows.withColumn(EVENT_TIME, event_time).filter(F.col(EVENT_TIME).isNotNull())
+    timed = evaluated_once(rows, {EVENT_TIME: event_time}).filter(F.col(EVENT_TIME).isNotNull())
+    return timed.withWatermark(EVENT_TIME, delay) if delay else timed
+
+
+def with_millis(rows: DataFrame, millis: str, delay: str | None) -> DataFrame:
+    """The same for epoch milliseconds, which are cheap enough to repeat."""
+    timed = rows.filter(F.col(millis).isNotNull()).withColumn(
+        EVENT_TIME, millis_to_timestamp(F.col(millis))
+    )
     return timed.withWatermark(EVENT_TIME, delay) if delay else timed
 
 
@@ -50,7 +60,7 @@ def _tumbling(length: str) -> Column:
 def play_times(wide: DataFrame, delay: str | None = None) -> DataFrame:
     """Rows with a time and a song, in event time; plays only."""
     rows = wide.filter(F.col("timestamp").isNotNull() & F.col("songId").isNotNull())
-    timed = with_event_time(rows, millis_to_timestamp(F.col("timestamp")), delay)
+    timed = with_millis(rows, "timestamp", delay)
     return timed.filter(kept_above_watermark(F.col("action") == "play", EVENT_TIME))
 
 
@@ -95,8 +105,7 @@ def singer_hot(
     wide: DataFrame, length: str = WINDOW_LENGTH, delay: str | None = None
 ) -> DataFrame:
     """Plays per singer and window; plays without a singer are not counted."""
-    rows = wide.filter(F.col("timestamp").isNotNull())
-    timed = with_event_time(rows, millis_to_timestamp(F.col("timestamp")), delay)
+    timed = with_millis(wide, "timestamp", delay)
     known = (F.col("action") == "play") & (F.col("singerInfo") != "")
     plays = timed.filter(kept_above_watermark(known, EVENT_TIME))
     counted = plays.groupBy(_tumbling(length).alias("window"), "singerInfo").agg(
@@ -119,7 +128,7 @@ def region_login(
     state is one small row per (window, region, user), spread over all tasks.
     """
     rows = wide.dropna(subset=["userId", "loginDt", *REGION])
-    timed = with_event_time(rows, millis_to_timestamp(F.col("loginDt")), delay)
+    timed = with_millis(rows, "loginDt", delay)
     per_user = timed.groupBy(_tumbling(length).alias("window"), *REGION, "userId").agg(
         F.min(F.struct("loginDt", "adcode")).alias("first")
     )
@@ -155,9 +164,13 @@ def valid_feedback(feedback: DataFrame) -> DataFrame:
     return feedback.dropna(subset=["requestId", "feedbackTime", "feedbackType"])
 
 
-def feedback_metrics(feedback: DataFrame, *keys: str) -> DataFrame:
-    return valid_feedback(feedback).select(
-        F.col("feedbackTime").alias("eventTime"), *keys, *feedback_deltas()
+def feedback_metrics(
+    feedback: DataFrame, *keys: str, times: Column | None = None
+) -> DataFrame:
+    """Metric deltas of valid feedback; ``times`` counts rows collapsed into one."""
+    rows = evaluated_once(valid_feedback(feedback), {"_kind": feedback_kind("feedbackType")})
+    return rows.select(
+        F.col("feedbackTime").alias("eventTime"), *keys, *feedback_deltas(F.col("_kind"), times)
     )
 
 

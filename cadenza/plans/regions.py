@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.fixed_values import WINDOW_LENGTH
-from cadenza.functions.time import local_text_to_timestamp, millis_to_timestamp
+from cadenza.functions.time import local_text_to_timestamp
 from cadenza.operators.enrich import add_machine, grid_cell, valid_consume, valid_logins
-from cadenza.operators.windows import EVENT_TIME, REGION, window_bounds, with_event_time
+from cadenza.operators.windows import (
+    EVENT_TIME, REGION, window_bounds, with_event_time, with_millis,
+)
 
 
 def region_revenue(
@@ -37,7 +39,7 @@ def region_login(
     logins: DataFrame, regions: DataFrame, length: str = WINDOW_LENGTH, decimals: int = 3
 ) -> DataFrame:
     """Same rows as ``windows.region_login(add_region(logins, regions))``."""
-    rows = with_event_time(valid_logins(logins), millis_to_timestamp(F.col("loginDt")), None)
+    rows = with_millis(valid_logins(logins), "loginDt", None)
     per_cell = rows.groupBy(
         F.window(EVENT_TIME, length).alias("window"),
         grid_cell(F.col("lng"), decimals).alias("lng_cell"),

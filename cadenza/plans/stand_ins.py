@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.fixed_values import AI_FEEDBACK, AI_QUERY, AI_RESPONSE, LOGIN_EVENT, SONG_EVENT
-from cadenza.functions.time import timestamp_to_text
-from cadenza.functions.time import date_of_millis, hour_of_millis
+from cadenza.functions.once import evaluated_once
+from cadenza.functions.time import date_of_millis, hour_of_millis, timestamp_to_text
 
 #: events of one raw message
 EVENTS_PER_MESSAGE = 50
@@ -189,12 +189,16 @@ def _cents() -> Column:
 
 
 def _order_time() -> Column:
-    return timestamp_to_text(F.col("o_orderdate"))
+    return F.col("_time")
+
+
+def _timed(rows: DataFrame, ts: str) -> DataFrame:
+    return evaluated_once(rows, {"_time": timestamp_to_text(F.col(ts))})
 
 
 def consume(orders: DataFrame) -> DataFrame:
     """Consume rows, typed."""
-    return orders.select(
+    return _timed(orders, "o_orderdate").select(
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("mid"),
         F.col("o_custkey").alias("uid"),
@@ -231,7 +235,7 @@ def change_messages(orders: DataFrame) -> DataFrame:
         _change_type().alias("type"),
         F.when(F.col("o_orderkey") % 13 != 0, data).alias("data"),
     )
-    return orders.select(
+    return _timed(orders, "o_orderdate").select(
         F.struct("o_orderdate", "o_orderkey").alias("seq"), F.to_json(message).alias("value")
     )
 
@@ -263,7 +267,7 @@ def responses(orders: DataFrame, request: str = "o_orderkey") -> DataFrame:
         F.concat(F.lit('["'), F.col("o_orderpriority"), F.lit('"]'))
     )
     status = F.col("o_orderstatus")
-    return orders.select(
+    return _timed(orders, "o_orderdate").select(
         _text("o_orderkey").alias("eventId"),
         F.lit(AI_RESPONSE).alias("eventType"),
         _order_time().alias("eventTime"),
@@ -297,15 +301,15 @@ def _kind() -> Column:
 
 
 def feedback(lineitem: DataFrame, request: str = "l_orderkey") -> DataFrame:
-    return lineitem.select(
+    return _timed(lineitem, "l_shipdate").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("eventId"),
         F.lit(AI_FEEDBACK).alias("eventType"),
-        timestamp_to_text(F.col("l_shipdate")).alias("eventTime"),
+        F.col("_time").alias("eventTime"),
         _text(request).alias("requestId"),
         F.lit("s").alias("sessionId"),
         F.col("l_suppkey").alias("userId"),
         _kind().alias("feedbackType"),
-        timestamp_to_text(F.col("l_shipdate")).alias("feedbackTime"),
+        F.col("_time").alias("feedbackTime"),
     )
 
 

@@ -26,10 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cadenza.fixed_values import PENDING_FEEDBACK_MINUTES
-from cadenza.functions.measures import feedback_deltas
 from cadenza.functions.time import local_text_to_timestamp
 from cadenza.operators.attribution import INTENT
-from cadenza.operators.windows import response_metrics, valid_feedback
+from cadenza.operators.windows import feedback_metrics, response_metrics, valid_feedback
 
 OUTPUT = (
     "requestId string, feedbackTime string, feedbackType string, times long, "
@@ -198,7 +197,5 @@ def attribute_stream(
 def intent_deltas(responses: DataFrame, feedback: DataFrame, **options) -> DataFrame:
     """Metric deltas by intent; response deltas bypass the stateful operator."""
     attributed = attribute_stream(responses, feedback, **options)
-    by_feedback = attributed.select(
-        F.col("feedbackTime").alias("eventTime"), *INTENT, *feedback_deltas(F.col("times"))
-    )
+    by_feedback = feedback_metrics(attributed, *INTENT, times=F.col("times"))
     return response_metrics(responses, *INTENT).unionByName(by_feedback)

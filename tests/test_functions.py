@@ -56,7 +56,11 @@ def test_lenient_numbers_and_booleans(spark):
 
 def test_objects_and_lists(spark):
     values = ['{"a":1}', ' {"a":{"b":2}}', "[]", "x", '{"a":', None]
-    assert _map(spark, values, J.is_object) == [True, True, False, False, False, False]
+    parsed = _map(spark, values, lambda c: J.parse_checked_object(c, ["a"]))
+    assert [p and p[J.MALFORMED] is None for p in parsed] == [
+        True, True, False, False, False, None,
+    ]
+    assert [p and p["a"] for p in parsed[:2]] == ["1", '{"b":2}']
     lists = [None, "", "[]", '["a","b"]', "x"]
     assert _map(spark, lists, J.string_list) == [[], [], [], ["a", "b"], []]
 
