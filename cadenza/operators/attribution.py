@@ -5,10 +5,13 @@ Feedback ``f`` goes to the response of its request with the greatest
 ``wait`` after it; otherwise nowhere.  Every feedback row is attributed at most
 once, however many responses a request has.
 
-A request may hold a large part of all rows, so rows are grouped by (request,
-time bucket), never by request alone.  What a bucket must know about the time
-before and after it is one row: the last response before, the first one after.
-Those are computed on a summary with one row per request and bucket.
+A request may hold a large part of all rows.  Times are whole seconds, so the
+result depends on (request, second) only: both sides are first combined per
+second (on the map side, before any shuffle), and those seconds are grouped by
+(request, time bucket).  A group thus has at most two rows per second of a bucket.
+What a bucket must know about the time outside it is one row: the last response
+before it, the first one after.  Feedback rows then look up their second; a hot
+second is an ordinary skewed join key, whose partition is split at run time.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.fixed_values import PENDING_FEEDBACK_MINUTES
+from cadenza.functions.measures import feedback_kind
 from cadenza.functions.once import evaluated_once
 from cadenza.functions.time import local_text_to_timestamp
 from cadenza.operators.windows import feedback_metrics, response_metrics, valid_feedback
@@ -29,39 +33,25 @@ def _seconds(text: Column) -> Column:
     return F.unix_seconds(local_text_to_timestamp(text))
 
 
-def attribute_feedback(
-    responses: DataFrame,
-    feedback: DataFrame,
-    wait_seconds: int = PENDING_FEEDBACK_MINUTES * 60,
-    bucket_seconds: int = 3600,
-    tie: str = "eventId",
+def _seconds_answered(
+    responses: DataFrame, seconds: DataFrame, wait_seconds: int, bucket_seconds: int, tie: str
 ) -> DataFrame:
-    """Feedback rows with the ``intentType`` and ``intentGroup`` they count for.
-
-    Feedback without a response in reach is left out.  ``tie`` orders responses
-    of one second.  ``bucket_seconds`` bounds the rows one task sorts together and
-    does not change the result.
-    """
+    """Intent for each ``requestId, _at`` of ``seconds`` that is answered in reach."""
     valid = responses.dropna(subset=["requestId", "responseTime", *INTENT])
-    answered = evaluated_once(valid, {"_at": _seconds(F.col("responseTime"))}).select(
-        "requestId",
-        "_at",
-        F.struct(F.col("_at").alias("at"), F.col(tie).alias("tie"), *INTENT).alias("_response"),
+    timed = evaluated_once(valid, {"_at": _seconds(F.col("responseTime"))})
+    one = F.struct(F.col("_at").alias("at"), F.col(tie).alias("tie"), *INTENT)
+    answered = timed.groupBy("requestId", "_at").agg(
+        F.min(one).alias("_first"), F.max(one).alias("_last")
     )
-    given = valid_feedback(feedback)
-    payload = [c for c in given.columns if c not in ("requestId", *INTENT)]
-    waiting = evaluated_once(given, {"_at": _seconds(F.col("feedbackTime"))}).select(
-        "requestId", "_at", F.struct(*payload).alias("_feedback")
+    asked = seconds.select("requestId", "_at", F.lit(True).alias("_asked"))
+    rows = answered.unionByName(asked, allowMissingColumns=True).filter("_at is not null").select(
+        "requestId",
+        F.floor(F.col("_at") / F.lit(bucket_seconds)).alias("_bucket"),
+        "_at", "_first", "_last", "_asked",
     )
 
-    bucket = F.floor(F.col("_at") / F.lit(bucket_seconds)).alias("_bucket")
-    rows = answered.unionByName(waiting, allowMissingColumns=True).filter("_at is not null")
-    rows = rows.select("requestId", bucket, "_at", "_response", "_feedback")
-
-    # one summary row per request and bucket, with what lies outside the bucket
-    edges = rows.groupBy(*_KEY).agg(
-        F.min("_response").alias("_lo"), F.max("_response").alias("_hi")
-    )
+    # one row per request and bucket, with what lies outside the bucket
+    edges = rows.groupBy(*_KEY).agg(F.min("_first").alias("_lo"), F.max("_last").alias("_hi"))
     timeline = Window.partitionBy("requestId").orderBy("_bucket")
     reach = edges.select(
         *_KEY,
@@ -79,30 +69,56 @@ def attribute_feedback(
     # inside a bucket: a response sorts before feedback of the same second
     past = (
         Window.partitionBy(*_KEY)
-        .orderBy("_at", F.col("_feedback").isNotNull(), "_response")
+        .orderBy("_at", F.col("_asked").isNotNull())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     inside = rows.select(
-        *_KEY,
-        "_at",
-        "_feedback",
-        F.last("_response", ignorenulls=True).over(past).alias("_prev"),
-    ).filter(F.col("_feedback").isNotNull())
+        *_KEY, "_at", "_asked", F.last("_last", ignorenulls=True).over(past).alias("_prev")
+    ).filter(F.col("_asked").isNotNull())
 
     # without a response before, the first one of the bucket or after it is next
-    joined = inside.join(reach, list(_KEY), "inner")
     chosen = F.coalesce(
         "_prev",
         "_before",
         F.when(F.col("_after.at") <= F.col("_at") + F.lit(wait_seconds), F.col("_after")),
     )
     return (
-        joined.withColumn("_chosen", chosen)
+        inside.join(reach, list(_KEY))
+        .select("requestId", "_at", chosen.alias("_chosen"))
         .filter(F.col("_chosen").isNotNull())
-        .select("requestId", "_feedback.*", *[F.col("_chosen")[c].alias(c) for c in INTENT])
+        .select("requestId", "_at", *[F.col("_chosen")[c].alias(c) for c in INTENT])
     )
 
 
+def attribute_feedback(
+    responses: DataFrame,
+    feedback: DataFrame,
+    wait_seconds: int = PENDING_FEEDBACK_MINUTES * 60,
+    bucket_seconds: int = 3600,
+    tie: str = "eventId",
+) -> DataFrame:
+    """Feedback rows with the ``intentType`` and ``intentGroup`` they count for.
+
+    Feedback without a response in reach is left out.  ``tie`` orders responses
+    of one second.  ``bucket_seconds`` bounds the seconds one task sorts together
+    and does not change the result.
+    """
+    rows = evaluated_once(
+        valid_feedback(feedback).drop(*INTENT), {"_at": _seconds(F.col("feedbackTime"))}
+    )
+    seconds = rows.select("requestId", "_at").distinct()
+    answered = _seconds_answered(responses, seconds, wait_seconds, bucket_seconds, tie)
+    return rows.join(answered, ["requestId", "_at"]).drop("_at")
+
+
+def collapsed(feedback: DataFrame) -> DataFrame:
+    """Valid feedback counted (``times``) per request, time and kind."""
+    rows = valid_feedback(feedback).select(
+        "requestId", "feedbackTime", feedback_kind("feedbackType").alias("feedbackType")
+    )
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("times"))
+
+
 def intent_metrics(
     responses: DataFrame,
     feedback: DataFrame,
@@ -110,6 +126,9 @@ def intent_metrics(
     bucket_seconds: int = 3600,
     tie: str = "eventId",
 ) -> DataFrame:
-    """Metric deltas by intent: one per response, one per attributed feedback."""
-    attributed = attribute_feedback(responses, feedback, wait_seconds, bucket_seconds, tie)
-    return response_metrics(responses, *INTENT).unionByName(feedback_metrics(attributed, *INTENT))
+    """Metric deltas by intent: one per response, one per attributed feedback count."""
+    attributed = attribute_feedback(
+        responses, collapsed(feedback), wait_seconds, bucket_seconds, tie
+    )
+    by_feedback = feedback_metrics(attributed, *INTENT, times=F.col("times"))
+    return response_metrics(responses, *INTENT).unionByName(by_feedback)

@@ -42,17 +42,15 @@ def _newest_plays(
 ) -> DataFrame:
     """Plays of the newest window that reaches the serving table.
 
-    Only ``timestamp`` and ``songId`` are read to find it, and everything older
-    is filtered out before any aggregation.  A later window holds only plays without
+    To find it, only the last play of each song meets the dimension; everything
+    older than that window is filtered out before any aggregation.  A later window holds only plays without
     a dimension row, which never reach the serving table.
     """
-    served = play_times(plays).join(
-        songs.filter(f"source_id != '' and {condition}").select(
-            F.col("source_id").alias("songId")
-        ),
-        "songId",
-        "left_semi",
+    known = songs.filter(f"source_id != '' and {condition}").select(
+        F.col("source_id").alias("songId")
     )
+    last = play_times(plays).groupBy("songId").agg(F.max("timestamp").alias("timestamp"))
+    served = last.join(known, "songId", "left_semi")
     newest = served.agg(F.max("timestamp").alias("t")).select(
         F.unix_millis(F.window(F.timestamp_millis("t"), length)["start"])
     ).scalar()

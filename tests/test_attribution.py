@@ -69,3 +69,14 @@ def test_each_feedback_counts_once(spark):
     r, f = _frames(spark, responses, [("f", "q", 500)])
     stats = windows.ai_intent(attribution.intent_metrics(r, f), "1 hour").collect()
     assert [(s.requestCount, s.likeCount, s.avgLatencyMs) for s in stats] == [(5, 1, 1)]
+
+
+def test_one_hot_second_is_combined_before_the_shuffle(spark):
+    responses = [("r", "hot", 100, "A")]
+    feedback = [(f"f{i}", "hot", 200) for i in range(300)]
+    r, f = _frames(spark, responses, feedback)
+    counted = attribution.collapsed(f).collect()
+    assert [(c.requestId, c.feedbackType, c.times) for c in counted] == [("hot", "LIKE", 300)]
+    assert len(_got(attribution.attribute_feedback(r, f))) == 300
+    stats = windows.ai_intent(attribution.intent_metrics(r, f), "1 hour").collect()
+    assert [(s.requestCount, s.likeCount) for s in stats] == [(1, 300)]
