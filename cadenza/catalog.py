@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.fixed_values import WATERMARK_DELAY
 from cadenza.functions import text
 from cadenza.functions.time import timestamp_to_text
 from cadenza.operators import (
@@ -14,6 +15,9 @@ from cadenza.operators import (
 )
 from cadenza.plans import heat, regions
 from cadenza.plans import stand_ins as S
+from cadenza.session import DEFAULT_CONF, run_dir
+from cadenza.sources.tables import table_sink
+from cadenza.streaming.attribution import attribute_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -609,3 +613,83 @@ def serving_window_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         timestamp_to_text(F.col("window_end")).alias("window_end"),
         "song_id", "song_name", "play_count",
     )
+
+
+# --- the same transforms on streams ------------------------------------------
+
+_STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files."""
+    schema = S.table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
+
+
+def _drained(spark: SparkSession, out: DataFrame, name: str, timers: bool = False) -> DataFrame:
+    """Run a stream over what there is and return the table it wrote.
+
+    With timers a query always has one more empty batch to run; those are turned
+    off so that it ends.
+    """
+    conf = {_STATE_PROVIDER: DEFAULT_CONF[_STATE_PROVIDER], _EMPTY_BATCHES: str(not timers).lower()}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    work = run_dir(spark, name)
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        running = (
+            out.writeStream.outputMode("append")
+            .option("checkpointLocation", f"{work}/checkpoint")
+            .trigger(availableNow=True)
+            .foreachBatch(table_sink(f"{work}/table"))
+            .start()
+        )
+        running.awaitTermination()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    reader = spark.read.schema(out.schema).option("recursiveFileLookup", "true")
+    return reader.parquet(f"{work}/table")
+
+
+@query
+def stream_song_hot_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plays = S.plays(_stream(spark, sf_dir, "events"))
+    wide = enrich.add_song(plays, _songs(spark, sf_dir), "songName")
+    return _drained(spark, windows.song_hot(wide, delay=WATERMARK_DELAY), "song_hot")
+
+
+@query
+def stream_region_login_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logins = S.logins(_stream(spark, sf_dir, "events"))
+    wide = enrich.add_region(logins, _regions(spark, sf_dir))
+    return _drained(
+        spark, windows.region_login(wide, "1 hour", WATERMARK_DELAY), "region_login"
+    )
+
+
+@query
+def stream_ai_overview_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = windows.ai_overview(
+        S.responses(_stream(spark, sf_dir, "orders")),
+        S.feedback(_stream(spark, sf_dir, "lineitem")),
+        "1 day", WATERMARK_DELAY,
+    )
+    return _drained(spark, stats, "ai_overview")
+
+
+@query
+def stream_feedback_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attribution with custom state; all rows arrive in one micro-batch."""
+    orders = S.table(spark, sf_dir, "orders")
+    out = attribute_stream(
+        S.responses(_stream(spark, sf_dir, "orders"), "o_custkey"),
+        S.feedback_of_customers(_stream(spark, sf_dir, "lineitem"), orders),
+        event_wait_seconds=STAND_IN_WAIT,
+    )
+    counted = _drained(spark, out, "attribution", timers=True)
+    return counted.groupBy(
+        "requestId", "feedbackTime", "feedbackType", "intentType", "intentGroup"
+    ).agg(F.sum("times").alias("times"))

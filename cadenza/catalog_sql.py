@@ -472,6 +472,30 @@ SELECT CAST(request AS VARCHAR) AS "requestId", event_id AS "eventId",
        {_text("fed_at")} AS "feedbackTime", raw_kind AS "feedbackType",
        intent_type AS "intentType", intent_group AS "intentGroup"
 FROM attributed""",
+        "stream_song_hot_10s": f"""WITH {_PLAYS},{_SONGS}
+SELECT * FROM (
+  SELECT song_id AS "songId", p_name AS "songName", count(*) AS "playCount",
+         {_bounds("10 seconds")}
+  FROM plays LEFT JOIN songs ON song_id = source_id WHERE action = 'play'
+  GROUP BY song_id, p_name, {_bucket("10 seconds", "ts")})
+WHERE CAST("windowEnd" AS TIMESTAMP) <= (SELECT max(ts) FROM plays) - INTERVAL '3 seconds'""",
+        "stream_region_login_1h": f"""
+SELECT * FROM ({_region_login("1 hour")})
+WHERE CAST("windowEnd" AS TIMESTAMP) <= (
+  SELECT max(ts) FROM events
+  WHERE event_type = 'signup' AND user_id % 25 <> 7) - INTERVAL '3 seconds'""",
+        "stream_ai_overview_1d": f"""
+SELECT * FROM (WITH {_OVERVIEW_DELTAS}
+SELECT {_bounds("1 day")}, {_METRIC_SUMS}
+FROM deltas GROUP BY {_bucket("1 day", "ts")})
+WHERE CAST("windowEnd" AS TIMESTAMP) <= greatest(
+  (SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem))
+  - INTERVAL '3 seconds'""",
+        "stream_feedback_attribution": f"""WITH {_attributed("o_custkey", "60 days")}
+SELECT CAST(request AS VARCHAR) AS "requestId", {_text("fed_at")} AS "feedbackTime",
+       raw_kind AS "feedbackType", intent_type AS "intentType", intent_group AS "intentGroup",
+       count(*) AS times
+FROM attributed GROUP BY ALL""",
         "request_validation": """
 SELECT conv_id, turn,
   CASE WHEN conv_id % 7 = 0 THEN 'userId 不能为空'
