@@ -6,11 +6,10 @@ What still waits when the clean-up timer fires is dropped.  Inside one
 micro-batch, where rows of the two inputs have no order, event time decides, as in
 the batch form (``operators.attribution``).
 
-Nothing kept or collected grows with the rows of one request: waiting feedback is
-counted per (second, kind), responses are kept per second of the micro-batch.
-Requests are also spread over ``salts`` groups.  Each group sees all responses and
-its own share of the feedback, so the result is the same, and feedback on one hot
-request runs in ``salts`` tasks.
+Nothing kept or collected grows with the rows of one request.  Times are whole
+seconds, so rows are combined per (request, second) before the shuffle: feedback to
+counts per kind, responses to the first and last one.  A hot request thus sends a
+few rows per second and Arrow batch, and its state counts waiting feedback likewise.
 """
 
 from __future__ import annotations
@@ -41,7 +40,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class FeedbackAttribution(StatefulProcessor):
-    """State per (request, salt): last intent, waiting counts, clean-up timer."""
+    """State per request: last intent, waiting counts, clean-up timer."""
 
     def __init__(self, wait_ms: int, intent_ttl_ms: int | None, event_wait_seconds: int | None):
         self.wait_ms = wait_ms
@@ -71,10 +70,10 @@ class FeedbackAttribution(StatefulProcessor):
                 first, last = responses.get(at, (one, one))
                 responses[at] = (min(first, one), max(last, one))
             given = frame[frame["kind"] == 1]
-            if len(given):
-                sizes = given.groupby(["at", "feedbackTime", "feedbackType"]).size()
-                for k, n in sizes.items():
-                    counts[k] = counts.get(k, 0) + int(n)
+            for at, text, kind, n in zip(
+                given["at"], given["feedbackTime"], given["feedbackType"], given["times"]
+            ):
+                counts[(at, text, kind)] = counts.get((at, text, kind), 0) + n
 
         times = sorted(responses)
         known = self.intent.get() if self.intent.exists() else None
@@ -144,13 +143,27 @@ class FeedbackAttribution(StatefulProcessor):
         pass
 
 
+def _combined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Combine the rows of each Arrow batch per request and second."""
+    key = ["requestId", "at"]
+    for frame in frames:
+        answered = frame[frame["kind"] == 0].sort_values(
+            [*key, "tie", "intentType", "intentGroup"]
+        )
+        edge = ~answered.duplicated(key, keep="first") | ~answered.duplicated(key, keep="last")
+        given = frame[frame["kind"] == 1]
+        what = [*key, "feedbackTime", "feedbackType"]
+        counts = given.groupby(what, sort=False)["times"].transform("sum")
+        given = given.assign(times=counts).drop_duplicates(what)
+        yield pd.concat([answered[edge], given])
+
+
 def attribute_stream(
     responses: DataFrame,
     feedback: DataFrame,
     wait_ms: int = PENDING_FEEDBACK_MINUTES * 60_000,
     intent_ttl_ms: int | None = 7 * DAY_MS,
     event_wait_seconds: int | None = None,
-    salts: int = 8,
     tie: str = "eventId",
 ) -> DataFrame:
     """Counts of feedback per request, time, kind and the intent they count for.
@@ -163,28 +176,28 @@ def attribute_stream(
     none = F.lit(None).cast("string")
     answered = responses.dropna(subset=["requestId", "responseTime", *INTENT]).select(
         "requestId",
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
         F.lit(0).alias("kind"),
         F.col("responseTime").alias("when"),
         F.coalesce(F.col(tie), F.lit("")).alias("tie"),
         *INTENT,
         none.alias("feedbackType"),
+        F.lit(0).cast("bigint").alias("times"),
     )
-    share = F.pmod(F.xxhash64("eventId", "feedbackTime", "userId"), F.lit(salts)).cast("int")
     given = valid_feedback(feedback).select(
         "requestId",
-        share.alias("salt"),
         F.lit(1).alias("kind"),
         F.col("feedbackTime").alias("when"),
         F.lit("").alias("tie"),
         none.alias("intentType"),
         none.alias("intentGroup"),
         "feedbackType",
+        F.lit(1).cast("bigint").alias("times"),
     )
     rows = answered.unionByName(given).withColumn("at", at).filter("at is not null")
+    rows = rows.withColumnRenamed("when", "feedbackTime")
     return (
-        rows.withColumnRenamed("when", "feedbackTime")
-        .groupBy("requestId", "salt")
+        rows.mapInPandas(_combined, rows.schema)
+        .groupBy("requestId")
         .transformWithStateInPandas(
             FeedbackAttribution(wait_ms, intent_ttl_ms, event_wait_seconds),
             outputStructType=OUTPUT,

@@ -9,6 +9,7 @@ change nothing.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -72,6 +73,17 @@ class Warehouse:
     def dimensions(self) -> DimensionStore:
         return DimensionStore(self.spark, f"{self.root}/dimensions")
 
+    def checkpoint(self, name: str) -> str:
+        """Where a stream keeps its progress and state.
+
+        Below the cluster's shared folder if it names one; warehouses of
+        different roots never share it.
+        """
+        shared = configured_dir(self.spark)
+        if shared is None:
+            return f"{self.root}/streams/{name}"
+        return f"{shared}/streams/{hashlib.md5(self.root.encode()).hexdigest()}/{name}"
+
     def read(self, table: str, stream: bool = False) -> DataFrame:
         schema = WIDE_TABLES[table]
         if not stream:
@@ -90,11 +102,10 @@ class Warehouse:
     def start(
         self, stream: DataFrame, name: str, each: BatchSink, mode: str = "append"
     ) -> StreamingQuery:
-        checkpoint = f"{configured_dir(self.spark) or self.root}/streams/{name}"
         return (
             stream.writeStream.queryName(name)
             .outputMode(mode)
-            .option("checkpointLocation", checkpoint)
+            .option("checkpointLocation", self.checkpoint(name))
             .trigger(**self.trigger)
             .foreachBatch(each)
             .start()

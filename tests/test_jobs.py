@@ -158,7 +158,7 @@ def test_assistant_lines(spark, tmp_path):
     assert [(r.request_count, r.avg_latency_ms, r.like_count) for r in overview] == [(1, 7, 1)]
 
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    _done(jobs.ai_intent_delta_job(wh, salts=2))
+    _done(jobs.ai_intent_delta_job(wh))
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
     _done(jobs.ai_intent_job(wh))
     intents = spark.read.parquet(wh.path("dm_ai_intent_10s")).collect()
