@@ -58,32 +58,32 @@ def _seconds_answered(
         F.last("_hi", ignorenulls=True)
         .over(timeline.rowsBetween(Window.unboundedPreceding, -1))
         .alias("_before"),
-        F.coalesce(
-            F.col("_lo"),
-            F.first("_lo", ignorenulls=True).over(
-                timeline.rowsBetween(1, Window.unboundedFollowing)
-            ),
-        ).alias("_after"),
+        F.first("_lo", ignorenulls=True)
+        .over(timeline.rowsBetween(1, Window.unboundedFollowing))
+        .alias("_after"),
     ).filter(F.col("_before").isNotNull() | F.col("_after").isNotNull())
 
-    # inside a bucket: a response sorts before feedback of the same second
-    past = (
-        Window.partitionBy(*_KEY)
-        .orderBy("_at", F.col("_asked").isNotNull())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # inside a bucket: a response sorts before feedback of the same second; without
+    # one before, the bucket's first response is the next (both frames, like the
+    # edges, read the same columns, so the combined seconds are shuffled once)
+    bucket = Window.partitionBy(*_KEY)
+    past = bucket.orderBy("_at", F.col("_asked").isNotNull()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
     inside = rows.select(
-        *_KEY, "_at", "_asked", F.last("_last", ignorenulls=True).over(past).alias("_prev")
+        *_KEY, "_at", "_asked",
+        F.last("_last", ignorenulls=True).over(past).alias("_prev"),
+        F.min("_first").over(bucket).alias("_lo"),
     ).filter(F.col("_asked").isNotNull())
 
-    # without a response before, the first one of the bucket or after it is next
+    following = F.coalesce("_lo", "_after")
     chosen = F.coalesce(
         "_prev",
         "_before",
-        F.when(F.col("_after.at") <= F.col("_at") + F.lit(wait_seconds), F.col("_after")),
+        F.when(following["at"] <= F.col("_at") + F.lit(wait_seconds), following),
     )
     return (
-        inside.join(reach, list(_KEY))
+        inside.join(reach, list(_KEY), "left")
         .select("requestId", "_at", chosen.alias("_chosen"))
         .filter(F.col("_chosen").isNotNull())
         .select("requestId", "_at", *[F.col("_chosen")[c].alias(c) for c in INTENT])
