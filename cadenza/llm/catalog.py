@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import mixing, tokens
+from cadenza.llm import mixing, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [mixing.op9_mix_sources, tokens.op10_token_counts]
+    found = [warc.op6_warc_roundtrip, mixing.op9_mix_sources, tokens.op10_token_counts]
     return {f.__name__: f for f in found}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op6_warc_roundtrip": warc.OP6_SQL}
