@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import mixing, tokens, warc
+from cadenza.llm import mixing, pii, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [warc.op6_warc_roundtrip, mixing.op9_mix_sources, tokens.op10_token_counts]
+    found = [
+        pii.op2_personal_data,
+        warc.op6_warc_roundtrip,
+        mixing.op9_mix_sources,
+        tokens.op10_token_counts,
+    ]
     return {f.__name__: f for f in found}
 
 
