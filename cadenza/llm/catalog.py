@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import mixing, pii, tokens, warc
+from cadenza.llm import mixing, pii, secrets, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         pii.op2_personal_data,
+        secrets.op5_secrets,
         warc.op6_warc_roundtrip,
         mixing.op9_mix_sources,
         tokens.op10_token_counts,
