@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import mixing, pii, secrets, tokens, warc
+from cadenza.llm import mixing, pii, quality, secrets, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        quality.op1_quality,
         pii.op2_personal_data,
         secrets.op5_secrets,
         warc.op6_warc_roundtrip,
