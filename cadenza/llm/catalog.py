@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import mixing, pii, quality, secrets, tokens, warc
+from cadenza.llm import contamination, mixing, pii, quality, secrets, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         pii.op2_personal_data,
         secrets.op5_secrets,
         warc.op6_warc_roundtrip,
+        contamination.op7_contamination,
         mixing.op9_mix_sources,
         tokens.op10_token_counts,
     ]
