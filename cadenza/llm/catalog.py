@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import contamination, mixing, pii, quality, secrets, tokens, warc
+from cadenza.llm import contamination, jaccard, mixing, pii, quality, secrets, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         secrets.op5_secrets,
         warc.op6_warc_roundtrip,
         contamination.op7_contamination,
+        jaccard.op8_jaccard_join,
         mixing.op9_mix_sources,
         tokens.op10_token_counts,
     ]
