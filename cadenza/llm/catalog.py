@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import contamination, jaccard, mixing, pii, quality, secrets, tokens, warc
+from cadenza.llm import contamination, jaccard, mixing, pii, quality, secrets, suffixes, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         quality.op1_quality,
         pii.op2_personal_data,
+        suffixes.op3_remove_repeats,
         secrets.op5_secrets,
         warc.op6_warc_roundtrip,
         contamination.op7_contamination,
