@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import contamination, jaccard, mixing, pii, quality, secrets, suffixes, tokens, warc
+import corpus_pipeline
+from cadenza.llm import bm25, contamination, jaccard, mixing, pii, quality, secrets, suffixes, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         quality.op1_quality,
         pii.op2_personal_data,
         suffixes.op3_remove_repeats,
+        bm25.op4_bm25_top10,
         secrets.op5_secrets,
         warc.op6_warc_roundtrip,
         contamination.op7_contamination,
@@ -21,7 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         mixing.op9_mix_sources,
         tokens.op10_token_counts,
     ]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:
