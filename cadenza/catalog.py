@@ -302,7 +302,7 @@ def _geocode_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("eventId").cast("bigint") / 10).alias("call"),
     )
     nation, region = (S.table(spark, sf_dir, n) for n in ("nation", "region"))
-    rows = S.regions(nation, region).select(
+    rows = S.regions(nation, region, moved=False).select(
         (F.col("lng_cell") / 1000 - 100).cast("bigint").alias("user_place"),
         F.concat(F.lit(" "), F.col("province"), F.lit(" x ")).alias("province"),
         "city", "district", "adcode",
@@ -627,6 +627,19 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
 
 
+def _closed(stream: DataFrame, rows: DataFrame, time: str, name: str) -> DataFrame:
+    """``stream`` and, after it, one row of the far future that closes all windows.
+
+    The row is one of ``rows`` with its time moved; its own window stays open, so
+    it is in no result.
+    """
+    spark = rows.sparkSession
+    path = run_dir(spark, f"{name}-end")
+    last = rows.limit(1).withColumn(time, F.lit("2200-01-01").cast(rows.schema[time].dataType))
+    last.write.parquet(path)
+    return stream.union(spark.readStream.schema(stream.schema).parquet(path))
+
+
 def _drained(spark: SparkSession, out: DataFrame, name: str, timers: bool = False) -> DataFrame:
     """Run a stream over what there is and return the table it wrote.
 
@@ -656,14 +669,16 @@ def _drained(spark: SparkSession, out: DataFrame, name: str, timers: bool = Fals
 
 @query
 def stream_song_hot_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plays = S.plays(_stream(spark, sf_dir, "events"))
+    rows = S.table(spark, sf_dir, "events").filter("event_type = 'view'")
+    plays = S.plays(_closed(_stream(spark, sf_dir, "events"), rows, "ts", "song_hot"))
     wide = enrich.add_song(plays, _songs(spark, sf_dir), "songName")
     return _drained(spark, windows.song_hot(wide, delay=WATERMARK_DELAY), "song_hot")
 
 
 @query
 def stream_region_login_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logins = S.logins(_stream(spark, sf_dir, "events"))
+    rows = S.table(spark, sf_dir, "events").filter("event_type = 'signup'")
+    logins = S.logins(_closed(_stream(spark, sf_dir, "events"), rows, "ts", "region_login"))
     wide = enrich.add_region(logins, _regions(spark, sf_dir))
     return _drained(
         spark, windows.region_login(wide, "1 hour", WATERMARK_DELAY), "region_login"
@@ -672,9 +687,11 @@ def stream_region_login_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_ai_overview_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = S.table(spark, sf_dir, "orders")
+    items = S.table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'R'")
     stats = windows.ai_overview(
-        S.responses(_stream(spark, sf_dir, "orders")),
-        S.feedback(_stream(spark, sf_dir, "lineitem")),
+        S.responses(_closed(_stream(spark, sf_dir, "orders"), orders, "o_orderdate", "responses")),
+        S.feedback(_closed(_stream(spark, sf_dir, "lineitem"), items, "l_shipdate", "feedback")),
         "1 day", WATERMARK_DELAY,
     )
     return _drained(spark, stats, "ai_overview")

@@ -36,21 +36,25 @@ plays AS (
 
 _SONGS = """
 songs AS (
-  SELECT CAST(p_partkey AS VARCHAR) AS source_id, p_name, p_type, p_brand, p_size
-  FROM part WHERE p_partkey % 10 <> 7)"""
+  SELECT CAST(CASE WHEN p_partkey % 10 = 7 THEN p_partkey + 1000000000 ELSE p_partkey END
+              AS VARCHAR) AS source_id, p_name, p_type, p_brand, p_size
+  FROM part)"""
 
 _MACHINES = """
 machines AS (
-  SELECT c_custkey AS mid, r_name AS province, n_name AS city
-  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-  WHERE c_custkey % 11 <> 3)"""
+  SELECT CASE WHEN c_custkey % 11 = 3 THEN c_custkey + 1000000000 ELSE c_custkey END AS mid, r_name AS province, n_name AS city
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
-_REGIONS = """
+_PLACES = """
 regions AS (
   SELECT n_nationkey AS place, r_name AS province, n_name AS city,
          'district ' || CAST(n_nationkey % 5 AS VARCHAR) AS district,
          CASE WHEN n_nationkey % 6 <> 0 THEN 'ad' || CAST(n_nationkey AS VARCHAR) END AS adcode
-  FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <> 7)"""
+  FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+
+_REGIONS = _PLACES.replace(
+    "n_nationkey AS place", "CASE WHEN n_nationkey = 7 THEN 407 ELSE n_nationkey END AS place"
+)
 
 _LOGINS = """
 logins AS (
@@ -208,7 +212,7 @@ CAST(event_id AS VARCHAR) AS "eventId", user_id AS "userId",
 'USER_LOGIN_LOCATION_LOG' AS "eventType", lng, lat, epoch_us(ts) // 1000 AS "loginDt",
 user_id AS "machineId", strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H') AS hour"""
 
-_CALLS = f"""WITH {_REGIONS},{_LOGINS},
+_CALLS = f"""WITH {_PLACES},{_LOGINS},
 calls AS (
   SELECT event_id // 10 AS call, CAST(event_id AS VARCHAR) AS event_id,
          lng || ',' || lat AS point, regions.*
@@ -473,24 +477,14 @@ SELECT CAST(request AS VARCHAR) AS "requestId", event_id AS "eventId",
        intent_type AS "intentType", intent_group AS "intentGroup"
 FROM attributed""",
         "stream_song_hot_10s": f"""WITH {_PLAYS},{_SONGS}
-SELECT * FROM (
-  SELECT song_id AS "songId", p_name AS "songName", count(*) AS "playCount",
-         {_bounds("10 seconds")}
-  FROM plays LEFT JOIN songs ON song_id = source_id WHERE action = 'play'
-  GROUP BY song_id, p_name, {_bucket("10 seconds", "ts")})
-WHERE CAST("windowEnd" AS TIMESTAMP) <= (SELECT max(ts) FROM plays) - INTERVAL '3 seconds'""",
-        "stream_region_login_1h": f"""
-SELECT * FROM ({_region_login("1 hour")})
-WHERE CAST("windowEnd" AS TIMESTAMP) <= (
-  SELECT max(ts) FROM events
-  WHERE event_type = 'signup' AND user_id % 25 <> 7) - INTERVAL '3 seconds'""",
-        "stream_ai_overview_1d": f"""
-SELECT * FROM (WITH {_OVERVIEW_DELTAS}
+SELECT song_id AS "songId", p_name AS "songName", count(*) AS "playCount",
+       {_bounds("10 seconds")}
+FROM plays LEFT JOIN songs ON song_id = source_id WHERE action = 'play'
+GROUP BY song_id, p_name, {_bucket("10 seconds", "ts")}""",
+        "stream_region_login_1h": _region_login("1 hour"),
+        "stream_ai_overview_1d": f"""WITH {_OVERVIEW_DELTAS}
 SELECT {_bounds("1 day")}, {_METRIC_SUMS}
-FROM deltas GROUP BY {_bucket("1 day", "ts")})
-WHERE CAST("windowEnd" AS TIMESTAMP) <= greatest(
-  (SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem))
-  - INTERVAL '3 seconds'""",
+FROM deltas GROUP BY {_bucket("1 day", "ts")}""",
         "stream_feedback_attribution": f"""WITH {_attributed("o_custkey", "60 days")}
 SELECT CAST(request AS VARCHAR) AS "requestId", {_text("fed_at")} AS "feedbackTime",
        raw_kind AS "feedbackType", intent_type AS "intentType", intent_group AS "intentGroup",

@@ -136,12 +136,17 @@ def logins(events: DataFrame) -> DataFrame:
     )
 
 
+#: Distance of the new keys of dimension rows that facts do not know.
+MOVED = 1_000_000_000
+
+
 # --- dimensions --------------------------------------------------------------
 
 def songs(part: DataFrame) -> DataFrame:
-    """Songs; every tenth key is missing, so that some look-ups find nothing."""
-    return part.filter("p_partkey % 10 != 7").select(
-        _text("p_partkey").alias("source_id"),
+    """Songs; every tenth one has moved to a new key, so that some look-ups find nothing."""
+    key = F.col("p_partkey")
+    return part.select(
+        _text(F.when(key % 10 == 7, key + MOVED).otherwise(key)).alias("source_id"),
         F.col("p_name").alias("name"),
         F.col("p_type").alias("album"),
         F.col("p_brand").alias("singer_info"),
@@ -151,25 +156,30 @@ def songs(part: DataFrame) -> DataFrame:
 
 
 def machines(customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
-    """Machines with province and city; every eleventh one is missing."""
+    """Machines with province and city; every eleventh one has moved to a new key."""
+    key = F.col("c_custkey")
     placed = customer.join(
         nation, F.col("c_nationkey") == F.col("n_nationkey")
     ).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return placed.filter("c_custkey % 11 != 3").select(
-        _text("c_custkey").alias("mid"),
+    return placed.select(
+        _text(F.when(key % 11 == 3, key + MOVED).otherwise(key)).alias("mid"),
         F.col("r_name").alias("province"),
         F.col("n_name").alias("city"),
         F.lit("").alias("address"),
     )
 
 
-def regions(nation: DataFrame, region: DataFrame) -> DataFrame:
-    """Grid cells with their region; one place is missing, some have no adcode."""
+def regions(nation: DataFrame, region: DataFrame, moved: bool = True) -> DataFrame:
+    """Grid cells with their region; some have no adcode.
+
+    With ``moved`` one place lies in a cell that no login has.
+    """
     placed = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     key = F.col("n_nationkey")
-    return placed.filter(key != 7).select(
-        ((100 + key) * 1000).cast("bigint").alias("lng_cell"),
-        ((20 + key) * 1000).cast("bigint").alias("lat_cell"),
+    cell = F.when((key == 7) & F.lit(moved), key + 400).otherwise(key)
+    return placed.select(
+        ((100 + cell) * 1000).cast("bigint").alias("lng_cell"),
+        ((20 + cell) * 1000).cast("bigint").alias("lat_cell"),
         F.col("r_name").alias("province"),
         F.col("n_name").alias("city"),
         F.concat(F.lit("district "), _text(key % 5)).alias("district"),
