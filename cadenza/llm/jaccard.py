@@ -6,12 +6,14 @@
    counts all shingles of all texts.  Two sets within the bound share a shingle
    among the first |x| - ceil(t |x|) + 1 of either (the prefix).
 3. Classes of equal size and equal prefix form a group.  Groups meet by prefix
-   shingle and size band, and pairs must fulfil the size and position bounds.
+   shingle, and pairs must fulfil the size and position bounds.
 4. First every group is compared with the least group it meets (and every class
    with the least of its group); what is linked is one component.  Then all pairs
    that still lie in different components are expanded to classes and compared.
    So no link between components is missed, and large groups of near copies are
    not compared pair by pair.
+   Pairs are compared in two steps: counts of shingles in 256 parts of the hash range
+   bound what two sets can share, and only pairs within the bound send their sets.
 5. Components of the links give each text its class.
 
 Texts are sent to a comparison as shingle sets, by hub; a hub with many partners is
@@ -148,79 +150,102 @@ def _described(rows: DataFrame, n: int, num: int, den: int, level: np.ndarray) -
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes, nodes, prefixes = [], [], []
+            sizes, nodes, prefixes, profiles = [], [], [], []
             for s in shingle_sets(batch["body"].tolist(), n):
                 sizes.append(len(s))
                 nodes.append(set_key(s) if len(s) else None)
                 rare = np.lexsort((s, level[_slot(s)]))[: prefix_length(len(s), num, den)] if len(s) else []
                 prefixes.append(signed(s[rare]) if len(s) else None)
+                profiles.append(profile(s) if len(s) else None)
             yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "n_shingles": sizes, "node": pd.array(nodes, "Int64"), "prefix": prefixes}
+                {
+                    "doc_id": batch["doc_id"], "n_shingles": sizes, "node": pd.array(nodes, "Int64"),
+                    "prefix": prefixes, "profile": profiles,
+                }
             )
 
-    return rows.mapInPandas(describe, "doc_id long, n_shingles long, node long, prefix array<long>")
+    return rows.mapInPandas(describe, "doc_id long, n_shingles long, node long, prefix array<long>, profile binary")
 
 
 def _meetings(entries: DataFrame, num: int, den: int, stars: bool) -> DataFrame:
     """Pairs (a, b) of groups that meet at a prefix shingle and may be linked.
 
-    ``entries``: token, band, own (whether it is the entry's own band), gid, size,
-    place, label.  With ``stars`` only the pair with the least group of the
-    bucket that fits; else all pairs of different or unknown label.
+    ``entries``: token, gid, size, place, label.  With ``stars`` only the pair with
+    the least group of the bucket that fits; else all pairs of different or unknown
+    label.
     """
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set = set()
-        for bucket in _buckets(batches):
-            for a, b in _pairs(bucket, num, den, stars):
-                yield_ = [(x, y) for x, y in zip(a.tolist(), b.tolist()) if (x, y) not in seen]
-                seen.update(yield_)
-                if len(seen) > 1 << 18:
-                    seen.clear()
-                if yield_:
-                    yield pd.DataFrame(yield_, columns=["a", "b"], dtype=np.int64)
-
-    dealt = entries.repartition("token", "band").sortWithinPartitions("token", "band", "size", "gid")
+        for rows in _whole_tokens(batches):
+            cut = _cuts_of(rows["token"])
+            size = np.diff(cut)
+            found = []
+            two = cut[:-1][size == 2]  # most buckets, all at once
+            x, y = ({c: v[two + i] for c, v in rows.items()} for i in (0, 1))
+            fits = _may_link(x["size"], x["place"], y["size"], y["place"], num, den)
+            fits &= stars | (x["label"] != y["label"]) | (x["label"] == 0)
+            found.append((np.minimum(x["gid"], y["gid"])[fits], np.maximum(x["gid"], y["gid"])[fits]))
+            for i in np.flatnonzero(size > 2).tolist():
+                bucket = {c: v[cut[i] : cut[i + 1]] for c, v in rows.items()}
+                found.extend(_pairs(bucket, num, den, stars))
+            pairs = np.unique(np.array([np.concatenate(side) for side in zip(*found)]).T, axis=0)
+            for at in range(0, len(pairs), 1 << 16):
+                some = pairs[at : at + (1 << 16)]
+                yield pd.DataFrame({"a": some[:, 0], "b": some[:, 1]})
+
+    dealt = entries.repartition("token").sortWithinPartitions("token", "size", "gid")
     return dealt.mapInPandas(meet, "a long, b long").distinct()
 
 
-def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
-    """Runs of rows of one (token, band), which may lie over several batches."""
+def _shared(entries: DataFrame) -> DataFrame:
+    """The entries whose token more than one group has."""
+
+    def several(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_tokens(batches):
+            same = rows["token"][1:] == rows["token"][:-1]
+            keep = np.append(same, False) | np.append(False, same)
+            yield pd.DataFrame({c: v[keep] for c, v in rows.items()})
+
+    dealt = entries.repartition("token").sortWithinPartitions("token")
+    return dealt.mapInPandas(several, entries.schema)
+
+
+def _whole_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+    """Columns of the rows in order, cut only between tokens."""
     held: list[pd.DataFrame] = []
     for batch in batches:
         if not len(batch):
             continue
-        token, band = batch["token"].to_numpy(), batch["band"].to_numpy()
-        if held and (held[-1]["token"].iloc[-1] != token[0] or held[-1]["band"].iloc[-1] != band[0]):
-            yield from _split(pd.concat(held))
+        token = batch["token"].to_numpy()
+        if held and held[-1]["token"].iloc[-1] != token[0]:
+            yield _columns(held)
             held = []
-        cut = np.flatnonzero((token[1:] != token[:-1]) | (band[1:] != band[:-1])) + 1
-        if len(cut):
-            yield from _split(pd.concat([*held, batch.iloc[: cut[-1]]]))
-            held = [batch.iloc[cut[-1] :]]
-        else:
-            held.append(batch)
+        cut = int(np.searchsorted(token, token[-1]))  # where the last token begins
+        if cut:
+            yield _columns([*held, batch.iloc[:cut]])
+            held = []
+        held.append(batch.iloc[cut:])
     if held:
-        yield from _split(pd.concat(held))
+        yield _columns(held)
+
 
+def _columns(frames: list[pd.DataFrame]) -> dict:
+    frame = pd.concat(frames) if len(frames) > 1 else frames[0]
+    return {c: frame[c].to_numpy() for c in frame.columns}
 
-def _split(frame: pd.DataFrame) -> Iterator[dict]:
-    columns = {c: frame[c].to_numpy() for c in frame.columns}
-    token, band = columns["token"], columns["band"]
-    cut = np.concatenate(([0], np.flatnonzero((token[1:] != token[:-1]) | (band[1:] != band[:-1])) + 1, [len(token)]))
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        if b - a > 1:
-            yield {c: v[a:b] for c, v in columns.items()}
+
+def _cuts_of(token: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]))
 
 
 def _pairs(bucket: dict, num: int, den: int, stars: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    gid, size, place, own, label = (bucket[c] for c in ("gid", "size", "place", "own", "label"))
+    gid, size, place, label = (bucket[c] for c in ("gid", "size", "place", "label"))
     if stars:
         # the least group of the bucket; those it does not fit get the least of the rest
         rest = np.arange(len(gid))
         while len(rest) > 1:
             hub = rest[np.argmin(gid[rest])]
-            fits = _may_link(size[hub], place[hub], size[rest], place[rest], num, den) & (own[hub] | own[rest])
+            fits = _may_link(size[hub], place[hub], size[rest], place[rest], num, den)
             others = rest[fits & (gid[rest] != gid[hub])]
             if len(others):
                 yield np.full(len(others), gid[hub]), gid[others]
@@ -229,7 +254,7 @@ def _pairs(bucket: dict, num: int, den: int, stars: bool) -> Iterator[tuple[np.n
     for i in range(len(gid) - 1):
         top = np.searchsorted(size, size[i] * den // num, "right")
         j = np.arange(i + 1, max(i + 1, top))
-        j = j[_may_link(size[i], place[i], size[j], place[j], num, den) & (own[i] | own[j]) & (gid[j] != gid[i])]
+        j = j[_may_link(size[i], place[i], size[j], place[j], num, den) & (gid[j] != gid[i])]
         j = j[(label[j] != label[i]) | (label[i] == 0)]
         if len(j):
             yield np.minimum(gid[i], gid[j]), np.maximum(gid[i], gid[j])
@@ -242,9 +267,32 @@ def _may_link(size, place, sizes, places, num: int, den: int) -> np.ndarray:
     return (den * low >= num * high) & (np.minimum(size - place, sizes - places) >= need)
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def profile(shingles: np.ndarray) -> bytes:
+    """How many shingles lie in each of 256 parts of the hash range; 65535 for more."""
+    counts = np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=256)
+    return np.minimum(counts, 65535).astype(np.uint16).tobytes()
+
+
+def _within_profiles(pairs: DataFrame, profiles: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose profiles allow the bound: sets share at most the smaller count of each part."""
+
+    def allow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x, y = (
+                np.frombuffer(b"".join(batch[c]), np.uint16).reshape(-1, 256).astype(np.int64) for c in ("px", "py")
+            )
+            x, y = np.where(x == 65535, 1 << 40, x), np.where(y == 65535, 1 << 40, y)
+            most = np.minimum(x, y).sum(axis=1)
+            fits = (num + den) * most >= num * (batch["nx"] + batch["ny"]).to_numpy()
+            yield batch.loc[fits, ["a", "b"]]
+
+    both = pairs.join(profiles.toDF("a", "nx", "px"), "a").join(profiles.toDF("b", "ny", "py"), "b")
+    return both.mapInPandas(allow, "a long, b long")
+
+
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, profiles: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are within the bound."""
-    pairs = common.materialize(pairs, "jaccard-pairs")
+    pairs = common.materialize(_within_profiles(pairs, profiles, num, den), "jaccard-pairs")
     degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("salts"))
     hubs = degree.select(
         F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
@@ -309,30 +357,29 @@ def near_duplicates(
     some = found.where(F.col("n_shingles") > 0)
     classes = common.materialize(
         some.groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix")
+            F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"), F.first("profile").alias("profile")
         ).withColumn("gid", F.xxhash64("size", "prefix")),
         "jaccard-classes",
     )
+    profiles = classes.select("node", "size", "profile")
     reps = classes.where(F.col("doc_id").isNotNull()).select("node", "doc_id")
     groups = classes.groupBy("gid").agg(
         F.min("node").alias("head"), F.count(F.lit(1)).alias("members"), F.first("size").alias("size"), F.first("prefix").alias("prefix")
     )
-    # sizes within the bound lie in one band or in neighbouring ones
-    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
+    # most shingles are in one group only and end here
     entries = common.materialize(
-        groups.select("gid", "head", "size", band.alias("band0"), F.posexplode("prefix").alias("place", "token"))
-        .select("token", F.explode(F.array(
-            F.struct(F.col("band0").alias("band"), F.lit(True).alias("own")),
-            F.struct((F.col("band0") + 1).alias("band"), F.lit(False).alias("own")),
-        )).alias("b"), "gid", "size", F.col("place").cast("long").alias("place"))
-        .select("token", "b.band", "b.own", "gid", "size", "place"),
+        _shared(
+            groups.select("gid", "size", F.posexplode("prefix").alias("place", "token")).select(
+                "token", "gid", F.col("size").cast("int").alias("size"), "place"
+            )
+        ),
         "jaccard-entries",
     )
     heads = groups.select("gid", "head")
     star = _meetings(entries.withColumn("label", F.lit(0).cast("long")), num, den, True)
     star = star.join(heads.toDF("a", "u"), "a").join(heads.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
     inside = classes.join(heads, "gid").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
-    links = _verified(rows, reps, star.union(inside).distinct(), n, num, den)
+    links = _verified(rows, reps, star.union(inside).distinct(), profiles, n, num, den)
     label = common.materialize(components(links), "jaccard-labels")
     labelled = common.materialize(
         classes.select("gid", "node").join(label, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("label")),
@@ -350,7 +397,7 @@ def near_duplicates(
         (F.col("a") < F.col("b")) & (F.col("p") != F.col("q"))
     ).select("a", "b")
     pairs = across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _verified(rows, reps, pairs, n, num, den)
+    more = _verified(rows, reps, pairs, profiles, n, num, den)
     return _with_components(found, classes, links.union(more))
 
 
