@@ -49,10 +49,10 @@ def classify(
     ).drop("_q", "_singer")
 
 
-def _ranked(board: DataFrame, *columns: str) -> Column:
-    """The best ``MAX_ANSWER_ROWS`` rows of a board as one array, best first."""
+def _ranked(board: DataFrame, rows: int, *columns: str) -> Column:
+    """The best ``rows`` rows of a board as one array, best first."""
     rank = (-F.col("playCount")).alias("rank")
-    top = board.orderBy(rank, *columns).limit(V.MAX_ANSWER_ROWS)
+    top = board.orderBy(rank, *columns).limit(rows)
     return top.agg(F.array_sort(F.array_agg(F.struct(rank, *columns)))).scalar()
 
 
@@ -68,15 +68,18 @@ def answer(
     classified: DataFrame,
     song_board: DataFrame,
     singer_board: DataFrame,
+    rules: Q.QuestionRules = Q.DEFAULT_RULES,
 ) -> DataFrame:
     """Answer each classified question from the two boards (see ``boards``).
 
-    The best ``MAX_ANSWER_ROWS`` rows of each become one value that every question
-    slices by its own limit, so questions are neither shuffled nor joined.  Adds ``answerText, success, responseSource,
-    resultSongIds, resultSingerNames``.
+    The best ``rules.max_rows`` rows of each, the most that a question classified
+    by these rules may ask for, become one value that every question slices by its
+    own limit, so questions are neither shuffled nor joined.  The boards must be of
+    that size.  Adds ``answerText, success, responseSource, resultSongIds,
+    resultSingerNames``.
     """
-    songs = _ranked(song_board, "songId", "songName")
-    singers = _ranked(singer_board, "singerInfo")
+    songs = _ranked(song_board, rules.max_rows, "songId", "songName")
+    singers = _ranked(singer_board, rules.max_rows, "singerInfo")
     limit = F.col("rowLimit")
     with_rows = evaluated_once(
         classified,

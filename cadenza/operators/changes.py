@@ -84,9 +84,16 @@ def route_changes(changes: DataFrame, config: DataFrame) -> DataFrame:
         "sink_topic",
     )
     joined = changes.join(names, ["database", "table"])
-    own = F.map_filter("data", lambda k, v: ~k.isin(*META_KEYS))
-    meta = F.create_map(*[x for k in META_KEYS for x in (F.lit(k), F.col(k))])
-    return joined.withColumn("data", F.map_concat(own, meta))
+    # a doubled key keeps its last value, as in a map that is filled in order
+    entries = F.map_entries("data")
+
+    def last_of_its_key(entry: Column, i: Column) -> Column:
+        later = F.slice(F.map_keys("data"), i + 2, F.greatest(F.size("data") - i - 1, F.lit(0)))
+        return ~entry["key"].isin(*META_KEYS) & ~F.array_contains(later, entry["key"])
+
+    own = F.filter(entries, last_of_its_key)
+    meta = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in META_KEYS])
+    return joined.withColumn("data", F.map_from_entries(F.concat(own, meta)))
 
 
 def with_topic(routed: DataFrame) -> DataFrame:

@@ -66,16 +66,17 @@ def zip_answers(
 def resolve_regions(
     logins: DataFrame, resolver: Resolver, batch_size: int = GEOCODE_BATCH_SIZE
 ) -> DataFrame:
-    """Ask ``resolver`` for each run of ``batch_size`` logins and add the regions.
+    """Ask ``resolver`` for each run of ``batch_size`` places and add the regions.
 
-    The calls run in the tasks, one Arrow batch at a time; the last short run of
-    a batch is asked for as well.  Logins without an entry in the answer get a
-    NULL region.
+    Every place is asked for once, however many logins it has.  The calls run in
+    the tasks, one Arrow batch at a time; the last short run of a batch is asked for
+    as well.  Logins without an entry in the answer get a NULL region, and so do those
+    of a run that the resolver refuses or answers with something else: see
+    :func:`unresolved`.
     """
     facts = valid_logins(logins).withColumn("_key", location_key("lng", "lat"))
-    schema = T.StructType(
-        [*facts.schema.fields, T.StructField("_entry", T.StringType())]
-    )
+    places = facts.select("_key").distinct()
+    schema = T.StructType([*places.schema.fields, T.StructField("_entry", T.StringType())])
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
@@ -85,21 +86,28 @@ def resolve_regions(
             entries: list[str | None] = []
             for start in range(0, len(keys), batch_size):
                 part = keys[start:start + batch_size]
-                answer = json.loads(resolver(part))
-                if (
-                    str(answer.get("status")) != GEOCODE_OK_STATUS
-                    or str(answer.get("infocode")) != GEOCODE_OK_INFOCODE
-                ):
-                    raise RuntimeError("the geocoder refused a batch")
+                try:
+                    answer = json.loads(resolver(part))
+                except (TypeError, ValueError):
+                    answer = None
+                answer = answer if isinstance(answer, dict) else {}
+                good = (
+                    str(answer.get("status")) == GEOCODE_OK_STATUS
+                    and str(answer.get("infocode")) == GEOCODE_OK_INFOCODE
+                )
+                listed = answer.get("regeocodes") if good else None
                 found = [
                     json.dumps(e, ensure_ascii=False)
-                    for e in (answer.get("regeocodes") or [])[: len(part)]
+                    for e in (listed if isinstance(listed, list) else [])[: len(part)]
                 ]
                 entries += found + [None] * (len(part) - len(found))
             yield frame.assign(_entry=pd.Series(entries, index=frame.index, dtype=object))
 
-    asked = facts.mapInPandas(ask, schema)
-    parsed = evaluated_once(asked, {"_entry": parse_entry(F.col("_entry"))})
-    return parsed.select(
-        *[c for c in facts.columns if c != "_key"], *region_columns(F.col("_entry"))
-    )
+    asked = evaluated_once(places.mapInPandas(ask, schema), {"_entry": parse_entry(F.col("_entry"))})
+    known = asked.select("_key", *region_columns(F.col("_entry")))
+    return facts.join(known, "_key", "left").drop("_key")
+
+
+def unresolved(resolved: DataFrame) -> DataFrame:
+    """Logins of :func:`resolve_regions` without a region, with the reason."""
+    return resolved.filter(F.col("province").isNull()).withColumn("reason", F.lit("no region"))

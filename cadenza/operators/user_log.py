@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from cadenza.fixed_values import LOGIN_EVENT, SONG_EVENT
 from cadenza.functions.json import as_int, as_long, is_bad_number, parse_object
 from cadenza.functions.once import evaluated_once
-from cadenza.functions.time import date_of_millis, hour_of_millis, seconds_to_millis
+from cadenza.functions.time import (
+    date_of_millis, hour_of_millis, seconds_to_millis, usable_millis,
+)
 
 _EVENT_FIELDS = (
     "timestamp", "mid", "event_type", "event_content",
@@ -53,7 +55,7 @@ def route_of(event_type: Column, operation: Column) -> Column:
     """Route of an event; total and exclusive. ``operation`` is its text."""
     code = as_int(operation)
     by_operation = (
-        F.when(is_bad_number(operation), UNKNOWN)
+        F.when(is_bad_number(operation) | (as_long(operation).isNotNull() & code.isNull()), UNKNOWN)
         .when(code == 0, PLAY)
         .when(code == 1, PAUSE)
         .when(code == 2, SKIP)
@@ -85,6 +87,7 @@ def split_user_log(events: DataFrame, event: str = "event") -> DataFrame:
         F.when(~(song | is_login_event()), "invalid event")
         .when(F.col("route") == UNKNOWN, "unknown operation")
         .when(song & seconds_to_millis(F.col("ev.timestamp")).isNull(), "bad timestamp")
+        .when(~song & usable_millis(as_long(F.col("ev.login_dt"))).isNull(), "bad timestamp")
         .when(song & _machine_id().isNull(), "bad machine id")
         .when(~song & is_bad_number(F.col("ev.mid")), "bad machine id")
     )

@@ -44,6 +44,11 @@ def with_millis(rows: DataFrame, millis: str, delay: str | None) -> DataFrame:
     return timed.withWatermark(EVENT_TIME, delay) if delay else timed
 
 
+def _late_enough(predicate: Column, delay: str | None) -> Column:
+    """A filter that on streams stays above the watermark, and in batch reaches the scan."""
+    return kept_above_watermark(predicate, EVENT_TIME) if delay else predicate
+
+
 def window_bounds() -> list[Column]:
     return [
         timestamp_to_text(F.col("window.start")).alias("windowStart"),
@@ -61,7 +66,7 @@ def play_times(wide: DataFrame, delay: str | None = None) -> DataFrame:
     """Rows with a time and a song, in event time; plays only."""
     rows = wide.filter(F.col("timestamp").isNotNull() & F.col("songId").isNotNull())
     timed = with_millis(rows, "timestamp", delay)
-    return timed.filter(kept_above_watermark(F.col("action") == "play", EVENT_TIME))
+    return timed.filter(_late_enough(F.col("action") == "play", delay))
 
 
 def song_hot(
@@ -107,7 +112,7 @@ def singer_hot(
     """Plays per singer and window; plays without a singer are not counted."""
     timed = with_millis(wide, "timestamp", delay)
     known = (F.col("action") == "play") & (F.col("singerInfo") != "")
-    plays = timed.filter(kept_above_watermark(known, EVENT_TIME))
+    plays = timed.filter(_late_enough(known, delay))
     counted = plays.groupBy(_tumbling(length).alias("window"), "singerInfo").agg(
         F.count(F.lit(1)).alias("playCount")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.fixed_values import BOARD_SIZE, WINDOW_LENGTH
+from cadenza.functions.time import millis_to_timestamp
 from cadenza.operators.boards import SINGER_BOARD, SONG_BOARD, best
 from cadenza.operators.enrich import add_song
 from cadenza.operators.windows import EVENT_TIME, play_times, to_serving, window_bounds
@@ -52,7 +53,7 @@ def _newest_plays(
     last = play_times(plays).groupBy("songId").agg(F.max("timestamp").alias("timestamp"))
     served = last.join(known, "songId", "left_semi")
     newest = served.agg(F.max("timestamp").alias("t")).select(
-        F.unix_millis(F.window(F.timestamp_millis("t"), length)["start"])
+        F.unix_millis(F.window(millis_to_timestamp(F.col("t")), length)["start"])
     ).scalar()
     return plays.filter(F.col("timestamp") >= newest)
 

@@ -59,11 +59,13 @@ def configured_dir(spark: SparkSession) -> str | None:
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A path below the cluster's shared folder.
 
-    Only where the session names none (single-machine tests) a temporary folder
-    is made, one per application.
+    Only where the session names none and runs on one machine (as in tests) a
+    temporary folder is made, one per application.
     """
     root = configured_dir(spark)
     if root is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("on a cluster spark.checkpoint.dir must name a shared folder")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL_ROOTS:
             _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="cadenza-")

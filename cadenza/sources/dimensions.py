@@ -9,14 +9,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.operators import changes
 from cadenza.sources import files
 
-#: more configured tables than this is a mistake, not a control table
-MAX_CONFIGURED_TABLES = 10_000
-
 
 @dataclass(frozen=True)
 class DimensionStore:
@@ -46,34 +44,27 @@ class DimensionStore:
         """Write a new version of each table that ``latest`` changes.
 
         ``latest`` has one row per table and key (``changes.latest_changes``).
-        The configuration names tables and columns, so it is read on the driver;
-        dimension rows are not.
+        Names and columns of the tables that this batch changes come to the driver,
+        rows do not.
         """
         rows = config.select("phoenix_tbl_name", "pk_col", "cols").distinct()
-        configured = rows.take(MAX_CONFIGURED_TABLES + 1)
-        if len(configured) > MAX_CONFIGURED_TABLES:
-            raise ValueError("too many configured tables")
-        touched = {
-            r[0] for r in latest.select("phoenix_table_name").distinct().collect()
-        }
+        touched = latest.select(F.col("phoenix_table_name").alias("phoenix_tbl_name")).distinct()
         done = []
-        for table, pk_col, cols in configured:
-            if table in touched:
-                self._write(latest, table, pk_col, cols, batch_id)
-                done.append(table)
+        for table, pk_col, cols in rows.join(touched, "phoenix_tbl_name").collect():
+            self._write(latest, table, pk_col, cols, batch_id)
+            done.append(table)
         return sorted(done)
 
     def _write(
         self, latest: DataFrame, table: str, pk_col: str, cols: str, batch_id: int
     ) -> None:
         name = f"v={batch_id:012d}"
-        target = f"{self.root}/{table}/{name}"
-        if files.is_complete(self.spark, target):
-            return
         older = [v for v in self._versions(table) if v < name]
         snapshot = self._load(table, older[-1]) if older else None
         new = changes.apply_changes(snapshot, latest, table, pk_col, cols)
-        new.write.mode("overwrite").parquet(target)
+        files.write_whole(
+            new.write.mode("overwrite").parquet, self.spark, f"{self.root}/{table}", name
+        )
 
     def expire(self, table: str, keep: int = 3) -> None:
         """Delete all but the newest ``keep`` versions."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,6 +22,28 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return exists(spark, f"{path}/_SUCCESS")
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder in one step."""
+    where, fs = _path(spark, source)
+    if not fs.rename(where, _path(spark, target)[0]):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def write_whole(writer: Callable[[str], None], spark: SparkSession, path: str, name: str) -> None:
+    """Let ``writer`` fill the folder ``path/name``, which readers see whole or not at all.
+
+    It is written beside, below a hidden name that no reader lists, and moved
+    when its write is committed.  A folder that is there already is left as it is;
+    what an aborted attempt left behind is overwritten.
+    """
+    target = f"{path}/{name}"
+    if exists(spark, target):
+        return
+    staged = f"{path}/.staged-{name}"
+    writer(staged)
+    move(spark, staged, target)
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders directly below ``path``."""
     where, fs = _path(spark, path)
@@ -34,11 +58,8 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, fmt: str = "parquet") -> None:
-    """Write one micro-batch below ``path``, once however often it is replayed.
-
-    A folder that was committed is left as it is; one that an aborted attempt
-    left behind is overwritten.
-    """
-    target = f"{path}/batch_id={batch_id}"
-    if not is_complete(df.sparkSession, target):
-        df.write.mode("overwrite").format(fmt).save(target)
+    """Write one micro-batch below ``path``, once however often it is replayed."""
+    write_whole(
+        lambda target: df.write.mode("overwrite").format(fmt).save(target),
+        df.sparkSession, path, f"batch_id={batch_id}",
+    )

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.sources.files import is_complete, write_batch
+from cadenza.sources.files import write_batch, write_whole
 
 
 def starting_offsets(mode: str | None) -> str:
@@ -21,6 +21,10 @@ def starting_offsets(mode: str | None) -> str:
     return "latest" if (mode or "").lower() == "latest" else "earliest"
 
 
+#: folder of the messages that name their topic
+ROUTED = "_by_topic"
+
+
 @dataclass(frozen=True)
 class KafkaTopics:
     """Topics of a Kafka cluster; writes are at-least-once."""
@@ -43,7 +47,9 @@ class KafkaTopics:
         )
         return raw.select(
             F.col("value").cast("string").alias("value"),
-            F.struct("timestamp", "partition", "offset").alias("seq"),
+            # a key keeps to its partition, whose offsets are the order of arrival;
+            # producers' timestamps may run backwards
+            F.struct("partition", "offset").alias("seq"),
         )
 
     def ordered(self, batch: DataFrame) -> DataFrame:
@@ -78,6 +84,10 @@ class FolderTopics:
         lines = reader.schema("value string").option("recursiveFileLookup", "true").text(
             self.path(topic)
         )
+        return self._positioned(lines)
+
+    @staticmethod
+    def _positioned(lines: DataFrame) -> DataFrame:
         return lines.select(
             "value",
             F.struct(
@@ -97,11 +107,12 @@ class FolderTopics:
             write_batch(rows.select("value"), self.path(topic), batch_id, "text")
             return
         # one folder per topic named by the rows, all written in one job
-        target = f"{self.root}/_by_topic/batch_id={batch_id}"
-        if not is_complete(rows.sparkSession, target):
-            rows.select("topic", "value").write.mode("overwrite").partitionBy("topic").text(target)
-
-    def read_routed(self, spark: SparkSession, topic: str) -> DataFrame:
-        """Messages of one topic out of those written by row topic (a table)."""
-        routed = spark.read.text(f"{self.root}/_by_topic")
-        return routed.filter(F.col("topic") == topic).select("value")
+        named = rows.select("topic", "value").write.mode("overwrite").partitionBy("topic")
+        write_whole(named.text, rows.sparkSession, f"{self.root}/{ROUTED}", f"batch_id={batch_id}")
+
+    def read_routed(self, spark: SparkSession, topic: str, stream: bool = False) -> DataFrame:
+        """Messages of one topic out of those written by row topic."""
+        reader = (spark.readStream if stream else spark.read).schema("value string")
+        if stream and self.max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", self.max_files_per_trigger)
+        return self._positioned(reader.text(f"{self.root}/{ROUTED}/batch_id=*/topic={topic}"))

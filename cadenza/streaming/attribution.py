@@ -33,7 +33,6 @@ OUTPUT = (
     "requestId string, feedbackTime string, feedbackType string, times long, "
     "intentType string, intentGroup string"
 )
-DAY_MS = 86_400_000
 
 # the processor travels to the workers as code, so they need not have the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -162,13 +161,14 @@ def attribute_stream(
     responses: DataFrame,
     feedback: DataFrame,
     wait_ms: int = PENDING_FEEDBACK_MINUTES * 60_000,
-    intent_ttl_ms: int | None = 7 * DAY_MS,
+    intent_ttl_ms: int | None = None,
     event_wait_seconds: int | None = None,
     tie: str = "eventId",
 ) -> DataFrame:
     """Counts of feedback per request, time, kind and the intent they count for.
 
-    ``intent_ttl_ms`` bounds how long an intent is remembered; with
+    An intent is remembered for good, unless ``intent_ttl_ms`` bounds that (by wall
+    clock, so that a replay may then attribute less); with
     ``event_wait_seconds`` waiting feedback also has to be that close to its
     response in event time.
     """

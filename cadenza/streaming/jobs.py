@@ -21,7 +21,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cadenza import schemas
 from cadenza.fixed_values import TOPICS, WATERMARK_DELAY, WINDOW_LENGTH
-from cadenza.operators import assistant, changes, decode, enrich, user_log, windows
+from cadenza.operators import (
+    assistant, changes, decode, enrich, geocode, user_log, windows,
+)
 from cadenza.session import configured_dir
 from cadenza.sources.dimensions import DimensionStore
 from cadenza.sources.files import write_batch
@@ -31,6 +33,9 @@ from cadenza.streaming.attribution import intent_deltas
 
 Topics = FolderTopics | KafkaTopics
 
+#: jobs that do not start at the newest messages
+DEFAULT_START = {"assistant_log": "earliest"}
+
 #: tables between the two halves of each line
 WIDE_TABLES: dict[str, T.StructType] = {
     "dwm_song_play": schemas.SONG_PLAY_WIDE,
@@ -65,6 +70,8 @@ class Warehouse:
     #: layers also published as JSON messages to their topic
     publish: frozenset[str] = frozenset()
     sinks: Mapping[str, BatchSink] = field(default_factory=dict)
+    #: where a job's topic starts if it has no checkpoint yet: ``latest`` or ``earliest``
+    starting: Mapping[str, str] = field(default_factory=dict)
 
     def path(self, table: str) -> str:
         return f"{self.root}/tables/{table}"
@@ -93,6 +100,11 @@ class Warehouse:
             reader = reader.option("maxFilesPerTrigger", self.max_files_per_trigger)
         return reader.parquet(self.path(table))
 
+    def messages(self, topic: str, job: str) -> DataFrame:
+        """The stream of a raw topic, from where the job starts."""
+        mode = self.starting.get(job, DEFAULT_START.get(job, "latest"))
+        return self.topics.read(self.spark, TOPICS[topic], mode)
+
     def write(self, rows: DataFrame, layer: str, batch_id: int) -> None:
         """One layer of a micro-batch: its table, and its topic if published."""
         write_batch(rows, self.path(layer), batch_id)
@@ -120,9 +132,15 @@ class Warehouse:
 # --- first halves: raw messages to wide tables -------------------------------
 
 def user_log_job(
-    wh: Warehouse, regions: Callable[[SparkSession], DataFrame] | None = None
+    wh: Warehouse,
+    regions: Callable[[SparkSession], DataFrame] | None = None,
+    resolver: geocode.Resolver | None = None,
 ) -> StreamingQuery:
-    """User log to plays, other operations, logins; plays and logins enriched."""
+    """User log to plays, other operations, logins; plays and logins enriched.
+
+    Logins get their region from a grid table, or else from a geocoder that is
+    asked once for each place of a micro-batch.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -139,8 +157,12 @@ def user_log_job(
             wh.write(logins, "dwd_login", batch_id)
             if regions is not None:
                 wh.write(enrich.add_region(logins, regions(spark)), "dwm_login", batch_id)
+            elif resolver is not None:
+                with _kept(geocode.resolve_regions(logins, resolver)) as resolved:
+                    wh.write(resolved, "dwm_login", batch_id)
+                    wh.write(geocode.unresolved(resolved), "quarantine_geocode", batch_id)
 
-    return wh.start(wh.topics.read(wh.spark, TOPICS["ods_user_log"]), "user_log", each)
+    return wh.start(wh.messages("ods_user_log", "user_log"), "user_log", each)
 
 
 CONSUME_TOPIC = TOPICS["dwd_consume"]
@@ -177,7 +199,7 @@ def change_log_job(wh: Warehouse) -> StreamingQuery:
             wide = enrich.consume_wide(enrich.parse_consume(consume), machines)
             wh.write(wide, "dwm_consume", batch_id)
 
-    return wh.start(wh.topics.read(wh.spark, TOPICS["ods_changes"]), "change_log", each)
+    return wh.start(wh.messages("ods_changes", "change_log"), "change_log", each)
 
 
 def assistant_log_job(wh: Warehouse) -> StreamingQuery:
@@ -192,7 +214,7 @@ def assistant_log_job(wh: Warehouse) -> StreamingQuery:
             wh.write(assistant.widen_responses(responses), "dwm_ai_response", batch_id)
             wh.write(assistant.feedback_branch(split), "dwd_ai_feedback", batch_id)
 
-    return wh.start(wh.topics.read(wh.spark, TOPICS["ods_assistant"]), "assistant_log", each)
+    return wh.start(wh.messages("ods_assistant", "assistant_log"), "assistant_log", each)
 
 
 # --- second halves: wide tables to serving tables ----------------------------

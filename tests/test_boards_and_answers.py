@@ -6,6 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from cadenza import fixed_values as V
+from cadenza.functions.questions import QuestionRules
 from cadenza.operators import answers, assistant, boards
 
 SONGS = "window_start timestamp, window_end timestamp, song_id string, song_name string, " \
@@ -112,3 +113,15 @@ def test_envelopes_pass_the_assistant_line(spark):
     ]
     wide = assistant.widen_responses(assistant.response_branch(split)).first()
     assert (wide.resultSongCount, wide.firstSongId, wide.modelName) == (2, "2", V.MODEL_NAME)
+
+
+def test_rules_bound_the_rows_of_an_answer(spark):
+    rules = QuestionRules(max_rows=50)
+    asked = answers.classify(
+        spark.createDataFrame([("前50首热歌",), ("前99首热歌",), ("热歌",)], "queryText string"), rules=rules
+    )
+    board = spark.createDataFrame([(f"s{i:02d}", f"n{i}", i) for i in range(60)], "songId string, songName string, playCount long")
+    nobody = spark.createDataFrame([], "singerInfo string, playCount long")
+    rows = answers.answer(asked, board, nobody, rules).collect()
+    assert [len(r.resultSongIds) for r in rows] == [50, 50, 3]
+    assert rows[0].resultSongIds[0] == "s59"

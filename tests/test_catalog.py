@@ -4,6 +4,8 @@ import oracle
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from cadenza.catalog import catalog
+from cadenza.catalog_sql import oracles
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -15,23 +17,24 @@ def con():
     connection.close()
 
 
-def test_every_sql_has_a_query():
-    assert set(oracle_sql()) <= set(queries())
+def test_queries_and_sql_match():
+    assert set(oracles()) == set(catalog())
+    assert set(oracle_sql()) <= set(queries()) and set(catalog()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracles()))
 def test_agrees_with_sql(spark, con, name):
-    assert oracle.compare(queries()[name](spark, SMALL), con, oracle_sql()[name]) is None
+    assert oracle.compare(catalog()[name](spark, SMALL), con, oracles()[name]) is None
 
 
 def test_entry(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(catalog()))
 def test_plans_hold_at_scale(spark, name):
     """No cross joins, no broadcast of everything, no Python unless that is the point."""
-    df = queries()[name](spark, SMALL)
+    df = catalog()[name](spark, SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "NestedLoop" not in plan

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from cadenza.schemas import ROUTING_CONFIG
 from cadenza.operators import changes, enrich
 from cadenza.sources.dimensions import DimensionStore
 
@@ -134,3 +135,11 @@ def test_latest_by_brute_force(spark):
     df = spark.createDataFrame(rows, "pk string, type string, seq long").orderBy(F.rand(3))
     got = {r.pk: r.seq for r in changes.latest_changes(df, ["pk"]).collect()}
     assert got == {k: max(s for p, _, s in rows if p == k) for k in "abc"}
+
+
+def test_a_doubled_key_keeps_its_last_value(spark):
+    text = '{"database":"d","table":"t","ts":"1","type":"insert","data":{"amount":"1","id":"7","amount":"2","type":"x"}}'
+    rows = changes.parse_changes(spark.createDataFrame([(text, 1)], "value string, seq int"))
+    config = spark.createDataFrame([("t", "d", "dim", "id", "amount", "T", "topic")], ROUTING_CONFIG)
+    (row,) = changes.route_changes(rows, config).collect()
+    assert (row.data["amount"], row.data["id"], row.data["type"]) == ("2", "7", "insert")

@@ -96,7 +96,21 @@ def test_resolver_keeps_the_short_last_run(spark, n):
     ]
 
 
-def test_refused_batches_fail(spark):
-    logins = spark.createDataFrame([_login(1, "1", "1")], LOGIN)
-    with pytest.raises(Exception, match="refused"):
-        geocode.resolve_regions(logins, lambda keys: '{"status":"0"}').collect()
+@pytest.mark.parametrize("answer", ['{"status":"0"}', "no json", None, "[]", '{"status":"1","infocode":"10000","regeocodes":7}'])
+def test_refused_runs_are_set_aside(spark, answer):
+    logins = spark.createDataFrame([_login(1, "1", "1"), _login(2, "1", "1")], LOGIN)
+    resolved = geocode.resolve_regions(logins, lambda keys: answer)
+    rows = geocode.unresolved(resolved).collect()
+    assert sorted((r.userId, r.province, r.reason) for r in rows) == [(1, None, "no region"), (2, None, "no region")]
+
+
+def test_each_place_is_asked_for_once(spark):
+    logins = spark.createDataFrame([_login(i, "1", "1") for i in range(30)], LOGIN)
+
+    def resolver(keys):
+        assert len(keys) == 1
+        entry = {"addressComponent": {"province": "P", "city": "C", "district": "D", "adcode": "1"}}
+        return json.dumps({"status": "1", "infocode": "10000", "regeocodes": [entry]})
+
+    rows = geocode.resolve_regions(logins, resolver).collect()
+    assert len(rows) == 30 and {r.province for r in rows} == {"P"}

@@ -170,11 +170,77 @@ def test_replayed_batches_are_written_once(spark, tmp_path):
     write_batch(spark.range(3), path, 4)
     write_batch(spark.range(5), path, 4)
     assert spark.read.parquet(path).count() == 3
-    # what an aborted attempt leaves has no success mark and is overwritten
-    import os
-    os.remove(f"{path}/batch_id=4/_SUCCESS")
-    write_batch(spark.range(5), path, 4)
-    assert spark.read.parquet(path).count() == 5
+    # what an aborted attempt leaves is seen by no reader, and is overwritten
+    spark.range(7).write.parquet(f"{path}/.staged-batch_id=5")
+    assert spark.read.parquet(path).count() == 3
+    write_batch(spark.range(5), path, 5)
+    assert spark.read.option("recursiveFileLookup", "true").parquet(path).count() == 8
+
+
+def test_a_crash_between_write_and_commit_counts_no_window_twice(spark, tmp_path):
+    wh = _warehouse(spark, tmp_path)
+    play = {"userId": 1, "songId": "a", "machineId": 1, "action": "play", "ip": "", "city": ""}
+    rows = [play | {"timestamp": t, "date": "d", "hour": "h", "songName": "A", "singerInfo": "S"} for t in (1_000, 2_000, 60_000)]
+    schema = jobs.WIDE_TABLES["dwm_song_play"]
+    plays = spark.createDataFrame([tuple(r.get(n) for n in schema.names) for r in rows], schema)
+    # the attempt that died left its files; its replay writes them once more
+    plays.write.parquet(f"{wh.path('dwm_song_play')}/.staged-batch_id=0")
+    wh.write(plays, "dwm_song_play", 0)
+    _done(jobs.song_hot_job(wh))
+    # the replay of a batch that was written, but whose stream had not noted it
+    wh.write(plays, "dwm_song_play", 0)
+    _done(jobs.song_hot_job(wh))
+    served = spark.read.parquet(wh.path("dm_song_hot_10s")).collect()
+    assert [(r.song_id, r.play_count) for r in served] == [("a", 2)]
+
+
+def test_routed_topics_are_read_as_streams(spark, tmp_path):
+    topics = FolderTopics(str(tmp_path / "topics"))
+    rows = spark.createDataFrame([("a", "1"), ("b", "2"), ("a", "3")], "topic string, value string")
+    topics.write_batch(rows, 0)
+    spark.createDataFrame([("a", "9")], "topic string, value string").write.partitionBy("topic").text(
+        str(tmp_path / "topics" / "_by_topic" / ".staged-batch_id=1")
+    )
+    out = str(tmp_path / "out")
+    _done(
+        topics.read_routed(spark, "a", stream=True).select("value").writeStream.trigger(**NOW)
+        .option("checkpointLocation", str(tmp_path / "checkpoint")).format("parquet").start(out)
+    )
+    assert sorted(r.value for r in spark.read.parquet(out).collect()) == ["1", "3"]
+
+
+def test_geocoder_in_the_user_log_job(spark, tmp_path):
+    wh = _warehouse(spark, tmp_path)
+    logins = [
+        {"event_id": str(i), "uid": i, "event_type": LOGIN_EVENT, "lng": lng, "lat": "2", "login_dt": 1_000, "mid": 1}
+        for i, lng in enumerate(("1", "1", "5"))
+    ]
+    _send(spark, wh, "ods_user_log", [base64.b64encode(json.dumps(logins).encode()).decode()])
+
+    def resolver(keys):
+        place = {"province": "P", "city": "C", "district": "D", "adcode": "1"}
+        entries = [{"addressComponent": place} if k.startswith("1") else None for k in keys]
+        return json.dumps({"status": "1", "infocode": "10000", "regeocodes": entries})
+
+    _done(jobs.user_log_job(wh, resolver=resolver))
+    rows = wh.read("dwm_login").collect()
+    assert sorted((r.userId, r.province) for r in rows if r.province) == [(0, "P"), (1, "P")]
+    assert spark.read.parquet(wh.path("quarantine_geocode")).count() == 1
+
+
+def test_start_modes(spark, tmp_path):
+    seen = {}
+
+    class Topics(FolderTopics):
+        def read(self, spark, topic, starting="latest", stream=True):
+            seen[topic] = starting
+            return super().read(spark, topic, starting, stream)
+
+    wh = jobs.Warehouse(spark, str(tmp_path), Topics(str(tmp_path)), starting={"user_log": "earliest"})
+    for topic, job in (("ods_user_log", "user_log"), ("ods_changes", "change_log"), ("ods_assistant", "assistant_log")):
+        (tmp_path / TOPICS[topic]).mkdir()
+        wh.messages(topic, job)
+    assert list(seen.values()) == ["earliest", "latest", "earliest"]
 
 
 def test_topics_by_row(spark, tmp_path):

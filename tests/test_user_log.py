@@ -124,3 +124,23 @@ def test_typed_record_round_trip(spark):
     plays = user_log.play_branch(split)
     back = decode.parse_records(decode.to_json_value(plays), CLEAN_PLAY)
     assert back.collect() == plays.collect()
+
+
+def test_no_time_or_operation_stops_the_log(spark):
+    """Times beyond the calendar and operations beyond an int are set aside."""
+    song = {"mid": "1", "event_type": SONG_EVENT}
+    content = {"songid": "s", "uid": 1, "optrate_type": 0}
+    login = {"event_id": "e", "uid": 1, "event_type": LOGIN_EVENT, "lng": "1", "lat": "1", "mid": 1}
+    events = [
+        song | {"timestamp": "1704067199000000", "event_content": content},
+        song | {"timestamp": "9223372036854775", "event_content": content},
+        song | {"timestamp": "1", "event_content": content | {"optrate_type": 99999999999}},
+        login | {"login_dt": 9223372036854775807},
+        login | {"login_dt": 1},
+    ]
+    df = spark.createDataFrame([(json.dumps(e),) for e in events], "event string")
+    split = user_log.split_user_log(df)
+    reasons = [r.reason for r in split.select("reason").collect()]
+    assert reasons == ["bad timestamp", "bad timestamp", "unknown operation", "bad timestamp", None]
+    assert user_log.clean_plays(split).collect() == []
+    assert len(user_log.login_branch(split).collect()) == 1
