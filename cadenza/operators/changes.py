@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cadenza.fixed_values import DELETE_TYPE, UPSERT_TYPES
 from cadenza.functions import text
@@ -69,6 +71,22 @@ def latest_config(config: DataFrame, order: str | None = None) -> DataFrame:
     )
 
 
+def with_known_size(config: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``config`` as a local table if it has at most ``rows`` rows, otherwise as it is.
+
+    Sources such as databases report no size, and the planner would then shuffle the
+    log, or send it to the tasks, to meet a few rows of configuration.
+    """
+    some = config.take(rows + 1)
+    if len(some) > rows:
+        return config
+    columns = [
+        pa.array([r[i] for r in some], to_arrow_type(f.dataType)) for i, f in enumerate(config.schema)
+    ]
+    local = pa.table(columns, names=config.columns)
+    return config.sparkSession.createDataFrame(local, config.schema)
+
+
 def route_changes(changes: DataFrame, config: DataFrame) -> DataFrame:
     """Attach the configuration of each row's source table (inner join).
 

@@ -14,7 +14,7 @@ from cadenza.fixed_values import WINDOW_LENGTH
 from cadenza.functions.time import local_text_to_timestamp
 from cadenza.operators.enrich import add_machine, grid_cell, valid_consume, valid_logins
 from cadenza.operators.windows import (
-    EVENT_TIME, REGION, window_bounds, with_event_time, with_millis,
+    EVENT_TIME, REGION, login_totals, window_bounds, with_event_time, with_millis,
 )
 
 
@@ -47,12 +47,7 @@ def region_login(
         "userId",
     ).agg(F.min("loginDt").alias("loginDt"))
     placed = per_cell.join(regions, ["lng_cell", "lat_cell"]).dropna(subset=list(REGION))
-    per_user = placed.groupBy("window", *REGION, "userId").agg(
-        F.min(F.struct("loginDt", "adcode")).alias("first")
-    )
-    total = per_user.groupBy("window", *REGION).agg(
-        F.count(F.lit(1)).alias("loginUserCount"), F.min("first").alias("first")
-    )
-    return total.select(
-        *REGION, F.col("first.adcode").alias("adcode"), "loginUserCount", *window_bounds()
+    first = placed.groupBy("window", *REGION, "userId", "adcode").agg(
+        F.min("loginDt").alias("loginDt")
     )
+    return login_totals(first)

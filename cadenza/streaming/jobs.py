@@ -179,7 +179,7 @@ def change_log_job(wh: Warehouse) -> StreamingQuery:
     read_config = wh.config
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        config = changes.latest_config(read_config(batch.sparkSession))
+        config = changes.with_known_size(changes.latest_config(read_config(batch.sparkSession)))
         wh.write(changes.without_data(batch).drop("seq"), "quarantine_changes", batch_id)
         ordered = wh.topics.ordered(batch)
         routed = changes.route_changes(changes.parse_changes(ordered), config)

@@ -40,3 +40,33 @@ def test_plans_hold_at_scale(spark, name):
     assert "NestedLoop" not in plan
     if name != "geocode_resolver":
         assert "Python" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize("name", ["song_hot_10s", "singer_hot_10s"])
+def test_play_filter_reaches_the_aggregate_input(spark, tmp_path, name):
+    from cadenza.operators import windows
+    from cadenza.schemas import SONG_PLAY_WIDE
+
+    path = str(tmp_path / "wide")
+    spark.createDataFrame([], SONG_PLAY_WIDE).write.parquet(path)
+    wide = spark.read.parquet(path)
+    stats = windows.song_hot(wide) if name.startswith("song") else windows.singer_hot(wide)
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(action,play)" in plan
+
+
+def test_region_logins_compare_text_only_among_adcodes(spark):
+    df = catalog()["region_login_10s"](spark, SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert all("struct" in line for line in plan.splitlines() if "SortAggregate" in line)
+
+
+def test_a_small_configuration_has_a_known_size(spark):
+    from cadenza.operators import changes
+
+    rows = spark.sparkContext.parallelize([(i, "x") for i in range(20)]).toDF("a long, b string")
+    assert changes.with_known_size(rows, 10) is rows
+    local = changes.with_known_size(rows, 20)
+    assert sorted(local.collect()) == sorted(rows.collect())
+    assert "LocalTableScan" in local._jdf.queryExecution().executedPlan().toString()
