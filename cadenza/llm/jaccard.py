@@ -150,33 +150,36 @@ def _described(rows: DataFrame, n: int, num: int, den: int, level: np.ndarray) -
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes, nodes, prefixes, profiles = [], [], [], []
+            sizes, nodes, prefixes, profiles, parts = [], [], [], [], []
             for s in shingle_sets(batch["body"].tolist(), n):
                 sizes.append(len(s))
                 nodes.append(set_key(s) if len(s) else None)
                 rare = np.lexsort((s, level[_slot(s)]))[: prefix_length(len(s), num, den)] if len(s) else []
                 prefixes.append(signed(s[rare]) if len(s) else None)
                 profiles.append(profile(s) if len(s) else None)
+                parts.append(coarse_profile(s) if len(s) else None)
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"], "n_shingles": sizes, "node": pd.array(nodes, "Int64"),
-                    "prefix": prefixes, "profile": profiles,
+                    "prefix": prefixes, "profile": profiles, "parts": parts,
                 }
             )
 
-    return rows.mapInPandas(describe, "doc_id long, n_shingles long, node long, prefix array<long>, profile binary")
+    # parts bound what sets share wherever entries meet, profiles once more before sets are sent
+    return rows.mapInPandas(describe, "doc_id long, n_shingles long, node long, prefix array<long>, profile binary, parts binary")
 
 
 def _meetings(entries: DataFrame, num: int, den: int, stars: bool) -> DataFrame:
     """Pairs (a, b) of groups that meet at a prefix shingle and may be linked.
 
-    ``entries``: token, gid, size, place, label.  With ``stars`` only the pair with
+    ``entries``: token, gid, size, place, label, parts (a coarse profile).  With ``stars`` only the pair with
     the least group of the bucket that fits; else all pairs of different or unknown
     label.
     """
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _whole_tokens(batches):
+            rows["parts"] = _unpacked(rows["parts"], np.uint8, np.int16)
             cut = _cuts_of(rows["token"])
             size = np.diff(cut)
             found = []
@@ -184,6 +187,7 @@ def _meetings(entries: DataFrame, num: int, den: int, stars: bool) -> DataFrame:
             x, y = ({c: v[two + i] for c, v in rows.items()} for i in (0, 1))
             fits = _may_link(x["size"], x["place"], y["size"], y["place"], num, den)
             fits &= stars | (x["label"] != y["label"]) | (x["label"] == 0)
+            fits &= _may_share(x["size"], x["parts"], y["size"], y["parts"], num, den)
             found.append((np.minimum(x["gid"], y["gid"])[fits], np.maximum(x["gid"], y["gid"])[fits]))
             for i in np.flatnonzero(size > 2).tolist():
                 bucket = {c: v[cut[i] : cut[i + 1]] for c, v in rows.items()}
@@ -239,13 +243,14 @@ def _cuts_of(token: np.ndarray) -> np.ndarray:
 
 
 def _pairs(bucket: dict, num: int, den: int, stars: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    gid, size, place, label = (bucket[c] for c in ("gid", "size", "place", "label"))
+    gid, size, place, label, parts = (bucket[c] for c in ("gid", "size", "place", "label", "parts"))
     if stars:
         # the least group of the bucket; those it does not fit get the least of the rest
         rest = np.arange(len(gid))
         while len(rest) > 1:
             hub = rest[np.argmin(gid[rest])]
             fits = _may_link(size[hub], place[hub], size[rest], place[rest], num, den)
+            fits &= _may_share(size[hub], parts[hub], size[rest], parts[rest], num, den)
             others = rest[fits & (gid[rest] != gid[hub])]
             if len(others):
                 yield np.full(len(others), gid[hub]), gid[others]
@@ -256,6 +261,7 @@ def _pairs(bucket: dict, num: int, den: int, stars: bool) -> Iterator[tuple[np.n
         j = np.arange(i + 1, max(i + 1, top))
         j = j[_may_link(size[i], place[i], size[j], place[j], num, den) & (gid[j] != gid[i])]
         j = j[(label[j] != label[i]) | (label[i] == 0)]
+        j = j[_may_share(size[i], parts[i], size[j], parts[j], num, den)]
         if len(j):
             yield np.minimum(gid[i], gid[j]), np.maximum(gid[i], gid[j])
 
@@ -273,17 +279,32 @@ def profile(shingles: np.ndarray) -> bytes:
     return np.minimum(counts, 65535).astype(np.uint16).tobytes()
 
 
+def coarse_profile(shingles: np.ndarray) -> bytes:
+    """The same for 32 parts, 255 for more: small enough to travel with every entry."""
+    counts = np.bincount((shingles >> np.uint64(59)).astype(np.int64), minlength=32)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _unpacked(packed, kind, wide) -> np.ndarray:
+    """Profiles as rows of counts; the largest value stands for any number."""
+    counts = np.frombuffer(b"".join(packed), kind)
+    counts = counts.reshape(len(packed), -1) if len(packed) else counts.reshape(0, 1)
+    return np.where(counts == np.iinfo(kind).max, np.iinfo(wide).max, counts.astype(wide))
+
+
+def _may_share(size, parts, sizes, others, num: int, den: int) -> np.ndarray:
+    """Whether what two sets can share, part by part, reaches the bound."""
+    most = np.minimum(parts, others).sum(axis=-1, dtype=np.int64)
+    return (num + den) * most >= num * (size + sizes)
+
+
 def _within_profiles(pairs: DataFrame, profiles: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs whose profiles allow the bound: sets share at most the smaller count of each part."""
 
     def allow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x, y = (
-                np.frombuffer(b"".join(batch[c]), np.uint16).reshape(-1, 256).astype(np.int64) for c in ("px", "py")
-            )
-            x, y = np.where(x == 65535, 1 << 40, x), np.where(y == 65535, 1 << 40, y)
-            most = np.minimum(x, y).sum(axis=1)
-            fits = (num + den) * most >= num * (batch["nx"] + batch["ny"]).to_numpy()
+            x, y = (_unpacked(batch[c], np.uint16, np.int32) for c in ("px", "py"))
+            fits = _may_share(batch["nx"].to_numpy(), x, batch["ny"].to_numpy(), y, num, den)
             yield batch.loc[fits, ["a", "b"]]
 
     both = pairs.join(profiles.toDF("a", "nx", "px"), "a").join(profiles.toDF("b", "ny", "py"), "b")
@@ -357,14 +378,16 @@ def near_duplicates(
     some = found.where(F.col("n_shingles") > 0)
     classes = common.materialize(
         some.groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"), F.first("profile").alias("profile")
+            F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"), F.first("profile").alias("profile"), F.first("parts").alias("parts")
         ).withColumn("gid", F.xxhash64("size", "prefix")),
         "jaccard-classes",
     )
     profiles = classes.select("node", "size", "profile")
     reps = classes.where(F.col("doc_id").isNotNull()).select("node", "doc_id")
     groups = classes.groupBy("gid").agg(
-        F.min("node").alias("head"), F.count(F.lit(1)).alias("members"), F.first("size").alias("size"), F.first("prefix").alias("prefix")
+        F.min("node").alias("head"), F.count(F.lit(1)).alias("members"), F.first("size").alias("size"), F.first("prefix").alias("prefix"),
+        # sets of one group differ: what several may share is left open
+        F.when(F.count(F.lit(1)) == 1, F.first("parts")).otherwise(F.lit(b"\xff" * 32)).alias("parts"),
     )
     # most shingles are in one group only and end here
     entries = common.materialize(
@@ -376,6 +399,7 @@ def near_duplicates(
         "jaccard-entries",
     )
     heads = groups.select("gid", "head")
+    entries = common.materialize(entries.join(groups.select("gid", "parts"), "gid"), "jaccard-meeting")
     star = _meetings(entries.withColumn("label", F.lit(0).cast("long")), num, den, True)
     star = star.join(heads.toDF("a", "u"), "a").join(heads.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
     inside = classes.join(heads, "gid").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
