@@ -169,8 +169,13 @@ def dimension_schema(pk_col: str, cols: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def dimension_rows(latest: DataFrame, table: str, pk_col: str, cols: str) -> DataFrame:
-    """Rows of one dimension out of :func:`live_rows`; a missing column is ``''``."""
+def dimension_rows(
+    latest: DataFrame, table: str, pk_col: str, cols: str, *more: Column
+) -> DataFrame:
+    """Rows of one dimension out of :func:`live_rows`; a missing column is ``''``.
+
+    ``more`` are further columns, taken as they are.
+    """
     cleaners = CLEANERS.get(table, {})
 
     def column(name: str) -> Column:
@@ -180,7 +185,7 @@ def dimension_rows(latest: DataFrame, table: str, pk_col: str, cols: str) -> Dat
 
     others = [f.name for f in dimension_schema(pk_col, cols) if f.name != pk_col]
     return latest.filter(F.col("phoenix_table_name") == table).select(
-        F.col("pk").alias(pk_col), *[column(n) for n in others]
+        F.col("pk").alias(pk_col), *[column(n) for n in others], *more
     )
 
 
@@ -195,3 +200,37 @@ def apply_changes(
         F.col("pk").alias(pk_col)
     )
     return snapshot.join(touched, pk_col, "left_anti").unionByName(upserts)
+
+
+#: position of the change that made a stored row, and whether it was a deletion
+SEQ, GONE = "_seq", "_gone"
+
+
+def merge_changes(
+    stored: DataFrame | None, latest: DataFrame, table: str, pk_col: str, cols: str
+) -> DataFrame:
+    """A stored dimension after ``latest``: per key the row of the greatest ``seq``.
+
+    Deletions are kept as marked rows, so that an older change that comes later
+    neither overwrites a newer one nor brings a deleted row back.  Rows stored
+    without a position give way to any change.
+    """
+    rows = dimension_rows(
+        latest, table, pk_col, cols,
+        F.col("seq").alias(SEQ), (F.col("type") == DELETE_TYPE).alias(GONE),
+    )
+    if stored is None:
+        return rows
+    if SEQ not in stored.columns:
+        stored = stored.withColumn(SEQ, F.lit(None).cast(rows.schema[SEQ].dataType))
+        stored = stored.withColumn(GONE, F.lit(False))
+    newest = Window.partitionBy(pk_col).orderBy(F.col(SEQ).desc_nulls_last())
+    both = stored.unionByName(rows).withColumn("_n", F.row_number().over(newest))
+    return both.filter("_n = 1").drop("_n")
+
+
+def present_rows(stored: DataFrame) -> DataFrame:
+    """The dimension as its readers see it, out of :func:`merge_changes`."""
+    if GONE not in stored.columns:
+        return stored
+    return stored.filter(~F.col(GONE)).drop(SEQ, GONE)

@@ -35,7 +35,7 @@ class DimensionStore:
         """
         versions = self._versions(table)
         if versions:
-            return self._load(table, versions[-1])
+            return changes.present_rows(self._load(table, versions[-1]))
         if schema is None:
             raise ValueError(f"no snapshot of {table}")
         return self.spark.createDataFrame([], schema)
@@ -43,7 +43,8 @@ class DimensionStore:
     def apply(self, latest: DataFrame, config: DataFrame, batch_id: int) -> list[str]:
         """Write a new version of each table that ``latest`` changes.
 
-        ``latest`` has one row per table and key (``changes.latest_changes``).
+        ``latest`` has one row per table and key (``changes.latest_changes``), with its
+        ``seq``; a change that is older than the stored row of its key changes nothing.
         Names and columns of the tables that this batch changes come to the driver,
         rows do not.
         """
@@ -61,7 +62,7 @@ class DimensionStore:
         name = f"v={batch_id:012d}"
         older = [v for v in self._versions(table) if v < name]
         snapshot = self._load(table, older[-1]) if older else None
-        new = changes.apply_changes(snapshot, latest, table, pk_col, cols)
+        new = changes.merge_changes(snapshot, latest, table, pk_col, cols)
         files.write_whole(
             new.write.mode("overwrite").parquet, self.spark, f"{self.root}/{table}", name
         )

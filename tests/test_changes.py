@@ -13,9 +13,9 @@ CONFIG = "tbl_name string, tbl_db string, tbl_type string, pk_col string, cols s
          "phoenix_tbl_name string, sink_topic string"
 
 
-def _messages(spark, rows):
+def _messages(spark, rows, first=0):
     return spark.createDataFrame(
-        [(i, m if isinstance(m, str) else json.dumps(m)) for i, m in enumerate(rows)],
+        [(i, m if isinstance(m, str) else json.dumps(m)) for i, m in enumerate(rows, first)],
         "seq long, value string",
     )
 
@@ -63,9 +63,9 @@ def test_routing(spark):
     assert changes.without_topic(routed).count() == 2
 
 
-def _latest(spark, rows):
+def _latest(spark, rows, first=0):
     config = _config(spark, SONG)
-    routed = changes.route_changes(changes.parse_changes(_messages(spark, rows)), config)
+    routed = changes.route_changes(changes.parse_changes(_messages(spark, rows, first)), config)
     return changes.latest_changes(changes.applicable(routed))
 
 
@@ -112,7 +112,7 @@ def test_snapshots_equal_one_pass_and_survive_replays(spark, tmp_path):
     config = _config(spark, SONG)
     store = DimensionStore(spark, str(tmp_path))
     for batch_id, start in enumerate(range(0, 90, 30)):
-        latest = _latest(spark, rows[start:start + 30])
+        latest = _latest(spark, rows[start:start + 30], start)
         assert store.apply(latest, config, batch_id) == ["DIM_SONG"]
         once = sorted(map(tuple, store.read("DIM_SONG").collect()))
         store.apply(latest, config, batch_id)
@@ -143,3 +143,23 @@ def test_a_doubled_key_keeps_its_last_value(spark):
     config = spark.createDataFrame([("t", "d", "dim", "id", "amount", "T", "topic")], ROUTING_CONFIG)
     (row,) = changes.route_changes(rows, config).collect()
     assert (row.data["amount"], row.data["id"], row.data["type"]) == ("2", "7", "insert")
+
+
+def test_older_changes_that_come_later_change_nothing(spark, tmp_path):
+    store = DimensionStore(spark, str(tmp_path))
+    config = spark.createDataFrame([("t", "d", "dim", "id", "name", "T", "topic")], ROUTING_CONFIG)
+
+    def apply(batch_id, *rows):
+        texts = [
+            (json.dumps({"database": "d", "table": "t", "ts": "1", "type": kind, "data": {"id": key, "name": name}}), seq)
+            for seq, kind, key, name in rows
+        ]
+        parsed = changes.parse_changes(spark.createDataFrame(texts, "value string, seq int"))
+        routed = changes.applicable(changes.route_changes(parsed, config))
+        store.apply(changes.latest_changes(routed), config, batch_id)
+        return sorted((r.id, r.name) for r in store.read("T").collect())
+
+    assert apply(0, (5, "insert", "a", "new"), (6, "insert", "b", "x"), (9, "delete", "b", "x")) == [("a", "new")]
+    assert apply(1, (4, "update", "a", "old"), (7, "update", "b", "old")) == [("a", "new")]
+    assert apply(2, (10, "insert", "b", "again"), (11, "update", "a", "newer")) == [("a", "newer"), ("b", "again")]
+    assert store.read("T").columns == ["id", "name"]
