@@ -43,6 +43,8 @@ LENGTH = 50
 GRAM = 16
 CHUNK = 1 << 24
 LAST = (1 << 63) - 1
+#: Of an anchor's order, the bits that a position takes beside the hash.
+POSITION_BITS = 24
 
 
 def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,13 +55,25 @@ def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
         return none.astype(np.uint64), none, none, none
     h = rolling.window_hashes(data, gram)
     width = length - gram + 1
-    # the least (hash, position) of every window, by doubling; positions as ranks
-    best, at, step = h, np.arange(len(h)), 1
-    while step * 2 <= width:
-        best, at = _less(best, at, step)
-        step *= 2
-    if step < width:
-        best, at = _less(best, at, width - step, len(h) - width + 1)
+    # the least (upper bits of the hash, position) of every window, by doubling
+    low = np.uint64((1 << POSITION_BITS) - 1)
+    if len(h) <= int(low):
+        best = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+        step = 1
+        while step * 2 <= width:
+            best = np.minimum(best[:-step], best[step:])
+            step *= 2
+        if step < width:
+            size = len(h) - width + 1
+            best = np.minimum(best[:size], best[width - step : width - step + size])
+        at = (best & low).astype(np.int64)
+    else:  # too long for a position beside the hash
+        best, at, step = h & ~low, np.arange(len(h)), 1
+        while step * 2 <= width:
+            best, at = _less(best, at, step)
+            step *= 2
+        if step < width:
+            best, at = _less(best, at, width - step, len(h) - width + 1)
     starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     position = at[starts]
     return h[position], position, starts, np.diff(np.append(starts, n))
@@ -125,22 +139,27 @@ def _repeated(rows: DataFrame, length: int, gram: int, buckets: int, hot: int) -
             yield pd.DataFrame(out, columns=["bucket", "kind", "hashes", "keys", "several"])
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Whole buckets at a time; the answers of several buckets go out together."""
         held: list = []
-        at = None
+        ready: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            out = []
+            passed = []
             for r in batch.itertuples(index=False):
                 if r.kind == 1:
-                    out.append((int(np.frombuffer(r.keys, np.int64)[0]), r.hashes, None))
+                    passed.append((int(np.frombuffer(r.keys, np.int64)[0]), r.hashes, None))
                     continue
-                if at is not None and r.bucket != at:
-                    out.extend(_asked(held, hot))
+                if held and r.bucket != held[-1].bucket:
+                    ready.append(_asked(held, hot, passed))
                     held = []
-                at = r.bucket
+                    if sum(len(k) for k, _ in ready) > 1 << 20:
+                        passed.extend(_by_key(ready))
+                        ready = []
                 held.append(r)
-            yield _answers(out)
+            yield _answers(passed)
+        last: list[tuple] = []
         if held:
-            yield _answers(_asked(held, hot))
+            ready.append(_asked(held, hot, last))
+        yield _answers(last + _by_key(ready))
 
     sent = rows.mapInPandas(collect, "bucket int, kind int, hashes binary, keys binary, several binary")
     dealt = sent.repartition("bucket").sortWithinPartitions("kind", "bucket")
@@ -152,8 +171,11 @@ def _answers(rows: list[tuple]) -> pd.DataFrame:
     return frame.astype({"key": "Int64", "hot_hash": "Int64"})
 
 
-def _asked(rows: list, hot: int) -> list[tuple]:
-    """Answers to the texts that ask about hashes which another chunk has too."""
+def _asked(rows: list, hot: int, out: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, hashes): answers to texts that ask about hashes which another chunk has too.
+
+    Rows of hot hashes are added to ``out``.
+    """
     hashes = np.concatenate([np.frombuffer(r.hashes, np.uint64) for r in rows])
     keys = np.concatenate([np.frombuffer(r.keys, np.int64) for r in rows])
     several = np.concatenate(
@@ -165,15 +187,19 @@ def _asked(rows: list, hot: int) -> list[tuple]:
     size = np.diff(np.append(begin, len(hashes)))
     low, high = np.minimum.reduceat(keys, begin), np.maximum.reduceat(keys, begin)
     repeated = np.repeat((low != high) | np.logical_or.reduceat(several, begin), size)
-    out: list[tuple] = [(None, b"", h) for h in hashes[begin][size > hot].view(np.int64).tolist()]
-    # chunks that know by themselves need no answer
-    pick = repeated & ~several
-    hashes, keys = hashes[pick], keys[pick]
+    out.extend((None, b"", h) for h in hashes[begin][size > hot].view(np.int64).tolist())
+    pick = repeated & ~several  # chunks that know by themselves need no answer
+    return keys[pick], hashes[pick]
+
+
+def _by_key(answers: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
+    """A row for each text."""
+    keys = np.concatenate([np.zeros(0, np.int64), *[k for k, _ in answers]])
+    hashes = np.concatenate([np.zeros(0, np.uint64), *[h for _, h in answers]])
     by = np.argsort(keys, kind="stable")
-    hashes, keys = hashes[by], keys[by]
-    cuts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys)) if len(keys) else [0]
-    out.extend((int(keys[a]), hashes[a:b].tobytes(), None) for a, b in zip(cuts[:-1], cuts[1:]))
-    return out
+    keys, hashes = keys[by], hashes[by]
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else keys
+    return [(int(keys[a]), hashes[a:b].tobytes(), None) for a, b in zip(begin, [*begin[1:], len(keys)])]
 
 
 def _hot(hits: DataFrame, hot: DataFrame) -> DataFrame:
@@ -392,7 +418,7 @@ def _removed(contexts: DataFrame, length: int) -> DataFrame:
                 continue
             held.append(batch)
             size += len(batch)
-            if size > 1 << 15:  # all anchors but the last, which may go on in the next batch
+            if size > 1 << 14:  # all anchors but the last, which may go on in the next batch
                 rows = pd.concat(held)
                 last = rows["anchor"].to_numpy() == rows["anchor"].iloc[-1]
                 yield _runs(_sorted_out(rows[~last], length))
