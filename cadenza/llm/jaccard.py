@@ -42,6 +42,7 @@ from cadenza.llm.components import components
 SKETCH_BITS = 18
 SKETCH_ROW = 4096
 HUB = 2000
+COARSE = 128
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -280,8 +281,8 @@ def profile(shingles: np.ndarray) -> bytes:
 
 
 def coarse_profile(shingles: np.ndarray) -> bytes:
-    """The same for 32 parts, 255 for more: small enough to travel with every entry."""
-    counts = np.bincount((shingles >> np.uint64(59)).astype(np.int64), minlength=32)
+    """The same for fewer parts, 255 for more: small enough to travel with every entry."""
+    counts = np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=COARSE)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
@@ -387,7 +388,7 @@ def near_duplicates(
     groups = classes.groupBy("gid").agg(
         F.min("node").alias("head"), F.count(F.lit(1)).alias("members"), F.first("size").alias("size"), F.first("prefix").alias("prefix"),
         # sets of one group differ: what several may share is left open
-        F.when(F.count(F.lit(1)) == 1, F.first("parts")).otherwise(F.lit(b"\xff" * 32)).alias("parts"),
+        F.when(F.count(F.lit(1)) == 1, F.first("parts")).otherwise(F.lit(b"\xff" * COARSE)).alias("parts"),
     )
     # most shingles are in one group only and end here
     entries = common.materialize(
