@@ -196,3 +196,13 @@ def test_search_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert bm25.search(docs.where("false"), docs.where("false")).collect() == []
     assert bm25.search(docs, docs.where("false")).collect() == []
+
+
+def test_sql_of_the_text_queries(spark, sf_dir):
+    import oracle
+
+    from cadenza.llm import catalog
+
+    con = oracle.connect(sf_dir)
+    for name, sql in catalog.oracles().items():
+        assert oracle.compare(catalog.queries()[name](spark, sf_dir), con, sql) is None
