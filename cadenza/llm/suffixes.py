@@ -101,8 +101,9 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
         yield held
 
 
-def _repeated(rows: DataFrame, length: int, gram: int, buckets: int, hot: int) -> DataFrame:
-    """(key, hashes) of the anchors that more than one text has, and rows of ``hot_hash``."""
+def _repeated(rows: DataFrame, length: int, gram: int, buckets: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(key, hashes), the anchors of each text that other texts have too, and ``hot_hash``."""
+    groups = buckets  # of texts, that answers are sent to
     bits = max(1, (buckets - 1).bit_length())
 
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,32 +144,54 @@ def _repeated(rows: DataFrame, length: int, gram: int, buckets: int, hot: int) -
         held: list = []
         ready: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            passed = []
+            out: list[tuple] = []
+            passed: list[tuple[np.ndarray, np.ndarray]] = []
             for r in batch.itertuples(index=False):
                 if r.kind == 1:
-                    passed.append((int(np.frombuffer(r.keys, np.int64)[0]), r.hashes, None))
+                    passed.append((np.repeat(np.frombuffer(r.keys, np.int64), len(r.hashes) // 8), np.frombuffer(r.hashes, np.uint64)))
                     continue
                 if held and r.bucket != held[-1].bucket:
-                    ready.append(_asked(held, hot, passed))
+                    ready.append(_asked(held, hot, out))
                     held = []
-                    if sum(len(k) for k, _ in ready) > 1 << 20:
-                        passed.extend(_by_key(ready))
-                        ready = []
                 held.append(r)
-            yield _answers(passed)
+            ready.extend(passed)
+            if sum(len(k) for k, _ in ready) > 1 << 20:
+                out.extend(_packed(ready, groups))
+                ready = []
+            yield _answers(out)
         last: list[tuple] = []
         if held:
             ready.append(_asked(held, hot, last))
-        yield _answers(last + _by_key(ready))
+        yield _answers(last + _packed(ready, groups))
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The answers to each text, of all tasks; one group of texts at a time."""
+        found: list = []
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                if found and r.part != found[-1].part:
+                    yield _gathered(found)
+                    found = []
+                found.append(r)
+        if found:
+            yield _gathered(found)
 
     sent = rows.mapInPandas(collect, "bucket int, kind int, hashes binary, keys binary, several binary")
     dealt = sent.repartition("bucket").sortWithinPartitions("kind", "bucket")
-    return dealt.mapInPandas(answer, "key long, hashes binary, hot_hash long")
+    answers = common.materialize(dealt.mapInPandas(answer, PACKED), "suffix-answers")
+    asked = answers.where("part is not null").select("part", "keys", "hashes")
+    asked = asked.repartition("part").sortWithinPartitions("part")
+    return (
+        common.materialize(asked.mapInPandas(gather, "key long, hashes binary"), "suffix-anchors"),
+        common.materialize(answers.where("hot_hash is not null").select("hot_hash"), "suffix-hot"),
+    )
+
 
+PACKED = "part int, keys binary, hashes binary, hot_hash long"
 
 def _answers(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["key", "hashes", "hot_hash"], dtype=object)
-    return frame.astype({"key": "Int64", "hot_hash": "Int64"})
+    frame = pd.DataFrame(rows, columns=["part", "keys", "hashes", "hot_hash"], dtype=object)
+    return frame.astype({"part": "Int32", "hot_hash": "Int64"})
 
 
 def _asked(rows: list, hot: int, out: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -187,19 +210,33 @@ def _asked(rows: list, hot: int, out: list[tuple]) -> tuple[np.ndarray, np.ndarr
     size = np.diff(np.append(begin, len(hashes)))
     low, high = np.minimum.reduceat(keys, begin), np.maximum.reduceat(keys, begin)
     repeated = np.repeat((low != high) | np.logical_or.reduceat(several, begin), size)
-    out.extend((None, b"", h) for h in hashes[begin][size > hot].view(np.int64).tolist())
+    out.extend((None, b"", b"", h) for h in hashes[begin][size > hot].view(np.int64).tolist())
     pick = repeated & ~several  # chunks that know by themselves need no answer
     return keys[pick], hashes[pick]
 
 
-def _by_key(answers: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
-    """A row for each text."""
+def _packed(answers: list[tuple[np.ndarray, np.ndarray]], groups: int) -> list[tuple]:
+    """A row for each group of texts: (group, keys, hashes, None)."""
     keys = np.concatenate([np.zeros(0, np.int64), *[k for k, _ in answers]])
     hashes = np.concatenate([np.zeros(0, np.uint64), *[h for _, h in answers]])
+    part = keys % groups
+    by = np.argsort(part, kind="stable")
+    keys, hashes, part = keys[by], hashes[by], part[by]
+    begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+    return [
+        (int(part[a]), keys[a:b].tobytes(), hashes[a:b].tobytes(), None) for a, b in zip(begin, [*begin[1:], len(part)])
+    ]
+
+
+def _gathered(rows: list) -> pd.DataFrame:
+    keys = np.concatenate([np.frombuffer(r.keys, np.int64) for r in rows])
+    hashes = np.concatenate([np.frombuffer(r.hashes, np.uint64) for r in rows])
     by = np.argsort(keys, kind="stable")
     keys, hashes = keys[by], hashes[by]
-    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else keys
-    return [(int(keys[a]), hashes[a:b].tobytes(), None) for a, b in zip(begin, [*begin[1:], len(keys)])]
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return pd.DataFrame(
+        {"key": keys[begin], "hashes": [hashes[a:b].tobytes() for a, b in zip(begin, [*begin[1:], len(keys)])]}
+    )
 
 
 def _hot(hits: DataFrame, hot: DataFrame) -> DataFrame:
@@ -212,7 +249,7 @@ def _hot(hits: DataFrame, hot: DataFrame) -> DataFrame:
                 {"key": np.repeat(batch["key"].to_numpy(np.int64), [len(h) for h in hashes]), "hot_hash": np.concatenate([*hashes, np.zeros(0, np.int64)])}
             )
 
-    each = hits.where("key is not null").select("key", "hashes").mapInPandas(explode, "key long, hot_hash long")
+    each = hits.mapInPandas(explode, "key long, hot_hash long")
     return each.join(hot.distinct(), "hot_hash").groupBy("key").agg(F.collect_set("hot_hash").alias("hot"))
 
 
@@ -467,13 +504,12 @@ def remove_repeats(
     )
     long = rows.where(F.octet_length("body") >= length)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hits = common.materialize(_repeated(long.select("key", "body"), length, gram, buckets, hot), "suffix-anchors")
+    hits, hots = _repeated(long.select("key", "body"), length, gram, buckets, hot)
     digests = common.materialize(
         long.groupBy("key", F.md5(F.col("body").cast("binary")).alias("digest")).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")),
         "suffix-texts",
     )
-    wanted = hits.where("key is not null").groupBy("key").agg(F.collect_list("hashes").alias("hashes"))
-    hots = common.materialize(hits.where("hot_hash is not null").select("hot_hash"), "suffix-hot")
+    wanted = hits.select("key", F.array("hashes").alias("hashes"))
     if hots.isEmpty():
         wanted = wanted.withColumn("hot", F.lit(None).cast("array<bigint>"))
     else:
