@@ -180,7 +180,8 @@ def _meetings(entries: DataFrame, num: int, den: int, stars: bool) -> DataFrame:
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _whole_tokens(batches):
-            rows["parts"] = _unpacked(rows["parts"], np.uint8, np.int16)
+            rows["parts"] = _unpacked(rows["parts"], np.uint8)
+            rows["size"] = rows["size"].astype(np.int64)  # its products with percents pass 32 bits
             cut = _cuts_of(rows["token"])
             size = np.diff(cut)
             found = []
@@ -286,17 +287,20 @@ def coarse_profile(shingles: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
-def _unpacked(packed, kind, wide) -> np.ndarray:
-    """Profiles as rows of counts; the largest value stands for any number."""
+def _unpacked(packed, kind) -> np.ndarray:
+    """Profiles as rows of counts."""
     counts = np.frombuffer(b"".join(packed), kind)
-    counts = counts.reshape(len(packed), -1) if len(packed) else counts.reshape(0, 1)
-    return np.where(counts == np.iinfo(kind).max, np.iinfo(wide).max, counts.astype(wide))
+    return counts.reshape(len(packed), -1) if len(packed) else counts.reshape(0, 1)
 
 
 def _may_share(size, parts, sizes, others, num: int, den: int) -> np.ndarray:
-    """Whether what two sets can share, part by part, reaches the bound."""
-    most = np.minimum(parts, others).sum(axis=-1, dtype=np.int64)
-    return (num + den) * most >= num * (size + sizes)
+    """Whether what two sets can share, part by part, reaches the bound.
+
+    The largest value of a profile stands for any number: a part where both have it bounds nothing.
+    """
+    least = np.minimum(parts, others)
+    most = least.sum(axis=-1, dtype=np.int64)
+    return (least.max(axis=-1) == np.iinfo(least.dtype).max) | ((num + den) * most >= num * (size + sizes))
 
 
 def _within_profiles(pairs: DataFrame, profiles: DataFrame, num: int, den: int) -> DataFrame:
@@ -304,7 +308,7 @@ def _within_profiles(pairs: DataFrame, profiles: DataFrame, num: int, den: int)
 
     def allow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x, y = (_unpacked(batch[c], np.uint16, np.int32) for c in ("px", "py"))
+            x, y = (_unpacked(batch[c], np.uint16) for c in ("px", "py"))
             fits = _may_share(batch["nx"].to_numpy(), x, batch["ny"].to_numpy(), y, num, den)
             yield batch.loc[fits, ["a", "b"]]
 

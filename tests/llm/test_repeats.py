@@ -93,6 +93,22 @@ def test_jaccard_rows_of_one_id_and_null_ids(spark):
     assert sorted(str(r["doc_id"]) for r in kept) == ["3", "9", "None", "None"]
 
 
+@pytest.mark.parametrize("stars", [True, False])
+@pytest.mark.parametrize("more", [0, 1])
+def test_jaccard_bounds_of_large_sets(spark, stars, more):
+    """Sets of 5 M shingles that share all but 1000, and sizes whose products pass 32 bits, meet."""
+    common = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 5_000_000, np.uint64))
+    parts = [jaccard.coarse_profile(common[:-1000]), jaccard.coarse_profile(common[1000:])]
+    size = len(common) - 1000
+    rows = [(1, g, size, 0, 0, p) for g, p in enumerate(parts)]
+    rows += [(2, 10 + g, n, 0, 0, b"\xff" * jaccard.COARSE) for g, n in enumerate((22_000_000, 23_800_000))]
+    # a third set of the bucket, too small to meet the others
+    rows += [(t, 20 + t, 100, 0, 0, parts[0]) for t in (1, 2) if more]
+    entries = spark.createDataFrame(rows, "token long, gid long, size int, place int, label long, parts binary")
+    found = jaccard._meetings(entries, 90, 100, stars).collect()
+    assert sorted(map(tuple, found)) == [(0, 1), (10, 11)]
+
+
 def test_jaccard_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.near_duplicates(df).collect() == []
