@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm import common, rolling
@@ -448,15 +448,38 @@ def _with_components(found: DataFrame, classes: DataFrame, links: DataFrame) ->
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with the smallest id of each component, all columns kept.
+    """``docs`` with one row of the smallest id of each component, all columns kept.
 
-    Of rows that share that id one stays; rows with a null id all stay.
+    An id is one document: where rows repeat it, the first with a word stays, in the order of the texts'
+    hashes.  Rows with a null id are no document of a group; of those with equal sets one stays, and all
+    without a word.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, n=n, percent=percent)
-    (id_,) = common.fresh(docs, "kept_id")
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_)).distinct()
-    kept = docs.join(keep, docs[id_col].cast("long") == F.col(id_), "left_semi")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    id_, key, place = common.fresh(docs, "kept_id", "kept_key", "kept_place")
+    body = common.text_of(text_col)
+    number = docs[id_col].cast("long")
+    # a row without a word has no set, so an id's component is the least of its rows'
+    least = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("least"))
+    keep = least.where(F.col("doc_id") == F.col("least")).select(F.col("doc_id").alias(id_))
+    # numbered before the join: each task sends one row a key, however often it is repeated
+    wordless = ~body.rlike(r"[^\x20\x09-\x0D]")
+    named = docs.where(number.isNotNull()).withColumn(key, number)
+    named = _first_of(named, key, place, wordless, F.xxhash64(body), body)
+    named = named.join(keep, F.col(key) == F.col(id_), "left_semi").drop(key)
+
+    @F.pandas_udf("long")
+    def node(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_key(s) for s in shingle_sets(texts.tolist(), n)], dtype="int64")
+
+    loose = docs.where(number.isNull())
+    sets = _first_of(loose.where(~wordless).withColumn(key, node(body)), key, place, F.xxhash64(body), body).drop(key)
+    return named.unionByName(sets).unionByName(loose.where(wordless))
+
+
+def _first_of(rows: DataFrame, key: str, place: str, *order: Column) -> DataFrame:
+    """The first row of each key."""
+    ranked = rows.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return ranked.where(F.col(place) == 1).drop(place)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

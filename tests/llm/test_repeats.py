@@ -93,6 +93,19 @@ def test_jaccard_rows_of_one_id_and_null_ids(spark):
     assert sorted(str(r["doc_id"]) for r in kept) == ["3", "9", "None", "None"]
 
 
+def test_one_row_of_each_group(spark):
+    rows = [(3, "a b c d e f")] * 3 + [(3, "u v w x y z"), (3, ""), (4, "u v w x y z"), (4, None), (6, ""), (6, " "), (7, "")]
+    rows += [(None, "q r s t")] * 3 + [(None, "Q r  s t"), (None, "other words here"), (None, ""), (None, None)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, kept_id int").repartition(4)
+    kept = jaccard.one_of_each(df, n=3, percent=90)
+    assert kept.columns == df.columns
+    kept = kept.collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [3, 6, 7]
+    assert next(r["text"] for r in kept if r["doc_id"] == 3) in ("a b c d e f", "u v w x y z")
+    loose = sorted(" ".join((r["text"] or "").lower().split()) for r in kept if r["doc_id"] is None)
+    assert loose == ["", "", "other words here", "q r s t"]
+
+
 @pytest.mark.parametrize("stars", [True, False])
 @pytest.mark.parametrize("more", [0, 1])
 def test_jaccard_bounds_of_large_sets(spark, stars, more):
