@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from cadenza.llm import bm25, contamination, fim, jaccard, mixing, pii, quality, secrets, suffixes, tokens, warc
+from cadenza.llm import align, bm25, contamination, fim, jaccard, mixing, pii, quality, secrets, suffixes, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         jaccard.op8_jaccard_join,
         mixing.op9_mix_sources,
         tokens.op10_token_counts,
+        align.op11_align_tokenizers,
         fim.op12_fill_in_middle,
     ]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
