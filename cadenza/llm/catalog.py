@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from cadenza.llm import align, bm25, contamination, fim, jaccard, mixing, pii, quality, secrets, suffixes, tokens, warc
+from cadenza.llm import (
+    align, bm25, contamination, fim, jaccard, mixing, nearest, pii, quality, secrets, suffixes, tokens, warc,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,9 +26,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         tokens.op10_token_counts,
         align.op11_align_tokenizers,
         fim.op12_fill_in_middle,
+        nearest.op13_nearest_vectors,
     ]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_warc_roundtrip": warc.OP6_SQL, "op12_fill_in_middle": fim.OP12_SQL}
+    return {
+        "op6_warc_roundtrip": warc.OP6_SQL,
+        "op12_fill_in_middle": fim.OP12_SQL,
+        "op13_nearest_vectors": nearest.OP13_SQL,
+    }
