@@ -30,10 +30,10 @@ long text is a chunk of its own; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import re
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -47,14 +47,17 @@ from pyspark.sql import types as T
 from cadenza.llm import common
 
 #: characters of text of one chunk, and segments that a process remembers
-CHUNK_CHARS = 16 << 20
-SEGMENTS_MOST = 300_000
+CHUNK_CHARS = 8 << 20
+SEGMENTS_MOST = 250_000
 #: white space, and three characters that some versions of the word pattern read as such
 _BLANK = "\\s\u180e\u200b\ufeff"
 SPACE_OR_LINE = re.compile(f"(?<=[^{_BLANK}])(?=[ \\n][^{_BLANK}])")
 SPACE_ONLY = re.compile(f"(?<=[^{_BLANK}])(?= [^{_BLANK}])")
 MARK = "▁"
 
+#: new segments encoded together, and rounds of the division made for all at once
+ENCODED, ROUNDS = 8_000, 64
+
 Group = tuple[int, int, int, int]
 
 
@@ -85,25 +88,41 @@ def groups(ends_a: list[int], ends_b: list[int]) -> list[Group]:
     return out
 
 
-def linked(a: list[int], b: list[int], parts: list[Group]) -> dict[tuple[int, int], int]:
-    """How often each pair of ids is linked."""
-    out: Counter = Counter()
-    for a0, a1, b0, b1 in parts:
-        if a1 - a0 == 1 and b1 - b0 == 1:
-            out[a[a0], b[b0]] += 1
-        else:
-            in_b = Counter(b[b0:b1])
-            for x, n in Counter(a[a0:a1]).items():
-                for y, m in in_b.items():
-                    out[x, y] += n * m
-    return out
+def groups_of_all(ends_a: np.ndarray, ends_b: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """:func:`groups` of many intervals (rows of ``whole``) of two long arrays of ends.
 
-
-def written(a: list[int], b: list[int], parts: list[Group]) -> str:
-    """The groups as text, ``a1,a2|b1;a3|b2,b3``."""
-    return ";".join(
-        ",".join(map(str, a[a0:a1])) + "|" + ",".join(map(str, b[b0:b1])) for a0, a1, b0, b1 in parts
-    )
+    All intervals take their next step together: the end beside the middle that is
+    looked up next, then a division, or the interval is a leaf.  Those that are
+    still undecided after many rounds are divided one by one.
+    """
+    leaves, todo = [], whole
+    step = np.zeros(len(todo), np.int64)
+    for _ in range(ROUNDS):
+        a0, a1, b0, b1 = todo.T
+        # 0, -1, +1, -2, +2, ... from the middle, until both sides are used up
+        at = (a0 + a1 - 2) // 2 + np.where(step % 2 == 1, -(step + 1) // 2, step // 2)
+        done = (a1 - a0 < 2) | (b1 - b0 < 2) | (step > 2 * (a1 - a0))
+        leaves.append(todo[done])
+        left = ~done
+        if not left.any():
+            break
+        todo, step, at = todo[left], step[left], at[left]
+        a0, a1, b0, b1 = todo.T
+        inside = (at >= a0) & (at < a1 - 1)
+        j = np.searchsorted(ends_b, ends_a[np.where(inside, at, a0)])
+        cut = inside & (ends_b[np.minimum(j, len(ends_b) - 1)] == ends_a[np.where(inside, at, a0)])
+        i1, j1 = at[cut] + 1, j[cut] + 1
+        halves = [
+            np.column_stack([a0[cut], i1, b0[cut], j1]), np.column_stack([i1, a1[cut], j1, b1[cut]]), todo[~cut]
+        ]
+        todo = np.concatenate(halves)
+        step = np.append(np.zeros(2 * len(i1), np.int64), step[~cut] + 1)
+    else:
+        for a0, a1, b0, b1 in todo.tolist():
+            found = groups(ends_a[a0:a1].tolist(), ends_b[b0:b1].tolist())
+            leaves.append(np.array(found, np.int64) + np.array([a0, a0, b0, b0]))
+    out = np.concatenate(leaves)
+    return out[np.argsort(out[:, 0], kind="stable")]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -140,17 +159,39 @@ class Tokenizers:
             raise ValueError("a piece has a mark after another character")
         lines = any("\n" in p for p in pieces)
         self.cuts = SPACE_ONLY if lines else SPACE_OR_LINE
+        self.wide_a, self.wide_b = (np.array(list(map(len, x))) for x in (self.bytes_a, self.bytes_b))
+        #: a pair is id of A times the square root of this, plus id of B
+        self.pairs = max(len(names), len(pieces)) ** 2
+        self.forms = [f"{i}{end}" for end in (",", "|", ";", "\n") for i in range(max(len(names), len(pieces)))]
         self.mark = self.b.piece_to_id(MARK)
 
     def segments(self, text: str) -> list[str]:
         return self.cuts.split(" " + text)
 
-    def encode(self, segments: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def written(self, a: np.ndarray, b: np.ndarray, parts: np.ndarray, own: np.ndarray, count: int) -> list[str]:
+        """The groups of each segment as text, ``a1,a2|b1;a3|b2,b3``."""
+        out = [""] * count
+        if not len(parts):
+            return out
+        na, nb = parts[:, 1] - parts[:, 0], parts[:, 3] - parts[:, 2]
+        end = np.cumsum(na + nb)
+        begin = end - na - nb
+        ids, mark = np.zeros(end[-1], np.int64), np.zeros(end[-1], np.int64)
+        ids[_ragged(begin, na)] = a[_ragged(parts[:, 0], na)]
+        ids[_ragged(begin + na, nb)] = b[_ragged(parts[:, 2], nb)]
+        mark[begin + na - 1] = 1
+        mark[end - 1] = np.where(np.append(own[1:] != own[:-1], True), 3, 2)
+        lines = "".join(map(self.forms.__getitem__, (mark * (len(self.forms) // 4) + ids).tolist())).split("\n")
+        for i, line in zip(own[_runs(own)].tolist(), lines):
+            out[i] = line
+        return out
+
+    def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of A and of B of each segment; B adds a space before what it is given."""
-        in_a = self.a.encode_batch(segments, add_special_tokens=False)
+        in_a = [x.ids for x in self.a.encode_batch_fast(segments, add_special_tokens=False)]
         in_b = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
-        for segment, x, y in zip(segments, in_a, in_b):
-            yield x.ids, y if segment[0] == " " else y[1:] if y[:1] == [self.mark] else []
+        # a segment that begins with a line end has the mark, a token of its own, before it
+        return in_a, [y if s[0] == " " else y[1:] if y[:1] == [self.mark] else [] for s, y in zip(segments, in_b)]
 
 
 class Segments:
@@ -162,51 +203,96 @@ class Segments:
         self.text: list[str] = []
         #: tokens of A, of B, groups, links, and whether all bytes came back
         self.facts = np.zeros((0, 5), np.int64)
-        #: linked pairs of each segment, one after another, and where they begin
+        #: linked pairs of each segment by number, one after another, and where they begin
         self.begin = np.zeros(1, np.int64)
-        self.pairs = np.zeros(0, np.int64)
+        self.pairs = np.zeros(0, np.int32)
         self.times = np.zeros(0, np.int64)
+        #: number of each pair of ids, in ascending order of the pairs, and the pairs by number
+        self.sorted_pairs = np.zeros(0, np.int64)
+        self.sorted_numbers = np.zeros(0, np.int32)
+        self.pair_of = np.zeros(0, np.int64)
 
     def numbers(self, segments: list[str]) -> np.ndarray:
         new = list(set(segments).difference(self.number))
-        if new:
-            self._add(new)
+        for at in range(0, len(new), ENCODED):
+            self._add(new[at : at + ENCODED])
         return np.fromiter(map(self.number.__getitem__, segments), np.int64, len(segments))
 
     def _add(self, new: list[str]) -> None:
-        of_a, of_b = self.known.bytes_a, self.known.bytes_b
-        facts, sizes, pairs, times = [], [], [], []
-        for segment, (a, b) in zip(new, self.known.encode(new)):
-            raw = segment.encode("utf-8", "surrogatepass")
-            if b"".join([of_a[i] for i in a]) != raw or b"".join([of_b[i] for i in b]) != raw:
-                facts.append((0, 0, 0, 0, 0))
-                sizes.append(0)
-                self.text.append("")
-                continue
-            if len(a) == 1 or len(b) == 1:
-                parts = [(0, len(a), 0, len(b))]
-            else:
-                parts = groups(_ends(a, of_a), _ends(b, of_b))
-            found = linked(a, b, parts)
-            facts.append((len(a), len(b), len(parts), sum(found.values()), 1))
-            sizes.append(len(found))
-            pairs.extend([x << 32 | y for x, y in found])
-            times.extend(found.values())
-            self.text.append(written(a, b, parts))
+        in_a, in_b = self.known.encode(new)
+        raw = [x.encode("utf-8", "surrogatepass") for x in new]
+        fine = _gives_back(in_a, self.known.bytes_a, raw) & _gives_back(in_b, self.known.bytes_b, raw)
+        for i in np.flatnonzero(~fine):
+            in_a[i], in_b[i] = [], []
+        sizes = [np.fromiter(map(len, x), np.int64, len(new)) for x in (in_a, in_b)]
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, n.sum()) for x, n in zip((in_a, in_b), sizes))
+        ends_a, ends_b = np.cumsum(self.known.wide_a[a]), np.cumsum(self.known.wide_b[b])
+        to_a, to_b = map(np.cumsum, sizes)
+        whole = np.column_stack([to_a - sizes[0], to_a, to_b - sizes[1], to_b])[fine]
+        parts = groups_of_all(ends_a, ends_b, whole)
+        own = np.searchsorted(to_a, parts[:, 0], "right")
+        self.text.extend(self.known.written(a, b, parts, own, len(new)))
+        links = (parts[:, 1] - parts[:, 0]) * (parts[:, 3] - parts[:, 2])
+        facts = np.column_stack([
+            *sizes, np.bincount(own, minlength=len(new)), np.zeros(len(new), np.int64), fine.astype(np.int64)
+        ])
+        np.add.at(facts[:, 3], own, links)
+        key, times = _linked(a, b, parts, own, self.known.pairs)
+        of = key // self.known.pairs
         first = len(self.number)
         self.number.update(zip(new, range(first, first + len(new))))
-        self.facts = np.concatenate([self.facts, np.array(facts, np.int64)])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
-        self.pairs = np.concatenate([self.pairs, np.array(pairs, np.int64)])
-        self.times = np.concatenate([self.times, np.array(times, np.int64)])
-
-
-def _ends(ids: list[int], token_bytes: list[bytes]) -> list[int]:
-    out, at = [], 0
-    for i in ids:
-        at += len(token_bytes[i])
-        out.append(at)
-    return out
+        self.facts = np.concatenate([self.facts, facts])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.bincount(of, minlength=len(new)))])
+        self.pairs = np.concatenate([self.pairs, self._pair_numbers(key % self.known.pairs)])
+        self.times = np.concatenate([self.times, times])
+
+    def _pair_numbers(self, pairs: np.ndarray) -> np.ndarray:
+        new = np.setdiff1d(pairs, self.sorted_pairs)
+        numbers = np.append(self.sorted_numbers, len(self.pair_of) + np.arange(len(new), dtype=np.int32))
+        both = np.append(self.sorted_pairs, new)
+        by = np.argsort(both, kind="stable")
+        self.pair_of = np.append(self.pair_of, new)
+        self.sorted_pairs, self.sorted_numbers = both[by], numbers[by].astype(np.int32)
+        return self.sorted_numbers[np.searchsorted(self.sorted_pairs, pairs)]
+
+
+def _gives_back(ids: list[list[int]], token_bytes: list[bytes], raw: list[bytes]) -> np.ndarray:
+    """Whether the bytes of its tokens are those of each segment."""
+    get = token_bytes.__getitem__
+    return np.array([b"".join(map(get, x)) == r for x, r in zip(ids, raw)], bool)
+
+
+def _linked(a: np.ndarray, b: np.ndarray, parts: np.ndarray, own: np.ndarray, pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Segment and pair as one number (``pairs`` of them a segment), and how often each is linked."""
+    na, nb = parts[:, 1] - parts[:, 0], parts[:, 3] - parts[:, 2]
+    small = na * nb <= 4096
+    some = parts[small]
+    links = (na * nb)[small]
+    place = _ragged(np.zeros(len(some), np.int64), links)
+    wide = np.repeat(nb[small], links)
+    x, y = np.repeat(some[:, 0], links) + place // wide, np.repeat(some[:, 2], links) + place % wide
+    width = int(math.isqrt(pairs - 1)) + 1
+    keys = [np.repeat(own[small], links) * pairs + a[x] * width + b[y]]
+    times = [np.ones(len(x), np.int64)]
+    # the ids of a large group are counted before they are combined
+    for (a0, a1, b0, b1), of in zip(parts[~small].tolist(), own[~small].tolist()):
+        x, n = np.unique(a[a0:a1], return_counts=True)
+        y, m = np.unique(b[b0:b1], return_counts=True)
+        keys.append((of * pairs + x[:, None] * width + y[None]).ravel())
+        times.append((n[:, None] * m[None]).ravel())
+    return _summed(np.concatenate(keys), np.concatenate(times))
+
+
+def _summed(key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in ascending order, with the sum of its times."""
+    if len(key) and key.max() < 1 << 46 and times.max() < 1 << 16:
+        both = np.sort(key << 16 | times)  # much faster than a sort of places
+        key, times = both >> 16, both & 0xFFFF
+    else:
+        by = np.argsort(key, kind="stable")
+        key, times = key[by], times[by]
+    first = _runs(key)
+    return key[first], np.add.reduceat(times, first) if len(first) else times
 
 
 _LOADED: dict[tuple[str, str], Tokenizers] = {}
@@ -220,6 +306,17 @@ def tokenizers_of(a_path: str, b_path: str) -> Tokenizers:
     return _LOADED[key]
 
 
+_REMEMBERED: dict[tuple[str, str], Segments] = {}
+
+
+def segments_of(a_path: str, b_path: str) -> Segments:
+    """The segments that this process remembers, of all tasks it ran; forgotten if too many."""
+    key = (a_path, b_path)
+    if key not in _REMEMBERED or len(_REMEMBERED[key].number) > SEGMENTS_MOST:
+        _REMEMBERED[key] = Segments(tokenizers_of(*key))
+    return _REMEMBERED[key]
+
+
 def default_paths() -> tuple[str, str]:
     import public_tokenizers
 
@@ -266,36 +363,36 @@ def _packed(chunk: _Chunk, seen: Segments) -> tuple[dict, dict]:
     texts = len(chunk.ids)
     sizes = np.array([len(n) for n in chunk.numbers])
     numbers = np.concatenate(chunk.numbers) if texts else np.zeros(0, np.int64)
-    own = np.repeat(np.arange(texts), sizes)
     # each segment once a text, with how often
-    key = np.sort(own * len(seen.number) + numbers)
-    first = _runs(key)
-    often = np.diff(np.append(first, len(key)))
-    own, numbers = np.divmod(key[first], max(1, len(seen.number)))
+    key, often = _summed(np.repeat(np.arange(texts), sizes) * len(seen.number) + numbers, np.ones(len(numbers), np.int64))
+    own, numbers = np.divmod(key, max(1, len(seen.number)))
     facts = np.zeros((texts, 4), np.int64)
-    np.add.at(facts, own, seen.facts[numbers, :4] * often[:, None])
-    # the pairs of these segments, numbered within the chunk
+    for i in range(4):
+        np.add.at(facts[:, i], own, seen.facts[numbers, i] * often)
+    # their pairs, each once a text, with how often
     size = seen.begin[numbers + 1] - seen.begin[numbers]
     at = _ragged(seen.begin[numbers], size)
-    pairs, local = np.unique(seen.pairs[at], return_inverse=True)
-    key = np.repeat(own, size) * len(pairs) + local
-    by = np.argsort(key, kind="stable")
-    first = _runs(key[by])
-    times = (seen.times[at] * np.repeat(often, size))[by]
-    times = np.add.reduceat(times, first) if len(first) else times
-    own, local = np.divmod(key[by][first], max(1, len(pairs)))
+    known = max(1, len(seen.pair_of))
+    key, times = _summed(np.repeat(own, size) * known + seen.pairs[at], seen.times[at] * np.repeat(often, size))
+    own, number = np.divmod(key, known)
+    holders = np.bincount(number, minlength=known)
+    # numbered within the chunk
+    held = np.flatnonzero(holders)
+    local = np.zeros(known, np.uint32)
+    local[held] = np.arange(len(held))
+    number = local[number]
     bounds = np.searchsorted(own, np.arange(texts + 1))
-    local = local.astype(np.uint32)
+    width = math.isqrt(seen.known.pairs)
     return (
         {
             "doc_id": chunk.ids, "n_a": facts[:, 0], "n_b": facts[:, 1], "n_groups": facts[:, 2],
             "n_links": facts[:, 3], "groups_sha256": chunk.digests, "groups": chunk.written,
-            "pairs": [local[x:y].tobytes() for x, y in zip(bounds, bounds[1:])],
+            "pairs": [number[x:y].tobytes() for x, y in zip(bounds, bounds[1:])],
             "times": [times[x:y].tobytes() for x, y in zip(bounds, bounds[1:])],
         },
         {
-            "a": (pairs >> 32).astype(np.int32), "b": (pairs & 0xFFFFFFFF).astype(np.int32),
-            "local": np.arange(len(pairs), dtype=np.int32), "texts": np.bincount(local, minlength=len(pairs)),
+            "a": (seen.pair_of[held] // width).astype(np.int32), "b": (seen.pair_of[held] % width).astype(np.int32),
+            "local": np.arange(len(held), dtype=np.int32), "texts": holders[held],
         },
     )
 
@@ -328,9 +425,8 @@ def _chunks(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool) -> Dat
     schema = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = tokenizers_of(a_path, b_path)
         task, made = TaskContext.get().partitionId(), 0
-        seen, chunk = Segments(known), _Chunk()
+        seen, chunk = segments_of(a_path, b_path), _Chunk()
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal seen, chunk, made
@@ -340,9 +436,7 @@ def _chunks(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool) -> Dat
                 for at in range(0, size, 20_000):
                     some = {k: v[at : at + 20_000] for k, v in columns.items()}
                     yield _batch(some | {"chunk": np.full(len(next(iter(some.values()))), name)}, schema)
-            made, chunk = made + 1, _Chunk()
-            if len(seen.number) > SEGMENTS_MOST:
-                seen = Segments(known)
+            made, chunk, seen = made + 1, _Chunk(), segments_of(a_path, b_path)
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)

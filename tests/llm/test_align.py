@@ -111,8 +111,8 @@ def test_query_on_whole_table(spark, sf_dir, libraries):
     assert sorted(tuple(r[n] for n in names) for r in rows) == sorted(expected)
 
 
-def test_groups_by_divide_and_conquer():
-    rng = random.Random(9)
+def test_groups_by_divide_and_conquer(monkeypatch):
+    rng, cases = random.Random(9), []
     for _ in range(300):
         end = rng.randrange(1, 60)
         a, b = (sorted({*rng.sample(range(1, end + 1), rng.randrange(end)), end}) for _ in range(2))
@@ -122,6 +122,20 @@ def test_groups_by_divide_and_conquer():
             expected.append((x, a.index(c) + 1, y, b.index(c) + 1))
             x, y = a.index(c) + 1, b.index(c) + 1
         assert align.groups(a, b) == expected
+        cases.append((a, b, expected))
+    # the same cases side by side, and a round limit that leaves some to be done one by one
+    for rounds in (64, 2):
+        monkeypatch.setattr(align, "ROUNDS", rounds)
+        ends_a, ends_b, whole, parts, base = [], [], [], [], 0
+        for a, b, expected in cases:
+            x, y = len(ends_a), len(ends_b)
+            whole.append((x, x + len(a), y, y + len(b)))
+            parts += [(p + x, q + x, r + y, s + y) for p, q, r, s in expected]
+            ends_a += [base + e for e in a]
+            ends_b += [base + e for e in b]
+            base += a[-1]
+        found = align.groups_of_all(np.array(ends_a), np.array(ends_b), np.array(whole))
+        assert found.tolist() == [list(p) for p in parts]
 
 
 def test_no_chunk_outlives_its_totals(spark):
