@@ -6,7 +6,7 @@ column or struct), because "last wins" needs one on a distributed engine.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -202,35 +202,94 @@ def apply_changes(
     return snapshot.join(touched, pk_col, "left_anti").unionByName(upserts)
 
 
-#: position of the change that made a stored row, and whether it was a deletion
-SEQ, GONE = "_seq", "_gone"
+#: of a stored row: position of its last upsert, of its last deletion, and the
+#: positions of columns that are older than the upsert
+SEQ, DELETED, OLDER = "_seq", "_deleted", "_older"
 
 
-def merge_changes(
-    stored: DataFrame | None, latest: DataFrame, table: str, pk_col: str, cols: str
-) -> DataFrame:
-    """A stored dimension after ``latest``: per key the row of the greatest ``seq``.
 
-    Deletions are kept as marked rows, so that an older change that comes later
-    neither overwrites a newer one nor brings a deleted row back.  Rows stored
-    without a position give way to any change.
+def last_of_each_source(rows: DataFrame) -> DataFrame:
+    """The last upsert and the last deletion of each source table and key.
+
+    Enough for :func:`merge_stored`: an upsert replaces all columns of the earlier
+    ones of its source; a deletion may take columns of other sources with it, even
+    where its own source has written the row again.
+    """
+    marked = rows.withColumn("_deletes", F.col("type") == DELETE_TYPE)
+    keys = ("phoenix_table_name", "database", "table", "pk", "_deletes")
+    return latest_changes(marked, keys).drop("_deletes")
+
+
+def listed_columns(lists: Iterable[str], key: str) -> list[str]:
+    """The columns of several configured lists, in order, each once in whatever case."""
+    out: dict[str, str] = {}
+    for cols in lists:
+        for name in column_names(cols):
+            if name and name.lower() != key.lower():
+                out.setdefault(name.lower(), name)
+    return list(out.values())
+
+
+def stored_changes(latest: DataFrame, table: str, key: str, columns: Sequence[str]) -> DataFrame:
+    """The changes of one dimension as stored rows.
+
+    A change carries the columns that its own source table lists; the others are NULL.
+    A listed column that the row lacks is ``''``.
+    """
+    cleaners = CLEANERS.get(table, {})
+    own = F.transform(F.split("cols", ","), lambda c: F.lower(F.trim(c)))
+    upsert = F.col("type") != DELETE_TYPE
+
+    def column(name: str) -> Column:
+        raw = F.try_element_at("data", F.lit(name))
+        cleaned = cleaners[name](raw) if name in cleaners else raw
+        listed = F.array_contains(own, name.lower())
+        return F.when(upsert & listed, F.coalesce(cleaned, F.lit(""))).alias(name)
+
+    seq = F.col("seq")
+    rows = latest.filter(F.col("phoenix_table_name") == table)
+    older = T.MapType(T.StringType(), latest.schema["seq"].dataType)
+    return rows.select(
+        F.col("pk").alias(key), *[column(c) for c in columns],
+        F.when(upsert, seq).alias(SEQ), F.when(~upsert, seq).alias(DELETED), F.lit(None).cast(older).alias(OLDER),
+    )
+
+
+def merge_stored(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """One stored row per key, in whatever order its changes came.
+
+    Every column keeps the value of the greatest position that carried it, if that is
+    after the last deletion.  Deleted keys stay, so that an older change that comes
+    later does not bring a row back.
     """
-    rows = dimension_rows(
-        latest, table, pk_col, cols,
-        F.col("seq").alias(SEQ), (F.col("type") == DELETE_TYPE).alias(GONE),
+    gathered = rows.groupBy(key).agg(
+        F.max(SEQ).alias(SEQ), F.max(DELETED).alias(DELETED),
+        *[
+            F.max(
+                F.when(
+                    F.col(c).isNotNull(),
+                    F.struct(F.coalesce(F.try_element_at(OLDER, F.lit(c)), F.col(SEQ)).alias("at"), F.col(c).alias("value")),
+                )
+            ).alias(c)
+            for c in columns
+        ],
+    )
+
+    def live(c: str) -> Column:
+        return F.col(c).isNotNull() & (F.col(DELETED).isNull() | (F.col(c)["at"] > F.col(DELETED)))
+
+    positions = [
+        F.when(live(c) & (F.col(c)["at"] != F.col(SEQ)), F.struct(F.lit(c).alias("key"), F.col(c)["at"].alias("value")))
+        for c in columns
+    ]
+    older = F.map_from_entries(F.array_compact(F.array(*positions))) if columns else F.lit(None)
+    kept = F.when(F.size(older) > 0, older) if columns else older.cast(rows.schema[OLDER].dataType)
+    return gathered.select(
+        key, *[F.when(live(c), F.col(c)["value"]).alias(c) for c in columns], SEQ, DELETED, kept.alias(OLDER)
     )
-    if stored is None:
-        return rows
-    if SEQ not in stored.columns:
-        stored = stored.withColumn(SEQ, F.lit(None).cast(rows.schema[SEQ].dataType))
-        stored = stored.withColumn(GONE, F.lit(False))
-    newest = Window.partitionBy(pk_col).orderBy(F.col(SEQ).desc_nulls_last())
-    both = stored.unionByName(rows).withColumn("_n", F.row_number().over(newest))
-    return both.filter("_n = 1").drop("_n")
 
 
 def present_rows(stored: DataFrame) -> DataFrame:
-    """The dimension as its readers see it, out of :func:`merge_changes`."""
-    if GONE not in stored.columns:
-        return stored
-    return stored.filter(~F.col(GONE)).drop(SEQ, GONE)
+    """The rows that are there: upserted, and not deleted since."""
+    there = F.col(SEQ).isNotNull() & (F.col(DELETED).isNull() | (F.col(SEQ) > F.col(DELETED)))
+    return stored.filter(there).drop(SEQ, DELETED, OLDER)

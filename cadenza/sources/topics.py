@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.sources.files import write_batch, write_whole
+from cadenza.sources.files import batch_name, write_batch, write_whole
 
 
 def starting_offsets(mode: str | None) -> str:
@@ -108,7 +108,8 @@ class FolderTopics:
             return
         # one folder per topic named by the rows, all written in one job
         named = rows.select("topic", "value").write.mode("overwrite").partitionBy("topic")
-        write_whole(named.text, rows.sparkSession, f"{self.root}/{ROUTED}", f"batch_id={batch_id}")
+        spark = rows.sparkSession
+        write_whole(named.text, spark, f"{self.root}/{ROUTED}", batch_name(spark, batch_id))
 
     def read_routed(self, spark: SparkSession, topic: str, stream: bool = False) -> DataFrame:
         """Messages of one topic out of those written by row topic."""

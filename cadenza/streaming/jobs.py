@@ -25,8 +25,10 @@ from cadenza.operators import (
     assistant, changes, decode, enrich, geocode, user_log, windows,
 )
 from cadenza.session import configured_dir
-from cadenza.sources.dimensions import DimensionStore
+from cadenza.sources.dimensions import DimensionStore, Snapshots
+from cadenza.sources import files
 from cadenza.sources.files import write_batch
+from cadenza.sources.serving import ServingTable, serving_sink
 from cadenza.sources.tables import BatchSink, read_table, table_sink
 from cadenza.sources.topics import FolderTopics, KafkaTopics
 from cadenza.streaming.attribution import intent_deltas
@@ -72,6 +74,7 @@ class Warehouse:
     sinks: Mapping[str, BatchSink] = field(default_factory=dict)
     #: where a job's topic starts if it has no checkpoint yet: ``latest`` or ``earliest``
     starting: Mapping[str, str] = field(default_factory=dict)
+    _snapshots: Snapshots = field(default_factory=Snapshots, compare=False, repr=False)
 
     def path(self, table: str) -> str:
         return f"{self.root}/tables/{table}"
@@ -80,6 +83,13 @@ class Warehouse:
     def dimensions(self) -> DimensionStore:
         return DimensionStore(self.spark, f"{self.root}/dimensions")
 
+    def serving(self, table: str) -> ServingTable:
+        return ServingTable(self.spark, self.path(table))
+
+    def snapshot(self, table: str, schema: T.StructType) -> DataFrame:
+        """The newest version of a dimension, read anew only when it has changed."""
+        return self._snapshots.get(self.dimensions, table, schema)
+
     def checkpoint(self, name: str) -> str:
         """Where a stream keeps its progress and state.
 
@@ -124,8 +134,8 @@ class Warehouse:
         )
 
     def serve(self, stats: DataFrame, table: str) -> StreamingQuery:
-        """Window results into a serving table (a parquet table unless told otherwise)."""
-        sink = self.sinks.get(table) or table_sink(self.path(table))
+        """Window results into a serving table (one with a manifest unless told otherwise)."""
+        sink = self.sinks.get(table) or serving_sink(self.serving(table))
         return self.start(windows.to_serving(stats, table), table, sink)
 
 
@@ -151,7 +161,7 @@ def user_log_job(
             wh.write(user_log.other_branch(split), "dwd_other", batch_id)
             plays = user_log.play_branch(split)
             wh.write(plays, "dwd_play", batch_id)
-            songs = wh.dimensions.read(changes.SONG_DIMENSION, schemas.DIM_SONG)
+            songs = wh.snapshot(changes.SONG_DIMENSION, schemas.DIM_SONG)
             wh.write(enrich.add_song(plays, songs), "dwm_song_play", batch_id)
             logins = user_log.login_branch(split)
             wh.write(logins, "dwd_login", batch_id)
@@ -190,12 +200,10 @@ def change_log_job(wh: Warehouse) -> StreamingQuery:
                 "quarantine_routes", batch_id,
             )
             to_dimensions = changes.applicable(rows.filter(F.col("sink_topic") == DIMENSION_TOPIC))
-            with _kept(changes.latest_changes(to_dimensions)) as latest:
+            with _kept(changes.last_of_each_source(to_dimensions)) as latest:
                 wh.dimensions.apply(latest, config, batch_id)
             consume = changes.with_topic(rows.filter(F.col("sink_topic") == CONSUME_TOPIC))
-            machines = wh.dimensions.read(
-                "DIM_MACHINE_LOCAL_INFO", schemas.DIM_MACHINE_LOCAL_INFO
-            )
+            machines = wh.snapshot("DIM_MACHINE_LOCAL_INFO", schemas.DIM_MACHINE_LOCAL_INFO)
             wide = enrich.consume_wide(enrich.parse_consume(consume), machines)
             wh.write(wide, "dwm_consume", batch_id)
 
@@ -259,3 +267,22 @@ def ai_intent_job(wh: Warehouse, length: str = WINDOW_LENGTH) -> StreamingQuery:
     """Deltas to windows: the watermark is set after attribution."""
     stats = windows.ai_intent(wh.read("ai_intent_delta", stream=True), length, WATERMARK_DELAY)
     return wh.serve(stats, "dm_ai_intent_10s")
+
+
+def compact_dimensions(wh: Warehouse, least: int = 8, keep: int = 3) -> list[str]:
+    """A job beside the streams: merge the changes of each dimension, drop old versions."""
+    store = wh.dimensions
+    done = [t for t in files.folders(wh.spark, store.root) if store.compact(t, least)]
+    for table in done:
+        store.expire(table, keep)
+    return done
+
+
+def compact_serving(wh: Warehouse, least: int = 100, keep: int = 3) -> dict[str, list[str]]:
+    """The same for serving tables: dates with many small segments get one."""
+    done = {}
+    for name in windows.SERVING_TABLES:
+        if dates := wh.serving(name).compact(least):
+            wh.serving(name).expire(keep)
+            done[name] = dates
+    return done
