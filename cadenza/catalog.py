@@ -710,3 +710,7 @@ def stream_feedback_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.groupBy(
         "requestId", "feedbackTime", "feedbackType", "intentType", "intentGroup"
     ).agg(F.sum("times").alias("times"))
+
+
+# queries over stored tables, registered when their module is read
+from cadenza import catalog_stores  # noqa: E402, F401

@@ -318,7 +318,14 @@ checked AS (
 
 
 def oracles() -> dict[str, str]:
-    """Query name -> SQL."""
+    """Query name -> SQL, of all queries."""
+    from cadenza import catalog_stores
+
+    return plain_oracles() | catalog_stores.SQL
+
+
+def plain_oracles() -> dict[str, str]:
+    """Query name -> SQL, of the queries in :mod:`cadenza.catalog` itself."""
     return {
         "ods_decode_roundtrip": """
 SELECT event_id // 50 AS message_id,
