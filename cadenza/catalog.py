@@ -713,4 +713,4 @@ def stream_feedback_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # queries over stored tables, registered when their module is read
-from cadenza import catalog_stores  # noqa: E402, F401
+from cadenza import catalog_stores, catalog_streams  # noqa: E402, F401

@@ -319,9 +319,9 @@ checked AS (
 
 def oracles() -> dict[str, str]:
     """Query name -> SQL, of all queries."""
-    from cadenza import catalog_stores
+    from cadenza import catalog_stores, catalog_streams
 
-    return plain_oracles() | catalog_stores.SQL
+    return plain_oracles() | catalog_stores.SQL | catalog_streams.SQL
 
 
 def plain_oracles() -> dict[str, str]:

@@ -33,16 +33,21 @@ def _seconds(text: Column) -> Column:
     return F.unix_seconds(local_text_to_timestamp(text))
 
 
-def _seconds_answered(
-    responses: DataFrame, seconds: DataFrame, wait_seconds: int, bucket_seconds: int, tie: str
-) -> DataFrame:
-    """Intent for each ``requestId, _at`` of ``seconds`` that is answered in reach."""
+def answered_seconds(responses: DataFrame, tie: str) -> DataFrame:
+    """First and last response of each request and second: ``requestId, _at, _first, _last``."""
     valid = responses.dropna(subset=["requestId", "responseTime", *INTENT])
     timed = evaluated_once(valid, {"_at": _seconds(F.col("responseTime"))})
     one = F.struct(F.col("_at").alias("at"), F.col(tie).alias("tie"), *INTENT)
-    answered = timed.groupBy("requestId", "_at").agg(
-        F.min(one).alias("_first"), F.max(one).alias("_last")
-    )
+    return timed.groupBy("requestId", "_at").agg(F.min(one).alias("_first"), F.max(one).alias("_last"))
+
+
+def seconds_in_reach(
+    answered: DataFrame, seconds: DataFrame, wait_seconds: int, bucket_seconds: int
+) -> DataFrame:
+    """Intent for each ``requestId, _at`` of ``seconds`` that is answered in reach.
+
+    ``answered`` is one row per request and second (:func:`answered_seconds`).
+    """
     asked = seconds.select("requestId", "_at", F.lit(True).alias("_asked"))
     rows = answered.unionByName(asked, allowMissingColumns=True).filter("_at is not null").select(
         "requestId",
@@ -107,7 +112,7 @@ def attribute_feedback(
         valid_feedback(feedback).drop(*INTENT), {"_at": _seconds(F.col("feedbackTime"))}
     )
     seconds = rows.select("requestId", "_at").distinct()
-    answered = _seconds_answered(responses, seconds, wait_seconds, bucket_seconds, tie)
+    answered = seconds_in_reach(answered_seconds(responses, tie), seconds, wait_seconds, bucket_seconds)
     return rows.join(answered, ["requestId", "_at"]).drop("_at")
 
 

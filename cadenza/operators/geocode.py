@@ -75,8 +75,15 @@ def resolve_regions(
     :func:`unresolved`.
     """
     facts = valid_logins(logins).withColumn("_key", location_key("lng", "lat"))
-    places = facts.select("_key").distinct()
-    schema = T.StructType([*places.schema.fields, T.StructField("_entry", T.StringType())])
+    known = ask_places(facts.select("_key").distinct(), resolver, batch_size).drop("_answered")
+    return facts.join(known, "_key", "left").drop("_key")
+
+
+def ask_places(places: DataFrame, resolver: Resolver, batch_size: int = GEOCODE_BATCH_SIZE) -> DataFrame:
+    """The region of each place (``_key``), and whether its run was answered at all."""
+    schema = T.StructType(
+        [*places.schema.fields, T.StructField("_entry", T.StringType()), T.StructField("_answered", T.BooleanType())]
+    )
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
@@ -84,6 +91,7 @@ def resolve_regions(
         for frame in frames:
             keys = frame["_key"].tolist()
             entries: list[str | None] = []
+            answered: list[bool] = []
             for start in range(0, len(keys), batch_size):
                 part = keys[start:start + batch_size]
                 try:
@@ -101,11 +109,11 @@ def resolve_regions(
                     for e in (listed if isinstance(listed, list) else [])[: len(part)]
                 ]
                 entries += found + [None] * (len(part) - len(found))
-            yield frame.assign(_entry=pd.Series(entries, index=frame.index, dtype=object))
+                answered += [good] * len(part)
+            yield frame.assign(_entry=pd.Series(entries, index=frame.index, dtype=object), _answered=answered)
 
     asked = evaluated_once(places.mapInPandas(ask, schema), {"_entry": parse_entry(F.col("_entry"))})
-    known = asked.select("_key", *region_columns(F.col("_entry")))
-    return facts.join(known, "_key", "left").drop("_key")
+    return asked.select("_key", "_answered", *region_columns(F.col("_entry")))
 
 
 def unresolved(resolved: DataFrame) -> DataFrame:

@@ -113,3 +113,17 @@ def names(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(where):
         return []
     return sorted(n for s in fs.listStatus(where) if not (n := s.getPath().getName()).startswith("."))
+
+
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """All files below a folder as a scan names them, without hidden ones."""
+    where, fs = _path(spark, path)
+    if not fs.exists(where):
+        return []
+    found, walk = [], fs.listFiles(where, True)
+    while walk.hasNext():
+        file = walk.next().getPath()
+        own = file.toString()[len(fs.makeQualified(where).toString()):]
+        if not any(p.startswith((".", "_")) and "=" not in p for p in own.split("/")):
+            found.append(file.toUri().toString())
+    return sorted(found)

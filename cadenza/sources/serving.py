@@ -43,7 +43,7 @@ class ServingTable:
         run, segment = manifests.batch_of(self.spark, batch_id)
         if manifests.is_applied(self.log.load(), run, batch_id):
             return
-        schema = T.StructType(rows.schema.fields).json()
+        schema = rows.schema.json()
         held = self._write(rows, segment)
 
         def added(old: dict | None) -> dict:
@@ -73,7 +73,7 @@ class ServingTable:
 
     def _load(self, known: dict, paths: list[str]) -> DataFrame:
         schema = T.StructType.fromJson(json.loads(known["schema"]))
-        dated = T.StructType(schema.fields).add(DATE, T.DateType())
+        dated = T.StructType([*schema.fields, T.StructField(DATE, T.DateType())])
         if not paths:
             return self.spark.createDataFrame([], dated)
         reader = self.spark.read.schema(dated).option("basePath", self.path)

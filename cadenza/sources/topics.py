@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.sources.files import batch_name, write_batch, write_whole
+from cadenza.sources.files import batch_name, data_files, exists, publish, write_batch, write_whole
 
 
 def starting_offsets(mode: str | None) -> str:
@@ -21,6 +21,11 @@ def starting_offsets(mode: str | None) -> str:
     return "latest" if (mode or "").lower() == "latest" else "earliest"
 
 
+def _same_path(file: Column) -> Column:
+    """A path with one slash after its scheme, however many it was written with."""
+    return F.regexp_replace(file, "^([A-Za-z0-9]+:)/+", "$1/")
+
+
 #: folder of the messages that name their topic
 ROUTED = "_by_topic"
 
@@ -69,6 +74,8 @@ class FolderTopics:
 
     root: str
     max_files_per_trigger: int | None = None
+    #: file that notes what was there at the first start
+    mark: str | None = None
 
     def path(self, topic: str) -> str:
         return f"{self.root}/{topic}"
@@ -76,15 +83,24 @@ class FolderTopics:
     def read(
         self, spark: SparkSession, topic: str, starting: str = "earliest", stream: bool = True
     ) -> DataFrame:
-        """All messages: a folder has no notion of "latest"."""
-        del starting
+        """All messages; with a ``mark`` a stream may start at ``latest``.
+
+        Then the files that are there when the stream starts for the first time are
+        noted beside its checkpoint, and their messages are left out for good.
+        """
         reader = spark.readStream if stream else spark.read
         if stream and self.max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", self.max_files_per_trigger)
-        lines = reader.schema("value string").option("recursiveFileLookup", "true").text(
-            self.path(topic)
-        )
-        return self._positioned(lines)
+        path = self.path(topic)
+        lines = reader.schema("value string").option("recursiveFileLookup", "true").text(path)
+        rows = self._positioned(lines)
+        if not stream or self.mark is None or starting_offsets(starting) != "latest":
+            return rows
+        folder, name = self.mark.rsplit("/", 1)
+        if not exists(spark, self.mark):
+            publish(spark, folder, name, "".join(f"{f}\n" for f in data_files(spark, path)))
+        old = spark.read.schema("file string").text(self.mark).select(_same_path(F.col("file")).alias("_old"))
+        return rows.join(old, _same_path(F.col("seq.file")) == F.col("_old"), "left_anti")
 
     @staticmethod
     def _positioned(lines: DataFrame) -> DataFrame:

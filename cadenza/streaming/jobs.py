@@ -12,8 +12,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,16 +23,18 @@ from pyspark.sql.streaming import StreamingQuery
 from cadenza import schemas
 from cadenza.fixed_values import TOPICS, WATERMARK_DELAY, WINDOW_LENGTH
 from cadenza.operators import (
-    assistant, changes, decode, enrich, geocode, user_log, windows,
+    answers, assistant, boards, changes, decode, enrich, geocode, user_log, windows,
 )
 from cadenza.session import configured_dir
 from cadenza.sources.dimensions import DimensionStore, Snapshots
 from cadenza.sources import files
 from cadenza.sources.files import write_batch
+from cadenza.sources.places import PlaceStore
 from cadenza.sources.serving import ServingTable, serving_sink
 from cadenza.sources.tables import BatchSink, read_table, table_sink
 from cadenza.sources.topics import FolderTopics, KafkaTopics
 from cadenza.streaming.attribution import intent_deltas
+from cadenza.streaming.late import LateRows
 
 Topics = FolderTopics | KafkaTopics
 
@@ -74,6 +77,10 @@ class Warehouse:
     sinks: Mapping[str, BatchSink] = field(default_factory=dict)
     #: where a job's topic starts if it has no checkpoint yet: ``latest`` or ``earliest``
     starting: Mapping[str, str] = field(default_factory=dict)
+    #: keep resolved places, so that later micro-batches do not ask for them again
+    keep_places: bool = False
+    #: let ``latest`` hold for folder topics: files that are there at a job's first start are left out
+    mark_folders: bool = False
     _snapshots: Snapshots = field(default_factory=Snapshots, compare=False, repr=False)
 
     def path(self, table: str) -> str:
@@ -83,6 +90,10 @@ class Warehouse:
     def dimensions(self) -> DimensionStore:
         return DimensionStore(self.spark, f"{self.root}/dimensions")
 
+    @property
+    def places(self) -> PlaceStore:
+        return PlaceStore(DimensionStore(self.spark, f"{self.root}/places"))
+
     def serving(self, table: str) -> ServingTable:
         return ServingTable(self.spark, self.path(table))
 
@@ -113,7 +124,10 @@ class Warehouse:
     def messages(self, topic: str, job: str) -> DataFrame:
         """The stream of a raw topic, from where the job starts."""
         mode = self.starting.get(job, DEFAULT_START.get(job, "latest"))
-        return self.topics.read(self.spark, TOPICS[topic], mode)
+        topics = self.topics
+        if self.mark_folders and isinstance(topics, FolderTopics):
+            topics = replace(topics, mark=f"{self.checkpoint(job)}.start")
+        return topics.read(self.spark, TOPICS.get(topic, topic), mode)
 
     def write(self, rows: DataFrame, layer: str, batch_id: int) -> None:
         """One layer of a micro-batch: its table, and its topic if published."""
@@ -149,7 +163,8 @@ def user_log_job(
     """User log to plays, other operations, logins; plays and logins enriched.
 
     Logins get their region from a grid table, or else from a geocoder that is
-    asked once for each place of a micro-batch.
+    asked once for each place of a micro-batch, or with ``Warehouse.keep_places`` once
+    for good.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -168,7 +183,8 @@ def user_log_job(
             if regions is not None:
                 wh.write(enrich.add_region(logins, regions(spark)), "dwm_login", batch_id)
             elif resolver is not None:
-                with _kept(geocode.resolve_regions(logins, resolver)) as resolved:
+                found = wh.places.resolve(logins, resolver, batch_id) if wh.keep_places else geocode.resolve_regions(logins, resolver)
+                with _kept(found) as resolved:
                     wh.write(resolved, "dwm_login", batch_id)
                     wh.write(geocode.unresolved(resolved), "quarantine_geocode", batch_id)
 
@@ -286,3 +302,67 @@ def compact_serving(wh: Warehouse, least: int = 100, keep: int = 3) -> dict[str,
             wh.serving(name).expire(keep)
             done[name] = dates
     return done
+
+
+def late_play_job(wh: Warehouse, length: str = WINDOW_LENGTH) -> StreamingQuery:
+    """Beside :func:`song_hot_job`: plays whose window earlier micro-batches had closed."""
+    plays = windows.play_times(wh.read("dwm_song_play", stream=True))
+    seconds = pd.Timedelta(WATERMARK_DELAY).total_seconds()
+    return wh.start(plays, "late_plays", LateRows(wh.spark, wh.path("late_plays"), length, seconds).each)
+
+
+# --- answering -----------------------------------------------------------------
+
+#: folder or topic of the requests that clients send
+REQUESTS = "ai_requests"
+REQUEST = schemas.record(
+    requestId="S", sessionId="S", userId="L", queryText="S", feedbackType="S", sentAt="S"
+)
+
+
+def _board(wh: Warehouse, table: str, names: dict[str, str]) -> DataFrame:
+    """The newest board of a serving table; an empty one if nothing was served yet."""
+    served = wh.serving(table)
+    if served.log.versions():
+        return boards.best(served.newest_window(), names)
+    schema = "windowStart string, windowEnd string, " + ", ".join(f"{n} string" for n in names.values()) + ", playCount bigint"
+    return wh.spark.createDataFrame([], schema)
+
+
+def answer_job(wh: Warehouse) -> StreamingQuery:
+    """Requests to answers, and both to the raw assistant log.
+
+    A request is JSON (:data:`REQUEST`): a question, or feedback on an earlier one if it
+    has a ``feedbackType``.  The boards are those of the moment of the micro-batch.  Ids
+    of log messages come from the request's content, and a micro-batch is written to the
+    log once, so a replay adds nothing.  Refused requests are set aside with the reason.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        given = F.from_json("value", REQUEST)
+        with _kept(batch.select("value", given.alias("r")).select("value", "r.*")) as rows:
+            is_feedback = F.col("feedbackType").isNotNull()
+            questions = rows.filter(~is_feedback).withColumn("reason", answers.query_request_reason())
+            feedback = rows.filter(is_feedback).withColumn("reason", answers.feedback_request_reason())
+            refused = questions.unionByName(feedback).filter("reason is not null")
+            wh.write(refused.select("value", "reason"), "quarantine_requests", batch_id)
+            good = questions.filter("reason is null")
+            seed = F.concat_ws("-", "userId", "sentAt", "queryText")
+            request = F.when(F.coalesce(F.trim("requestId"), F.lit("")) == "", F.md5(seed)).otherwise(F.col("requestId"))
+            asked = answers.classify(answers.with_session(good.withColumn("requestId", request), seed))
+            answered = answers.answer(
+                asked, _board(wh, "dm_song_hot_10s", boards.SONG_BOARD), _board(wh, "dm_singer_hot_10s", boards.SINGER_BOARD)
+            ).withColumn("latencyMs", F.lit(0).cast("bigint"))
+            at = F.col("sentAt")
+
+            def event(kind: str):
+                return F.md5(F.concat_ws("-", F.lit(kind), "requestId", "userId", "sentAt"))
+
+            log = answers.query_events(asked, event("query"), at).unionByName(
+                answers.response_events(answered, event("response"), at)
+            ).unionByName(answers.feedback_events(feedback.filter("reason is null"), event("feedback"), at))
+            wh.topics.write_batch(log, batch_id, TOPICS["ods_assistant"])
+            texts = ("requestId", "sessionId", "userId", "intentType", "answerText", "success")
+            wh.write(answered.select(*texts), "answers", batch_id)
+
+    return wh.start(wh.messages(REQUESTS, "answers"), "answers", each)
