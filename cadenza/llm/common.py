@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.session import run_dir
+from cadenza.sources import files
 
 #: A word is a longest run without blanks, tabs and line ends.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,4 +49,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = run_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[table] = path
+    return table
+
+
+#: where the tables of :func:`materialize` lie, as long as anyone holds them
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` once no later step reads them.
+
+    What was made of them must be written already.
+    """
+    for table in tables:
+        path = _WRITTEN.pop(table, None)
+        if path is not None:
+            files.delete(table.sparkSession, path)

@@ -37,7 +37,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             low.select("u", F.col("m").alias("v"))
         )
+        last = edges
         edges = common.materialize(small.where(F.col("u") != F.col("v")).distinct(), "component-edges")
+        common.discard(last)
         now = edges.agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"),

@@ -2,9 +2,12 @@
 
 1. Every text becomes its set of distinct n-word shingles, as 64-bit hashes.
    Texts of equal sets form a class; one text stands for it from here on.
-2. Shingles are put in one global order, rare ones first: a sketch of fixed size
-   counts all shingles of all texts.  Two sets within the bound share a shingle
-   among the first |x| - ceil(t |x|) + 1 of either (the prefix).
+2. Shingles are put in one global order, rare ones first: tasks count the shingles
+   that several texts of a chunk have, and the most frequent of their sums
+   (``LISTED`` of them) are listed.  A shingle that is not listed comes before all that
+   are, in the order of hashes; listed ones follow by count.  Two sets within the
+   bound share a shingle among the first |x| - ceil(t |x|) + 1 of either (the prefix);
+   that holds in any order, the counts only keep frequent shingles out of prefixes.
 3. Classes of equal size and equal prefix form a group.  Groups meet by prefix
    shingle, and pairs must fulfil the size and position bounds.
 4. First every group is compared with the least group it meets (and every class
@@ -39,8 +42,8 @@ from pyspark.sql import functions as F
 from cadenza.llm import common, rolling
 from cadenza.llm.components import components
 
-SKETCH_BITS = 18
-SKETCH_ROW = 4096
+#: length of the list of frequent shingles, texts that make one frequent, shingles counted together
+LISTED, FREQUENT, CHUNK = 1 << 19, 4, 1 << 22
 HUB = 2000
 COARSE = 128
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -102,40 +105,54 @@ def set_key(shingles: np.ndarray) -> int:
     return struct.unpack("<q", hashlib.md5(shingles.tobytes()).digest()[:8])[0]
 
 
-def _slot(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def frequent(rows: DataFrame, n: int, listed: int = LISTED) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, in ascending order, and the texts counted for each.
 
-
-def sketch(rows: DataFrame, n: int) -> np.ndarray:
-    """Counts of all shingles of all texts, in a table of fixed size."""
+    Shingles are counted per chunk of a task, where one that a single text has is
+    dropped; what is frequent over all is so in many chunks.  The list has a fixed
+    greatest length, whatever the number of texts.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            slots = [_slot(s) for s in shingle_sets(batch["body"].tolist(), n)]
-            if slots:
-                total += np.bincount(np.concatenate(slots), minlength=1 << SKETCH_BITS)
-        parts = total.reshape(-1, SKETCH_ROW)
-        some = np.flatnonzero(parts.any(axis=1))
-        yield pd.DataFrame({"part": some.astype(np.int32), "counts": [parts[i].tobytes() for i in some]})
-
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, np.int64) for c in part["counts"])
-        return pd.DataFrame({"part": part["part"][:1], "counts": [total.tobytes()]})
+        held, size = [], 0
 
-    schema = "part int, counts binary"
-    # a task sends one row a part, and a part's row has a fixed size
-    merged = rows.select("body").mapInPandas(count, schema).groupBy("part").applyInPandas(merge, schema)
-    out = np.zeros((1 << SKETCH_BITS) // SKETCH_ROW * SKETCH_ROW, np.int64).reshape(-1, SKETCH_ROW)
-    for r in merged.collect():
-        out[r["part"]] = np.frombuffer(bytes(r["counts"]), np.int64)
-    return out.reshape(-1)
+        def several() -> pd.DataFrame:
+            found = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+            times = np.diff(np.append(first, len(found)))
+            keep = times > 1
+            return pd.DataFrame({"shingle": signed(found[first[keep]]), "texts": times[keep]})
 
-
-def levels(counts: np.ndarray) -> np.ndarray:
-    """Order classes of the sketch's slots: 0 up to four times the mean, then by powers of 2."""
-    mean = max(1.0, float(counts.mean()))
-    return np.maximum(0, np.floor(np.log2(np.maximum(counts, 1) / mean)) - 1).astype(np.uint8)
+        for batch in batches:
+            for s in shingle_sets(batch["body"].tolist(), n):
+                if len(s):
+                    held.append(s)
+                    size += len(s)
+                if size >= CHUNK:
+                    yield several()
+                    held, size = [], 0
+        if held:
+            yield several()
+
+    counts = rows.select("body").mapInPandas(count, "shingle long, texts long").groupBy("shingle").agg(F.sum("texts").alias("texts"))
+    top = counts.where(F.col("texts") >= FREQUENT).orderBy(F.desc("texts"), "shingle").limit(listed).toPandas()
+    shingles = top["shingle"].to_numpy(np.int64).view(np.uint64)
+    by = np.argsort(shingles)
+    return shingles[by], top["texts"].to_numpy(np.int64)[by]
+
+
+def rare_first(shingles: np.ndarray, listed: tuple[np.ndarray, np.ndarray], length: int) -> np.ndarray:
+    """The first ``length`` of ascending shingles in the global order."""
+    names, texts = listed
+    if not len(names):
+        return shingles[:length]
+    at = np.minimum(np.searchsorted(names, shingles), len(names) - 1)
+    known = names[at] == shingles
+    rare = shingles[~known]
+    if len(rare) >= length:
+        return rare[:length]
+    more = shingles[known][np.argsort(texts[at[known]], kind="stable")]
+    return np.concatenate([rare, more])[:length]
 
 
 def prefix_length(size: int, num: int, den: int) -> int:
@@ -146,7 +163,7 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _described(rows: DataFrame, n: int, num: int, den: int, level: np.ndarray) -> DataFrame:
+def _described(rows: DataFrame, n: int, num: int, den: int, listed: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, n_shingles, node (hash of the set), prefix (hashes in global order)."""
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,8 +172,7 @@ def _described(rows: DataFrame, n: int, num: int, den: int, level: np.ndarray) -
             for s in shingle_sets(batch["body"].tolist(), n):
                 sizes.append(len(s))
                 nodes.append(set_key(s) if len(s) else None)
-                rare = np.lexsort((s, level[_slot(s)]))[: prefix_length(len(s), num, den)] if len(s) else []
-                prefixes.append(signed(s[rare]) if len(s) else None)
+                prefixes.append(signed(rare_first(s, listed, prefix_length(len(s), num, den))) if len(s) else None)
                 profiles.append(profile(s) if len(s) else None)
                 parts.append(coarse_profile(s) if len(s) else None)
             yield pd.DataFrame(
@@ -364,7 +380,9 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, profiles: Data
                         linked.append((hub, r.node))
             yield pd.DataFrame(linked, columns=["u", "v"], dtype=np.int64)
 
-    return common.materialize(dealt.mapInPandas(compare, "u long, v long").distinct(), "jaccard-links")
+    links = common.materialize(dealt.mapInPandas(compare, "u long, v long").distinct(), "jaccard-links")
+    common.discard(pairs, wants)
+    return links
 
 
 def near_duplicates(
@@ -378,15 +396,16 @@ def near_duplicates(
     """One row per document: doc_id, n_shingles, component_id."""
     num, den = percent, 100
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("body"))
-    level = levels(sketch(rows, n))
-    found = common.materialize(_described(rows, n, num, den, level), "jaccard-sets")
-    some = found.where(F.col("n_shingles") > 0)
+    described = common.materialize(_described(rows, n, num, den, frequent(rows, n)), "jaccard-sets")
+    some = described.where(F.col("n_shingles") > 0)
     classes = common.materialize(
         some.groupBy("node").agg(
             F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"), F.first("profile").alias("profile"), F.first("parts").alias("parts")
         ).withColumn("gid", F.xxhash64("size", "prefix")),
         "jaccard-classes",
     )
+    found = common.materialize(described.select("doc_id", "n_shingles", "node"), "jaccard-ids")
+    common.discard(described)
     profiles = classes.select("node", "size", "profile")
     reps = classes.where(F.col("doc_id").isNotNull()).select("node", "doc_id")
     groups = classes.groupBy("gid").agg(
@@ -395,7 +414,7 @@ def near_duplicates(
         F.when(F.count(F.lit(1)) == 1, F.first("parts")).otherwise(F.lit(b"\xff" * COARSE)).alias("parts"),
     )
     # most shingles are in one group only and end here
-    entries = common.materialize(
+    alone = common.materialize(
         _shared(
             groups.select("gid", "size", F.posexplode("prefix").alias("place", "token")).select(
                 "token", "gid", F.col("size").cast("int").alias("size"), "place"
@@ -404,7 +423,8 @@ def near_duplicates(
         "jaccard-entries",
     )
     heads = groups.select("gid", "head")
-    entries = common.materialize(entries.join(groups.select("gid", "parts"), "gid"), "jaccard-meeting")
+    entries = common.materialize(alone.join(groups.select("gid", "parts"), "gid"), "jaccard-meeting")
+    common.discard(alone)
     star = _meetings(entries.withColumn("label", F.lit(0).cast("long")), num, den, True)
     star = star.join(heads.toDF("a", "u"), "a").join(heads.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
     inside = classes.join(heads, "gid").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
