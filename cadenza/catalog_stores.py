@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.catalog import _logins, _plays, _regions, _songs, query
-from cadenza.catalog_sql import _CHANGES, _text, plain_oracles as _plain
-from cadenza.operators import boards, changes, distinct, enrich, windows
+from cadenza.catalog_sql import _CHANGES, _FEEDBACK_KIND, _MACHINES, _text, plain_oracles as _plain
+from cadenza.operators import answers, assistant, boards, changes, decode, distinct, enrich, windows
 from cadenza.plans import heat
 from cadenza.plans import stand_ins as S
-from cadenza.schemas import ROUTING_CONFIG
+from cadenza.schemas import ROUTING_CONFIG, record
 from cadenza.session import run_dir
 from cadenza.sources.dimensions import DimensionStore
 from cadenza.sources.serving import ServingTable
+from cadenza.sources.tables import read_config
 
 SQL: dict[str, str] = {}
 
@@ -170,3 +171,98 @@ def serving_store_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["serving_store_top_songs"] = _plain()["serving_top_songs"]
 SQL["serving_store_top_singers"] = _plain()["serving_top_singers"]
 SQL["serving_store_rows"] = _plain()["dm_singer_hot_10s"]
+
+# --- configuration, rates and records from stored tables ---------------------------------
+
+
+@query
+def cdc_config_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routing by a configuration table that changes between two reads.
+
+    The first read knows one source table only; the second has both, with the wrong
+    older row of the first one still there.
+    """
+    path = run_dir(spark, "config")
+    whole = S.routing_config(spark)
+    messages = S.change_messages(S.table(spark, sf_dir, "orders"))
+
+    def counts(step: int) -> DataFrame:
+        config = changes.with_known_size(changes.latest_config(read_config(spark, path)))
+        routed = changes.route_changes(changes.parse_changes(messages), config)
+        return routed.groupBy("table", "sink_topic").agg(F.count(F.lit(1)).alias("n")).withColumn("step", F.lit(step))
+
+    early = whole.filter("tbl_name = 'consume_detail'").withColumn("sink_topic", F.lit("a_topic"))
+    early.select(*ROUTING_CONFIG.names).write.mode("append").parquet(path)
+    first_path = run_dir(spark, "config-counts")
+    counts(1).write.parquet(first_path)
+    whole.select(*ROUTING_CONFIG.names).write.mode("append").parquet(path)
+    return spark.read.parquet(first_path).unionByName(counts(2))
+
+
+SQL["cdc_config_table"] = f"""WITH {_CHANGES}
+SELECT tbl AS "table", 'a_topic' AS sink_topic, count(*) AS n, 1 AS step
+FROM changes WHERE tbl = 'consume_detail' GROUP BY tbl
+UNION ALL
+SELECT tbl, CASE tbl WHEN 'consume_detail' THEN 'dwd_machine_consume_detail_rt' ELSE 'dwd_dim_info_rt' END, count(*), 2
+FROM changes WHERE tbl <> 'audit' GROUP BY tbl"""
+
+
+@query
+def machine_admin_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consume rows with their machine's place, name, package and rates."""
+    customer = S.table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    balance = F.col("c_acctbal").cast("string")
+    admin = customer.filter(key % 5 != 0).select(
+        key.cast("string").alias("machine_num"), F.col("c_name").alias("machine_name"),
+        F.col("c_mktsegment").alias("package_name"),
+        F.when(key % 3 == 0, F.lit("n/a")).otherwise(balance).alias("inv_rate"),
+        balance.alias("age_rate"), F.lit("0.25").alias("com_rate"), F.lit(None).cast("string").alias("par_rate"),
+    )
+    machines = S.machines(customer, S.table(spark, sf_dir, "nation"), S.table(spark, sf_dir, "region"))
+    consume = enrich.valid_consume(S.consume(S.table(spark, sf_dir, "orders")))
+    return enrich.add_machine(consume.select("id", "mid", "amount"), machines, admin)
+
+
+SQL["machine_admin_rates"] = f"""WITH {_MACHINES}
+SELECT o_orderkey AS id, o_custkey AS mid, CAST(round(o_totalprice * 100) AS BIGINT) AS amount, province, city,
+       c_name AS "machineName", c_mktsegment AS "packageName",
+       CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_acctbal AS DOUBLE) END AS "invRate",
+       CAST(c_acctbal AS DOUBLE) AS "ageRate",
+       CASE WHEN c_custkey IS NOT NULL THEN CAST(0.25 AS DOUBLE) END AS "comRate", CAST(NULL AS DOUBLE) AS "parRate"
+FROM orders LEFT JOIN machines ON o_custkey = mid
+LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 5 <> 0
+WHERE o_orderstatus = 'O'"""
+
+
+@query
+def wide_plays_reparsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide plays as a topic's JSON messages, read back with the fields that heat needs."""
+    wide = enrich.add_song(_plays(spark, sf_dir), _songs(spark, sf_dir))
+    path = run_dir(spark, "wide-topic")
+    decode.to_json_value(wide).write.text(path)
+    narrow = record(songId="S", songName="S", action="S", timestamp="L")
+    rows = decode.parse_records(spark.read.schema("value string").text(path), narrow)
+    return windows.song_hot(rows, "1 hour")
+
+
+SQL["wide_plays_reparsed"] = _plain()["song_hot_1h"]
+
+
+@query
+def ai_feedback_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback requests checked, sent as log messages, and flattened from the log."""
+    requests = S.feedback(S.table(spark, sf_dir, "lineitem")).withColumn(
+        "sessionId", F.when(F.col("userId") % 4 != 0, F.col("sessionId")).otherwise(" ")
+    )
+    good = requests.withColumn("reason", answers.feedback_request_reason()).filter("reason is null")
+    path = run_dir(spark, "feedback-log")
+    answers.feedback_events(good, F.col("eventId"), F.col("feedbackTime")).write.text(path)
+    split = assistant.split_assistant_log(spark.read.schema("value string").text(path))
+    return assistant.feedback_branch(split).select("eventId", "requestId", "userId", "feedbackType", "feedbackTime")
+
+
+SQL["ai_feedback_branch"] = f"""
+SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS "eventId", CAST(l_orderkey AS VARCHAR) AS "requestId",
+       CAST(l_suppkey AS BIGINT) AS "userId", {_FEEDBACK_KIND} AS "feedbackType", {_text("l_shipdate")} AS "feedbackTime"
+FROM lineitem WHERE l_suppkey % 4 <> 0"""
