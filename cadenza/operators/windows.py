@@ -74,30 +74,21 @@ def song_hot(
 ) -> DataFrame:
     """Plays per song and window, with the first non-empty song name.
 
-    Batch input is first counted per (window, song, name), which stays in a hash
-    aggregate; only those few rows meet the order-dependent choice of a name.
+    Plays are first counted per (window, song, name), which stays in a hash aggregate;
+    only those few rows meet the order-dependent choice of a name.  A stream chains the
+    two aggregates in append mode.
     """
     plays = play_times(wide, delay)
-    keys = [_tumbling(length).alias("window"), F.col("songId")]
-    name, ts = F.col("songName"), F.col("timestamp")
-    if plays.isStreaming:
-        named = name != ""
-        counted = plays.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("playCount"),
-            F.min_by(F.when(named, name), F.when(named, F.struct(ts, name))).alias("_first"),
-            F.max_by(name, F.struct(ts, name)).alias("_last"),
-        )
-    else:
-        per_name = plays.groupBy(*keys, "songName").agg(
-            F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("lo"),
-            F.max("timestamp").alias("hi"),
-        )
-        named = name != ""
-        counted = per_name.groupBy("window", "songId").agg(
-            F.sum("n").alias("playCount"),
-            F.min_by(F.when(named, name), F.when(named, F.struct("lo", "songName"))).alias("_first"),
-            F.max_by(name, F.struct("hi", "songName")).alias("_last"),
-        )
+    per_name = plays.groupBy(_tumbling(length).alias("window"), "songId", "songName").agg(
+        F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"),
+    )
+    name = F.col("songName")
+    named = name != ""
+    counted = per_name.groupBy("window", "songId").agg(
+        F.sum("n").alias("playCount"),
+        F.min_by(F.when(named, name), F.when(named, F.struct("lo", "songName"))).alias("_first"),
+        F.max_by(name, F.struct("hi", "songName")).alias("_last"),
+    )
     return counted.select(
         "songId",
         F.coalesce("_first", "_last").alias("songName"),

@@ -1,7 +1,7 @@
 """Region aggregates over large logs: reduce per machine or grid cell first.
 
 A machine and a grid cell have one region each, so facts are reduced per (window,
-machine) or (window, cell, user) before the look-up; the results are the same as
+machine) or (window, cell, word of users) before the look-up; the results are the same as
 those of the row-level operators.
 """
 
@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from cadenza.fixed_values import WINDOW_LENGTH
 from cadenza.functions.time import local_text_to_timestamp
+from cadenza.operators import distinct
 from cadenza.operators.enrich import add_machine, grid_cell, valid_consume, valid_logins
 from cadenza.operators.windows import (
-    EVENT_TIME, REGION, login_totals, window_bounds, with_event_time, with_millis,
+    EVENT_TIME, REGION, window_bounds, with_event_time, with_millis,
 )
 
 
@@ -44,10 +45,7 @@ def region_login(
         F.window(EVENT_TIME, length).alias("window"),
         grid_cell(F.col("lng"), decimals).alias("lng_cell"),
         grid_cell(F.col("lat"), decimals).alias("lat_cell"),
-        "userId",
-    ).agg(F.min("loginDt").alias("loginDt"))
+        distinct.user_word().alias("word"),
+    ).agg(distinct.user_bits().alias("bits"), F.min("loginDt").alias("first_login"))
     placed = per_cell.join(regions, ["lng_cell", "lat_cell"]).dropna(subset=list(REGION))
-    first = placed.groupBy("window", *REGION, "userId", "adcode").agg(
-        F.min("loginDt").alias("loginDt")
-    )
-    return login_totals(first)
+    return distinct.totals(placed, placed)
