@@ -30,6 +30,7 @@ another; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import namedtuple
 from collections.abc import Iterator
 
 import numpy as np
@@ -254,6 +255,7 @@ def _hot(hits: DataFrame, hot: DataFrame) -> DataFrame:
 
 
 CONTEXT = "anchor long, kind int, key long, id long, start int, strings int, offset int, bytes binary"
+Context = namedtuple("Context", [c.split()[0] for c in CONTEXT.split(", ")])
 
 
 def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -272,22 +274,24 @@ def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 hot = np.array([] if row.hot is None else row.hot, np.int64).view(np.uint64)
                 h, position, start, count = anchors(data, length, gram)
                 take = np.isin(h, wanted)
-                raw = data.tobytes()
-                burning = np.isin(h[take], hot)
-                rows = zip(h[take].tolist(), position[take].tolist(), start[take].tolist(), count[take].tolist(), burning.tolist())
-                for anchor, p, a, n, hot_one in rows:
-                    for b, m in [(a, n)] if not hot_one else [(a + i, 1) for i in range(n)]:
-                        part = raw[b : b + m + length - 1]
-                        key = anchor if not hot_one else int.from_bytes(hashlib.md5(part).digest()[:8], "little")
-                        digest = (key, p - b, part)
-                        earlier = seen.setdefault(digest, row.id)
-                        settled = earlier < row.id
-                        out.append(
-                            (
-                                (row.key if settled else key) - (1 << 63), int(settled), row.key, row.id, b, m, p - b,
-                                b"" if settled else part,
-                            )
-                        )
+                h, position, start, count = h[take], position[take], start[take], count[take]
+                raw, id_, key = data.tobytes(), row.id, row.key
+                names = _signed(h).tolist()
+                rows: Iterator[tuple] = zip(names, position.tolist(), start.tolist(), count.tolist())
+                if len(hot) and (burning := np.isin(h, hot)).any():
+                    rows = _one_by_one(list(rows), burning.tolist(), raw, length)
+                settled: list[tuple[int, int]] = []
+                for anchor, p, b, m in rows:
+                    end = b + m + length - 1
+                    part = raw[b:end]
+                    if seen.setdefault((anchor, p - b, part), id_) < id_:
+                        if settled and b <= settled[-1][1]:  # contexts come in the order of the text
+                            settled[-1] = (settled[-1][0], end)
+                        else:
+                            settled.append((b, end))
+                    else:
+                        out.append((anchor, 0, key, id_, b, m, p - b, part))
+                out.extend((key, 1, key, id_, b, end - b - length + 1, 0, b"") for b, end in settled)
                 if len(out) > 1 << 16:
                     yield _context_frame(out)
                     out = []
@@ -296,17 +300,27 @@ def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.mapInPandas(cut, CONTEXT)
 
 
-def _context_frame(rows: list[tuple]) -> pd.DataFrame:
-    names = [c.split()[0] for c in CONTEXT.split(", ")]
-    frame = pd.DataFrame(rows, columns=names)
-    for name, kind in (c.split() for c in CONTEXT.split(", ")):
-        if kind in ("long", "int"):
-            frame[name] = pd.Series([_wrap(v) for v in frame[name]] if name == "anchor" else frame[name], dtype="int64" if kind == "long" else "int32")
-    return frame
+def _signed(h: np.ndarray) -> np.ndarray:
+    """Unsigned numbers as signed ones of the same order."""
+    return (h ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def _wrap(value: int) -> int:
-    return (value + (1 << 63)) % (1 << 64) - (1 << 63)
+def _one_by_one(rows: list[tuple], burning: list[bool], raw: bytes, length: int) -> Iterator[tuple]:
+    """The strings of hot anchors on their own, each under a name of its content."""
+    for (anchor, p, a, n), hot in zip(rows, burning):
+        if not hot:
+            yield anchor, p, a, n
+            continue
+        for b in range(a, a + n):
+            name = int.from_bytes(hashlib.md5(raw[b : b + length]).digest()[:8], "little") - (1 << 63)
+            yield name, p, b, 1
+
+
+def _context_frame(rows: list[tuple]) -> pd.DataFrame:
+    types = [c.split() for c in CONTEXT.split(", ")]
+    columns = zip(*rows) if rows else [()] * len(types)
+    kinds = {"long": np.int64, "int": np.int32, "binary": object}
+    return pd.DataFrame({name: np.array(column, kinds[kind]) for (name, kind), column in zip(types, columns)})
 
 
 class SuffixOrder:
@@ -379,17 +393,17 @@ def _sorted_out(rows: pd.DataFrame, length: int) -> list[tuple]:
     # equal contexts: all but the smallest id go, the rest is sorted
     firsts: dict = {}
     kept = []
-    for r in rows.itertuples(index=False):
-        same = (r.anchor, r.offset, r.bytes)
-        first = firsts.setdefault(same, r)
-        if first is r:
-            kept.append(r)
-        elif r.id > first.id:
-            out.append((r.key, r.start, r.start + r.strings + length - 1))
-        else:  # rows come by id, so it is the same one
+    names = [c.split()[0] for c in CONTEXT.split(", ")]
+    for r in zip(*[rows[c].tolist() for c in names]):
+        anchor, _, key, id_, start, strings, offset, part = r
+        first = firsts.setdefault((anchor, offset, part), id_)
+        if id_ > first:
+            out.append((key, start, start + strings + length - 1))
+        else:  # rows come by id, so it is the first one, or has the same id
             kept.append(r)
+    kept = [Context._make(r) for r in kept]
     count = np.array([r.strings for r in kept])
-    data = np.frombuffer(b"".join(r.bytes for r in kept), np.uint8)
+    data = np.frombuffer(b"".join([r.bytes for r in kept]), np.uint8)
     begin = np.cumsum([0, *[len(r.bytes) for r in kept]])[:-1]
     own = np.repeat(np.arange(len(kept)), count)
     nth = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
