@@ -10,8 +10,9 @@
    that holds in any order, the counts only keep frequent shingles out of prefixes.
 3. Classes of equal size and equal prefix form a group.  Groups meet by prefix
    shingle, and pairs must fulfil the size and position bounds.
-4. First every group is compared with the least group it meets (and every class
-   with the least of its group); what is linked is one component.  Then all pairs
+4. First every group is compared with one of the least groups that it meets, that which
+   it meets most often (and every class with the least of its group); what is linked is
+   one component.  Then all pairs
    that still lie in different components are expanded to classes and compared.
    So no link between components is missed, and large groups of near copies are
    not compared pair by pair.
@@ -45,7 +46,7 @@ from cadenza.llm.components import components
 #: length of the list of frequent shingles, texts that make one frequent, shingles counted together
 LISTED, FREQUENT, CHUNK = 1 << 19, 4, 1 << 22
 HUB = 2000
-COARSE = 128
+COARSE = 64
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -187,7 +188,12 @@ def _described(rows: DataFrame, n: int, num: int, den: int, listed: tuple[np.nda
 
 
 def _meetings(entries: DataFrame, num: int, den: int, stars: bool) -> DataFrame:
-    """Pairs (a, b) of groups that meet at a prefix shingle and may be linked.
+    """Pairs (a, b) of groups that meet at a prefix shingle and may be linked."""
+    return _met(entries, num, den, stars).select("a", "b").distinct()
+
+
+def _met(entries: DataFrame, num: int, den: int, stars: bool) -> DataFrame:
+    """The pairs of :func:`_meetings` with the number of shingles (n) that they met at, in several rows.
 
     ``entries``: token, gid, size, place, label, parts (a coarse profile).  With ``stars`` only the pair with
     the least group of the bucket that fits; else all pairs of different or unknown
@@ -210,13 +216,13 @@ def _meetings(entries: DataFrame, num: int, den: int, stars: bool) -> DataFrame:
             for i in np.flatnonzero(size > 2).tolist():
                 bucket = {c: v[cut[i] : cut[i + 1]] for c, v in rows.items()}
                 found.extend(_pairs(bucket, num, den, stars))
-            pairs = np.unique(np.array([np.concatenate(side) for side in zip(*found)]).T, axis=0)
+            pairs, times = np.unique(np.array([np.concatenate(side) for side in zip(*found)]).T, axis=0, return_counts=True)
             for at in range(0, len(pairs), 1 << 16):
                 some = pairs[at : at + (1 << 16)]
-                yield pd.DataFrame({"a": some[:, 0], "b": some[:, 1]})
+                yield pd.DataFrame({"a": some[:, 0], "b": some[:, 1], "n": times[at : at + (1 << 16)]})
 
     dealt = entries.repartition("token").sortWithinPartitions("token", "size", "gid")
-    return dealt.mapInPandas(meet, "a long, b long").distinct()
+    return dealt.mapInPandas(meet, "a long, b long, n long")
 
 
 def _shared(entries: DataFrame) -> DataFrame:
@@ -232,6 +238,23 @@ def _shared(entries: DataFrame) -> DataFrame:
     return dealt.mapInPandas(several, entries.schema)
 
 
+def _apart(entries: DataFrame) -> DataFrame:
+    """The entries of the tokens whose groups are not all known to be in one component."""
+
+    def open_ones(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_tokens(batches):
+            cut = _cuts_of(rows["token"])
+            begin, size = cut[:-1], np.diff(cut)
+            label = rows["label"]
+            mixed = np.minimum.reduceat(label, begin) != np.maximum.reduceat(label, begin)
+            mixed |= np.logical_or.reduceat(label == 0, begin)
+            keep = np.repeat(mixed, size)
+            yield pd.DataFrame({c: v[keep] for c, v in rows.items()})
+
+    dealt = entries.repartition("token").sortWithinPartitions("token")
+    return dealt.mapInPandas(open_ones, entries.schema)
+
+
 def _whole_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
     """Columns of the rows in order, cut only between tokens."""
     held: list[pd.DataFrame] = []
@@ -299,7 +322,7 @@ def profile(shingles: np.ndarray) -> bytes:
 
 def coarse_profile(shingles: np.ndarray) -> bytes:
     """The same for fewer parts, 255 for more: small enough to travel with every entry."""
-    counts = np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=COARSE)
+    counts = np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=COARSE)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
@@ -328,13 +351,18 @@ def _within_profiles(pairs: DataFrame, profiles: DataFrame, num: int, den: int)
             fits = _may_share(batch["nx"].to_numpy(), x, batch["ny"].to_numpy(), y, num, den)
             yield batch.loc[fits, ["a", "b"]]
 
-    both = pairs.join(profiles.toDF("a", "nx", "px"), "a").join(profiles.toDF("b", "ny", "py"), "b")
+    # few nodes are in pairs: their profiles alone are shuffled
+    nodes = common.materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-nodes")
+    some = profiles.join(nodes, "node", "left_semi")
+    both = pairs.join(some.toDF("a", "nx", "px"), "a").join(some.toDF("b", "ny", "py"), "b")
     return both.mapInPandas(allow, "a long, b long")
 
 
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, profiles: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are within the bound."""
-    pairs = common.materialize(_within_profiles(pairs, profiles, num, den), "jaccard-pairs")
+    met = common.materialize(pairs, "jaccard-met")
+    pairs = common.materialize(_within_profiles(met, profiles, num, den), "jaccard-pairs")
+    common.discard(met)
     degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("salts"))
     hubs = degree.select(
         F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
@@ -408,13 +436,18 @@ def near_duplicates(
     common.discard(described)
     profiles = classes.select("node", "size", "profile")
     reps = classes.where(F.col("doc_id").isNotNull()).select("node", "doc_id")
-    groups = classes.groupBy("gid").agg(
-        F.min("node").alias("head"), F.count(F.lit(1)).alias("members"), F.first("size").alias("size"), F.first("prefix").alias("prefix"),
+    # most groups are one class; only of the others the head is looked up
+    heads_of_many = common.materialize(
+        classes.groupBy("gid").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1").select("gid", "first"),
+        "jaccard-heads",
+    )
+    groups = classes.join(heads_of_many, "gid", "left").where(F.col("first").isNull() | (F.col("first") == F.col("node"))).select(
+        "gid", F.col("node").alias("head"), "size", "prefix",
         # sets of one group differ: what several may share is left open
-        F.when(F.count(F.lit(1)) == 1, F.first("parts")).otherwise(F.lit(b"\xff" * COARSE)).alias("parts"),
+        F.when(F.col("first").isNull(), F.col("parts")).otherwise(F.lit(b"\xff" * COARSE)).alias("parts"),
     )
     # most shingles are in one group only and end here
-    alone = common.materialize(
+    entries = common.materialize(
         _shared(
             groups.select("gid", "size", F.posexplode("prefix").alias("place", "token")).select(
                 "token", "gid", F.col("size").cast("int").alias("size"), "place"
@@ -422,10 +455,10 @@ def near_duplicates(
         ),
         "jaccard-entries",
     )
-    heads = groups.select("gid", "head")
-    entries = common.materialize(alone.join(groups.select("gid", "parts"), "gid"), "jaccard-meeting")
-    common.discard(alone)
-    star = _meetings(entries.withColumn("label", F.lit(0).cast("long")), num, den, True)
+    heads, parts = groups.select("gid", "head"), groups.select("gid", "parts")
+    star = _met(entries.join(parts, "gid").withColumn("label", F.lit(0).cast("long")), num, den, True)
+    # the hub that a group met most often; the others are looked at below if that one is no link
+    star = star.groupBy("a", "b").agg(F.sum("n").alias("n")).groupBy("b").agg(F.max(F.struct("n", "a")).alias("hub")).select(F.col("hub.a").alias("a"), "b")
     star = star.join(heads.toDF("a", "u"), "a").join(heads.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
     inside = classes.join(heads, "gid").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
     links = _verified(rows, reps, star.union(inside).distinct(), profiles, n, num, den)
@@ -437,7 +470,9 @@ def near_duplicates(
     # a group whose classes differ has no label (0), so its pairs are all looked at
     spread = labelled.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     own = spread.select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(0)).alias("label"))
-    rest = _meetings(entries.join(own, "gid"), num, den, False)
+    # buckets of one label end here, before profiles are added to their entries
+    apart = common.materialize(_apart(entries.join(own, "gid")), "jaccard-apart")
+    rest = _meetings(apart.join(parts, "gid"), num, den, False)
     left, right = labelled.toDF("a", "u", "p"), labelled.toDF("b", "v", "q")
     across = rest.join(left, "a").join(right, "b").where(F.col("p") != F.col("q")).select(F.col("u").alias("a"), F.col("v").alias("b"))
     mixed = spread.where(F.col("low") != F.col("high")).select("gid")
