@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 from cadenza import schemas
 from cadenza.fixed_values import TOPICS, WATERMARK_DELAY, WINDOW_LENGTH
 from cadenza.operators import (
-    answers, assistant, boards, changes, decode, enrich, geocode, user_log, windows,
+    answers, assistant, boards, changes, decode, distinct, enrich, geocode, user_log, windows,
 )
 from cadenza.session import configured_dir
 from cadenza.sources.dimensions import DimensionStore, Snapshots
@@ -297,7 +297,7 @@ def compact_dimensions(wh: Warehouse, least: int = 8, keep: int = 3) -> list[str
 def compact_serving(wh: Warehouse, least: int = 100, keep: int = 3) -> dict[str, list[str]]:
     """The same for serving tables: dates with many small segments get one."""
     done = {}
-    for name in windows.SERVING_TABLES:
+    for name in (*windows.SERVING_TABLES, LOGIN_PARTS):
         if dates := wh.serving(name).compact(least):
             wh.serving(name).expire(keep)
             done[name] = dates
@@ -366,3 +366,28 @@ def answer_job(wh: Warehouse) -> StreamingQuery:
             wh.write(answered.select(*texts), "answers", batch_id)
 
     return wh.start(wh.messages(REQUESTS, "answers"), "answers", each)
+
+
+# --- distinct users without state ------------------------------------------------
+
+LOGIN_PARTS = "dws_region_login_parts"
+
+
+def region_login_parts_job(wh: Warehouse, length: str = WINDOW_LENGTH) -> StreamingQuery:
+    """Logins to mergeable parts of distinct users, a stream without state or watermark.
+
+    Parts of a window may come in any number of micro-batches, late ones too; they are
+    merged when they are read (:func:`region_logins`).
+    """
+    end = F.col("window_start") + F.expr(f"interval {length}")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        parts = distinct.login_parts(batch, length).withColumn("window_end", end)
+        wh.serving(LOGIN_PARTS).write(parts, batch_id)
+
+    return wh.start(wh.read("dwm_login", stream=True), LOGIN_PARTS, each)
+
+
+def region_logins(wh: Warehouse, length: str) -> DataFrame:
+    """Region logins per window of ``length``, from the stored parts of shorter windows."""
+    return distinct.login_totals(wh.serving(LOGIN_PARTS).read(), length)

@@ -203,3 +203,24 @@ def test_questions_to_intents_end_to_end(spark, tmp_path):
     assert jobs.ai_intent_job(wh).awaitTermination(120)
     intents = wh.serving("dm_ai_intent_10s").read().collect()
     assert sorted((r.intent_type, r.request_count, r.like_count) for r in intents) == [("HOT_SONG_QUERY", 1, 1), ("OTHER", 1, 0)]
+
+
+def test_login_parts_over_micro_batches(spark, tmp_path):
+    """Users of three micro-batches, one of them late, merged into hours and days."""
+    wh = jobs.Warehouse(spark, str(tmp_path), FolderTopics(str(tmp_path)), trigger=NOW)
+    wide = LOGIN_ROW + ", province string, city string, district string, adcode string"
+    hour = 3_600_000
+    batches = [
+        [(1, 1_000, "A"), (2, 2_000, "B"), (1, hour + 1, "A")],
+        [(3, 2 * hour, "C"), (1, 2 * hour + 5, "A")],
+        [(2, 500, "Z"), (4, 2_500, "A"), (None, 1, "A")],
+    ]
+    for i, rows in enumerate(batches):
+        full = [(str(u), u, LOGIN_EVENT, "1", "2", t, 1, "d", "h", "P", "C", "D", code) for u, t, code in rows]
+        wh.write(spark.createDataFrame(full, wide), "dwm_login", i)
+        assert jobs.region_login_parts_job(wh).awaitTermination(120)
+    per_hour = sorted((r.windowStart[11:13], r.loginUserCount, r.adcode) for r in jobs.region_logins(wh, "1 hour").collect())
+    assert per_hour == [("00", 3, "Z"), ("01", 1, "A"), ("02", 2, "C")]
+    assert [(r.loginUserCount, r.adcode) for r in jobs.region_logins(wh, "1 day").collect()] == [(4, "Z")]
+    assert jobs.compact_serving(wh, least=2, keep=1) == {jobs.LOGIN_PARTS: ["1970-01-01"]}
+    assert [(r.loginUserCount, r.adcode) for r in jobs.region_logins(wh, "1 day").collect()] == [(4, "Z")]
