@@ -11,7 +11,8 @@ the suffixes are sorted where they can matter, without losing any:
 2. The strings of a repeated anchor form a context.  Equal contexts need no sort:
    all but the one of the smallest id go.  What is left is sorted: suffixes of one
    anchor and offset, by mergesort, where two suffixes are compared by a binary
-   search for their common extension on prefix polynomial hashes.  Neighbours of
+   search for their common extension on prefix polynomial hashes; a suffix whose first
+   ``length`` bytes have a hash of their own is left out.  Neighbours of
    ``length`` common bytes are equal strings, which is verified on the bytes.
 3. The runs found are merged per document and cut from its text.
 
@@ -331,6 +332,10 @@ class SuffixOrder:
         self.sums = rolling.prefix_hashes(data)
         _, self.down = rolling.powers(len(data) + 1)
 
+    def window(self, a: np.ndarray) -> np.ndarray:
+        """Hashes of the first ``depth`` bytes of suffixes that are as long."""
+        return (self.sums[a + self.depth] - self.sums[a]) * self.down[a]
+
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes a and b, by binary search."""
         low, high = np.zeros(len(a), np.int64), np.full(len(a), self.depth)
@@ -418,6 +423,13 @@ def _sorted_out(rows: pd.DataFrame, length: int) -> list[tuple]:
     if not len(own):
         return out
     order = SuffixOrder(data, length)
+    # nor do those whose first bytes have a hash of their own: no other suffix begins like them
+    whole = order.window(start) ^ (segment.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _, which, alone = np.unique(whole, return_inverse=True, return_counts=True)
+    take = alone[which] > 1
+    own, nth, start, segment = own[take], nth[take], start[take], segment[take]
+    if not len(own):
+        return out
     by = order.sort(segment, start)
     own, nth, start, segment = own[by], nth[by], start[by], segment[by]
     near = (segment[1:] == segment[:-1]) & (order.common(start[1:], start[:-1]) >= length)
