@@ -4,6 +4,7 @@ import oracle
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from cadenza import catalog_stores, catalog_streams
 from cadenza.catalog import catalog
 from cadenza.catalog_sql import oracles
 
@@ -31,7 +32,11 @@ def test_entry(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(catalog()))
+#: queries that write and read tables; what they return is the plan of a read, seen by their own tests
+STORED = set(catalog_stores.SQL) | set(catalog_streams.SQL)
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog()) - STORED))
 def test_plans_hold_at_scale(spark, name):
     """No cross joins, no broadcast of everything, no Python unless that is the point."""
     df = catalog()[name](spark, SMALL)

@@ -29,7 +29,7 @@ def _counts(rows):
     return sorted(tuple(r) for r in rows.groupBy("requestId", "feedbackTime", "intentType").agg(F.sum("times").alias("n")).collect())
 
 
-@pytest.mark.parametrize("seed, bucket", [(1, 600), (2, 50)])
+@pytest.mark.parametrize("seed, bucket", [(2, 50)])
 def test_equals_the_batch_form_with_a_hot_request(spark, tmp_path, seed, bucket):
     rng = random.Random(seed)
 
