@@ -17,25 +17,32 @@ def _read(spark: SparkSession, checkpoint: str, batch_id: int | None, **options:
     return reader.load(checkpoint)
 
 
+def _rows(spark: SparkSession, checkpoint: str, batch_id: int | None, name: str, *columns: str) -> DataFrame:
+    """The rows of a table that the buckets keep in pieces."""
+    pieces = _read(spark, checkpoint, batch_id, stateVarName=name).select("key._bucket", "list_element.*")
+    return pieces.select("_bucket", F.inline(F.arrays_zip(*columns)))
+
+
 def waiting_feedback(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:
     """Feedback that waits for a response: per request, time and kind, with its count."""
-    rows = _read(spark, checkpoint, batch_id, stateVarName="waiting")
-    return rows.select(
-        F.col("key.requestId").alias("requestId"), F.col("user_map_key.feedbackTime").alias("feedbackTime"),
-        F.col("user_map_key.feedbackType").alias("feedbackType"), F.col("user_map_value.times").alias("times"),
-    )
+    columns = ("requestId", "feedbackTime", "feedbackType", "times")
+    return _rows(spark, checkpoint, batch_id, "waiting", *columns).drop("_bucket")
 
 
 def known_intents(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:
     """The last intent of each request."""
-    rows = _read(spark, checkpoint, batch_id, stateVarName="intent")
-    return rows.select(F.col("key.requestId").alias("requestId"), "value.intentType", "value.intentGroup")
+    return _rows(spark, checkpoint, batch_id, "intent", "requestId", "intentType", "intentGroup").drop("_bucket")
 
 
 def registered_timers(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:
-    """When the waiting feedback of each request is dropped (milliseconds of wall clock)."""
+    """When the waiting feedback of each request is dropped (milliseconds of wall clock).
+
+    A bucket has one timer for all requests that began to wait in the same micro-batch.
+    """
     rows = _read(spark, checkpoint, batch_id, readRegisteredTimers="true")
-    return rows.select(F.col("key.requestId").alias("requestId"), F.col("expiration_timestamp_ms").alias("at"))
+    timers = rows.select("key._bucket", F.col("expiration_timestamp_ms").alias("at")).distinct()
+    waits = _rows(spark, checkpoint, batch_id, "waiting", "requestId", "until").withColumnRenamed("until", "at")
+    return waits.distinct().join(timers, ["_bucket", "at"]).select("requestId", "at")
 
 
 def operators(spark: SparkSession, checkpoint: str) -> DataFrame:
