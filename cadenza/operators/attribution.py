@@ -5,13 +5,16 @@ Feedback ``f`` goes to the response of its request with the greatest
 ``wait`` after it; otherwise nowhere.  Every feedback row is attributed at most
 once, however many responses a request has.
 
-A request may hold a large part of all rows.  Times are whole seconds, so the
-result depends on (request, second) only: both sides are first combined per
-second (on the map side, before any shuffle), and those seconds are grouped by
-(request, time bucket).  A group thus has at most two rows per second of a bucket.
-What a bucket must know about the time outside it is one row: the last response
-before it, the first one after.  Feedback rows then look up their second; a hot
-second is an ordinary skewed join key, whose partition is split at run time.
+Rows are shuffled once, by request, and attributed in one pass over the request's
+time.  A request may hold a large part of all rows, though: those of more than
+``hot_rows`` rows, of which there can be only (rows / ``hot_rows``), are found first
+and go another way.  Times are whole seconds, so the result depends on (request,
+second) only: both sides are combined per second (on the map side, before any
+shuffle), and those seconds are grouped by (request, time bucket).  A group thus has
+at most two rows per second of a bucket.  What a bucket must know about the time
+outside it is one row: the last response before it, the first one after.  Feedback
+rows then look up their second; a hot second is an ordinary skewed join key, whose
+partition is split at run time.
 """
 
 from __future__ import annotations
@@ -28,6 +31,9 @@ from cadenza.operators.windows import feedback_metrics, response_metrics, valid_
 INTENT = ("intentType", "intentGroup")
 _KEY = ("requestId", "_bucket")
 
+#: rows of a request that one task sorts; requests with more are cut into time buckets
+HOT_ROWS = 1_000_000
+
 
 def _seconds(text: Column) -> Column:
     return F.unix_seconds(local_text_to_timestamp(text))
@@ -35,8 +41,7 @@ def _seconds(text: Column) -> Column:
 
 def answered_seconds(responses: DataFrame, tie: str) -> DataFrame:
     """First and last response of each request and second: ``requestId, _at, _first, _last``."""
-    valid = responses.dropna(subset=["requestId", "responseTime", *INTENT])
-    timed = evaluated_once(valid, {"_at": _seconds(F.col("responseTime"))})
+    timed = evaluated_once(_valid_responses(responses), {"_at": _seconds(F.col("responseTime"))})
     one = F.struct(F.col("_at").alias("at"), F.col(tie).alias("tie"), *INTENT)
     return timed.groupBy("requestId", "_at").agg(F.min(one).alias("_first"), F.max(one).alias("_last"))
 
@@ -95,25 +100,76 @@ def seconds_in_reach(
     )
 
 
+def _valid_responses(responses: DataFrame) -> DataFrame:
+    return responses.dropna(subset=["requestId", "responseTime", *INTENT])
+
+
+def hot_requests(responses: DataFrame, feedback: DataFrame, hot_rows: int) -> DataFrame:
+    """``requestId`` of more than ``hot_rows`` responses and feedback rows."""
+    requests = responses.select("requestId").unionByName(feedback.select("requestId"))
+    counted = requests.groupBy("requestId").agg(F.count(F.lit(1)).alias("_n"))
+    return counted.filter(F.col("_n") > F.lit(hot_rows)).select("requestId")
+
+
+def _in_one_pass(responses: DataFrame, rows: DataFrame, wait_seconds: int, tie: str) -> DataFrame:
+    """Valid feedback rows with their intents, by a window over each request."""
+    own = [c for c in rows.columns if c != "requestId"]
+    answered = evaluated_once(responses, {"_at": _seconds(F.col("responseTime"))}).select(
+        "requestId", "_at", F.struct(F.col("_at").alias("at"), F.col(tie).alias("tie"), *INTENT).alias("_answer")
+    )
+    given = evaluated_once(rows, {"_at": _seconds(F.col("feedbackTime"))}).select(
+        "requestId", "_at", F.struct(*own).alias("_fed")
+    )
+    both = answered.unionByName(given, allowMissingColumns=True).filter("_at is not null")
+    # a response sorts before feedback of the same second
+    timeline = Window.partitionBy("requestId").orderBy("_at", F.col("_fed").isNotNull(), "_answer")
+    start, end = Window.unboundedPreceding, Window.unboundedFollowing
+    seen = both.select(
+        "requestId", "_at", "_fed",
+        F.last("_answer", ignorenulls=True).over(timeline.rowsBetween(start, Window.currentRow)).alias("_prev"),
+        F.first("_answer", ignorenulls=True).over(timeline.rowsBetween(start, end)).alias("_next"),
+    ).filter("_fed is not null")
+    near = F.col("_next.at") <= F.col("_at") + F.lit(wait_seconds)
+    chosen = seen.select(
+        "requestId", "_fed", F.coalesce("_prev", F.when(near, F.col("_next"))).alias("_chosen")
+    ).filter("_chosen is not null")
+    return chosen.select("requestId", "_fed.*", *[F.col("_chosen")[c].alias(c) for c in INTENT])
+
+
+def _in_buckets(
+    responses: DataFrame, feedback: DataFrame, wait_seconds: int, bucket_seconds: int, tie: str
+) -> DataFrame:
+    """The same for requests of any size, by seconds and time buckets."""
+    rows = evaluated_once(feedback, {"_at": _seconds(F.col("feedbackTime"))})
+    seconds = rows.select("requestId", "_at").distinct()
+    answered = seconds_in_reach(answered_seconds(responses, tie), seconds, wait_seconds, bucket_seconds)
+    return rows.join(answered, ["requestId", "_at"]).drop("_at")
+
+
 def attribute_feedback(
     responses: DataFrame,
     feedback: DataFrame,
     wait_seconds: int = PENDING_FEEDBACK_MINUTES * 60,
     bucket_seconds: int = 3600,
     tie: str = "eventId",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Feedback rows with the ``intentType`` and ``intentGroup`` they count for.
 
     Feedback without a response in reach is left out.  ``tie`` orders responses
-    of one second.  ``bucket_seconds`` bounds the seconds one task sorts together
-    and does not change the result.
+    of one second.  ``hot_rows`` bounds the rows one task sorts together, and
+    ``bucket_seconds`` the seconds of requests with more; neither changes the result.
     """
-    rows = evaluated_once(
-        valid_feedback(feedback).drop(*INTENT), {"_at": _seconds(F.col("feedbackTime"))}
+    answered, rows = _valid_responses(responses), valid_feedback(feedback).drop(*INTENT)
+    hot = F.broadcast(hot_requests(answered, rows, hot_rows))
+    calm = _in_one_pass(
+        answered.join(hot, "requestId", "left_anti"), rows.join(hot, "requestId", "left_anti"), wait_seconds, tie
     )
-    seconds = rows.select("requestId", "_at").distinct()
-    answered = seconds_in_reach(answered_seconds(responses, tie), seconds, wait_seconds, bucket_seconds)
-    return rows.join(answered, ["requestId", "_at"]).drop("_at")
+    cut = _in_buckets(
+        answered.join(hot, "requestId", "left_semi"), rows.join(hot, "requestId", "left_semi"),
+        wait_seconds, bucket_seconds, tie,
+    )
+    return calm.unionByName(cut)
 
 
 def collapsed(feedback: DataFrame) -> DataFrame:
@@ -130,10 +186,24 @@ def intent_metrics(
     wait_seconds: int = PENDING_FEEDBACK_MINUTES * 60,
     bucket_seconds: int = 3600,
     tie: str = "eventId",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Metric deltas by intent: one per response, one per attributed feedback count."""
-    attributed = attribute_feedback(
-        responses, collapsed(feedback), wait_seconds, bucket_seconds, tie
+    """Metric deltas by intent: one per response, one per attributed feedback count.
+
+    Feedback of a request is counted per time and kind only where the request is hot;
+    elsewhere every row is a count of one, and the windows add them up before a shuffle.
+    """
+    answered, rows = _valid_responses(responses), valid_feedback(feedback).select(
+        "requestId", "feedbackTime", "feedbackType"
+    )
+    hot = F.broadcast(hot_requests(answered, rows, hot_rows))
+    calm = _in_one_pass(
+        answered.join(hot, "requestId", "left_anti"),
+        rows.join(hot, "requestId", "left_anti").withColumn("times", F.lit(1).cast("bigint")), wait_seconds, tie,
+    )
+    cut = _in_buckets(
+        answered.join(hot, "requestId", "left_semi"), collapsed(rows.join(hot, "requestId", "left_semi")),
+        wait_seconds, bucket_seconds, tie,
     )
-    by_feedback = feedback_metrics(attributed, *INTENT, times=F.col("times"))
+    by_feedback = feedback_metrics(calm.unionByName(cut), *INTENT, times=F.col("times"))
     return response_metrics(responses, *INTENT).unionByName(by_feedback)
