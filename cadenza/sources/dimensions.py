@@ -21,6 +21,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import asdict, dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,8 +142,16 @@ class DimensionStore:
         ``changes.latest_changes`` where one source table feeds a dimension), with ``seq``.
         Several source tables may feed one dimension, each with the columns that its
         configuration lists; lists may change from batch to batch.  Names and lists
-        of the touched dimensions come to the driver, rows do not.
+        of the touched dimensions come to the driver, rows do not.  ``latest`` is made
+        once, however many dimensions there are, and kept on disk meanwhile.
         """
+        latest = latest.persist(StorageLevel.DISK_ONLY)
+        try:
+            return self._apply(latest, config, batch_id)
+        finally:
+            latest.unpersist()
+
+    def _apply(self, latest: DataFrame, config: DataFrame, batch_id: int) -> list[str]:
         rows = config.select("phoenix_tbl_name", "pk_col", "cols").distinct()
         touched = latest.select(F.col("phoenix_table_name").alias("phoenix_tbl_name")).distinct()
         lists: dict[str, list[tuple[str, str]]] = {}
