@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,6 +181,12 @@ def _hot_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "orders").withColumn("request", hot)
 
 
+#: what ``stand_ins.feedback`` reads of an item
+_FEEDBACK_OF = (
+    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "l_linestatus",
+)
+
+
 def _hot_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     owner = _hot_orders(spark, sf_dir).select("o_orderkey", "request")
     return S.table(spark, sf_dir, "lineitem").join(owner, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
@@ -195,7 +202,9 @@ def _time_slice(time: str, shuffled_by: str) -> Column:
 def stream_timed_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-time attribution over out-of-order micro-batches, a third of all in one request."""
     work = run_dir(spark, "timed-attribution")
-    orders, items = _hot_orders(spark, sf_dir), _hot_items(spark, sf_dir)
+    orders = _hot_orders(spark, sf_dir)
+    # joined once for all slices, with the columns that feedback has
+    items = _hot_items(spark, sf_dir).select(*_FEEDBACK_OF, "request").persist(StorageLevel.DISK_ONLY)
     slices = [
         [
             ("orders", orders.filter(_time_slice("o_orderdate", "o_orderkey") == i)),
@@ -205,11 +214,14 @@ def stream_timed_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     slices.append([("orders", _far(orders, "o_orderdate"))])
     job = TimedAttribution(spark, f"{work}/attribution", 30 * DAY, STAND_IN_WAIT, 90 * DAY)
-    _run(
-        spark, work, slices,
-        lambda source: arrivals(S.responses(source("orders"), "request"), S.feedback(source("items"), "request")),
-        job.each,
-    )
+    try:
+        _run(
+            spark, work, slices,
+            lambda source: arrivals(S.responses(source("orders"), "request"), S.feedback(source("items"), "request")),
+            job.each,
+        )
+    finally:
+        items.unpersist()
     return job.read().groupBy("requestId", "feedbackTime", "feedbackType", "intentType", "intentGroup").agg(
         F.sum("times").alias("times")
     )
