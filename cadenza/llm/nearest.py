@@ -341,7 +341,7 @@ def build_index(points: DataFrame, routers: dict[int, Router], leaf: int = LEAF)
     least = F.coalesce(F.col("ids")[0]["id"].cast("long"), F.lit(NO_ID))
     rows = _routed(points.select("point", "v", least.alias("least")), routers)
     index = rows.groupBy("shard").applyInArrow(build, "shard long, tree binary")
-    return common.materialize(index, "vantage-points")
+    return common.materialize(index, "vantage-points", common.LARGE_ROWS)
 
 
 _FOUND = "query long, v array<double>, home long, scores array<double>, leasts array<long>, points array<long>"
