@@ -45,22 +45,38 @@ LENGTH = 50
 GRAM = 16
 CHUNK = 1 << 24
 LAST = (1 << 63) - 1
+#: Bytes of texts that are looked at together.
+TEXT_BYTES = 1 << 16
+#: Contexts that are sorted together, if one anchor does not have more.
+SLICE = 1 << 14
 #: Of an anchor's order, the bits that a position takes beside the hash.
 POSITION_BITS = 24
 
+#: Text, hash, position, first string, number of strings, and hash of the bytes of all its strings.
+Anchors = namedtuple("Anchors", "text, hash, position, start, strings, whole")
+
 
 def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, position, first string, number of strings) of the anchors of a text."""
-    n = len(data) - length + 1
-    if n <= 0:
+    found = _anchors(data, np.array([len(data)]), length, gram)
+    return found.hash, found.position, found.start, found.strings
+
+
+def _anchors(data: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> Anchors:
+    """The anchors of texts of these sizes, one behind the other in ``data``."""
+    if len(data) < length:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none
-    h = rolling.window_hashes(data, gram)
+        return Anchors(none, none.astype(np.uint64), none, none, none, none.astype(np.uint64))
+    sums = rolling.prefix_hashes(data)
+    _, down = rolling.powers(len(data) + 1)
+    size = len(data) - gram + 1
+    h = (sums[gram:] - sums[:-gram]) * down[:size]
     width = length - gram + 1
     # the least (upper bits of the hash, position) of every window, by doubling
     low = np.uint64((1 << POSITION_BITS) - 1)
     if len(h) <= int(low):
-        best = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+        best = h & ~low
+        best |= np.arange(len(h), dtype=np.uint64)
         step = 1
         while step * 2 <= width:
             best = np.minimum(best[:-step], best[step:])
@@ -68,7 +84,7 @@ def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
         if step < width:
             size = len(h) - width + 1
             best = np.minimum(best[:size], best[width - step : width - step + size])
-        at = (best & low).astype(np.int64)
+        at = (best & low).view(np.int64)
     else:  # too long for a position beside the hash
         best, at, step = h & ~low, np.arange(len(h)), 1
         while step * 2 <= width:
@@ -76,9 +92,25 @@ def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
             step *= 2
         if step < width:
             best, at = _less(best, at, width - step, len(h) - width + 1)
-    starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    # a string lies in one text; texts have no anchor in common
+    n = len(data) - length + 1
+    change = np.append(True, at[1:] != at[:-1])
+    end = np.cumsum(sizes)
+    last = np.clip(end - length + 1, 0, n)
+    for a, b, e in zip(np.append(0, end[:-1]).tolist(), last.tolist(), end.tolist()):
+        change[max(a, b) : e] = False
+        if a < b:
+            change[a] = True
+        if max(a, b) < n:
+            change[max(a, b)] = True  # what begins here is no string of this text
+    starts = np.flatnonzero(change)
+    strings = np.diff(np.append(starts, n))
+    text = np.searchsorted(end, starts, "right")
+    inside = starts < last[np.minimum(text, len(last) - 1)]
+    starts, strings, text = starts[inside], strings[inside], text[inside]
     position = at[starts]
-    return h[position], position, starts, np.diff(np.append(starts, n))
+    stop = starts + strings + length - 1
+    return Anchors(text, rolling.spread(h[position]), position, starts, strings, (sums[stop] - sums[starts]) * down[starts])
 
 
 def _less(best: np.ndarray, at: np.ndarray, step: int, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +126,7 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
     for batch in batches:
         for row in batch.itertuples(index=False):
             raw = row.body.encode("utf-8", "surrogatepass")
-            held.append((row, np.frombuffer(raw, np.uint8)))
+            held.append((row, raw))
             size += len(raw)
             if size >= CHUNK:
                 yield held
@@ -103,6 +135,22 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
         yield held
 
 
+def _chunk_anchors(texts: list[bytes], length: int, gram: int) -> Anchors:
+    """The anchors of the texts of a chunk, with places in each text."""
+    out: list[Anchors] = []
+    first, size = 0, 0
+    for i, raw in enumerate(texts):
+        size += len(raw)
+        if size >= TEXT_BYTES or i + 1 == len(texts):
+            some = texts[first : i + 1]
+            sizes = np.array([len(t) for t in some])
+            found = _anchors(np.frombuffer(b"".join(some), np.uint8), sizes, length, gram)
+            begin = (np.cumsum(sizes) - sizes)[found.text]
+            out.append(found._replace(text=found.text + first, position=found.position - begin, start=found.start - begin))
+            first, size = i + 1, 0
+    return Anchors(*[np.concatenate(x) for x in zip(*out)])
+
+
 def _repeated(rows: DataFrame, length: int, gram: int, buckets: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """(key, hashes), the anchors of each text that other texts have too, and ``hot_hash``."""
     groups = buckets  # of texts, that answers are sent to
@@ -110,27 +158,26 @@ def _repeated(rows: DataFrame, length: int, gram: int, buckets: int, hot: int) -
 
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk in _texts(batches):
-            parts = [np.unique(anchors(data, length, gram)[0]) for _, data in chunk]
             keys = np.array([row.key for row, _ in chunk], np.int64)
-            owner = np.repeat(np.arange(len(chunk), dtype=np.uint32), [len(p) for p in parts])
-            found = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            by = np.argsort(found, kind="stable")
-            found, owner = found[by], owner[by]
+            anchored = _chunk_anchors([raw for _, raw in chunk], length, gram)
+            by = np.argsort(anchored.hash, kind="stable")
+            found, owner = anchored.hash[by], anchored.text[by]
+            once = np.append(True, (found[1:] != found[:-1]) | (owner[1:] != owner[:-1]))[: len(found)]
+            found, owner = found[once], owner[once]
             begin = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.zeros(0, np.int64)
             size = np.diff(np.append(begin, len(found)))
-            first = keys[owner[begin]] if len(begin) else keys[:0]
+            mine = keys[owner]
+            first = mine[begin]
             # repeated here: by texts of different keys
-            several = np.zeros(len(begin), bool)
-            for i in np.flatnonzero(size > 1).tolist():
-                some = keys[owner[begin[i] : begin[i] + size[i]]]
-                several[i] = bool((some != some[0]).any())
+            several = np.minimum.reduceat(mine, begin) != np.maximum.reduceat(mine, begin) if len(begin) else np.zeros(0, bool)
             known = np.repeat(several, size)
             out = []
-            local = {}
-            for o, h in zip(owner[known].tolist(), found[known].tolist()):
-                local.setdefault(o, []).append(h)
-            for o, some in local.items():
-                out.append((int(keys[o]) & 0x7FFFFFFF, 1, np.array(some, np.uint64).tobytes(), keys[o : o + 1].tobytes(), b""))
+            by = np.argsort(owner[known], kind="stable")
+            own, hashes = owner[known][by], found[known][by]
+            cuts = np.searchsorted(own, np.arange(len(chunk) + 1)).tolist()
+            for o, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if a < b:
+                    out.append((int(keys[o]) & 0x7FFFFFFF, 1, hashes[a:b].tobytes(), keys[o : o + 1].tobytes(), b""))
             # one entry for each hash: who asks, or that it is known to be repeated
             unique = found[begin]
             bucket = (unique >> np.uint64(64 - bits)).astype(np.int64)
@@ -255,50 +302,72 @@ def _hot(hits: DataFrame, hot: DataFrame) -> DataFrame:
     return each.join(hot.distinct(), "hot_hash").groupBy("key").agg(F.collect_set("hot_hash").alias("hot"))
 
 
-CONTEXT = "anchor long, kind int, key long, id long, start int, strings int, offset int, bytes binary"
-Context = namedtuple("Context", [c.split()[0] for c in CONTEXT.split(", ")])
-
+#: Contexts of a bucket of anchors (kind 0), or settled runs of a group of texts (kind 1: keys, starts, ends as offsets).
+CONTEXTS = "bucket int, kind int, anchors binary, keys binary, ids binary, starts binary, strings binary, offsets binary, bytes binary"
+KINDS = {"anchors": np.int64, "keys": np.int64, "ids": np.int64, "starts": np.int32, "strings": np.int32, "offsets": np.int32}
+RUNS = "part int, keys binary, starts binary, ends binary"
+Context = namedtuple("Context", "anchor, key, id, start, strings, offset, bytes")
 
-def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """A row for each context of a repeated anchor that no smaller id of the chunk has.
 
-    ``kind`` 1 rows are settled: all their strings go.
-    """
+def _contexts(texts: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
+    """The contexts of repeated anchors that no smaller id of the chunk has, by buckets of anchors."""
+    bits = max(1, (buckets - 1).bit_length())
+    width = 2 * length - gram
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk in _texts(batches):
-            seen: dict = {}
-            out: list[tuple] = []
             chunk.sort(key=lambda r: r[0].id)
-            for row, data in chunk:
-                wanted = np.unique(np.concatenate([np.frombuffer(h, np.uint64) for h in row.hashes]))
-                hot = np.array([] if row.hot is None else row.hot, np.int64).view(np.uint64)
-                h, position, start, count = anchors(data, length, gram)
-                take = np.isin(h, wanted)
-                h, position, start, count = h[take], position[take], start[take], count[take]
-                raw, id_, key = data.tobytes(), row.id, row.key
-                names = _signed(h).tolist()
-                rows: Iterator[tuple] = zip(names, position.tolist(), start.tolist(), count.tolist())
-                if len(hot) and (burning := np.isin(h, hot)).any():
-                    rows = _one_by_one(list(rows), burning.tolist(), raw, length)
-                settled: list[tuple[int, int]] = []
-                for anchor, p, b, m in rows:
-                    end = b + m + length - 1
-                    part = raw[b:end]
-                    if seen.setdefault((anchor, p - b, part), id_) < id_:
-                        if settled and b <= settled[-1][1]:  # contexts come in the order of the text
-                            settled[-1] = (settled[-1][0], end)
-                        else:
-                            settled.append((b, end))
-                    else:
-                        out.append((anchor, 0, key, id_, b, m, p - b, part))
-                out.extend((key, 1, key, id_, b, end - b - length + 1, 0, b"") for b, end in settled)
-                if len(out) > 1 << 16:
-                    yield _context_frame(out)
-                    out = []
-            yield _context_frame(out)
-
-    return texts.mapInPandas(cut, CONTEXT)
+            raws = [raw for _, raw in chunk]
+            found = _chunk_anchors(raws, length, gram)
+            cuts = np.searchsorted(found.text, np.arange(len(chunk) + 1)).tolist()
+            take = [_among(found.hash[a:b], np.sort(np.frombuffer(row.hashes, np.uint64))) for (row, _), a, b in zip(chunk, cuts, cuts[1:])]
+            found = Anchors(*[x[np.concatenate(take)] for x in found])
+            offset = found.position - found.start
+            name = _signed(found.hash)
+            burning = np.zeros(len(name), bool)
+            for i, (row, _) in enumerate(chunk):
+                if row.hot is not None and len(row.hot):
+                    a, b = np.searchsorted(found.text, [i, i + 1])
+                    burning[a:b] = np.isin(found.hash[a:b].view(np.int64), np.array(row.hot, np.int64))
+            if burning.any():
+                found, name, offset = _one_by_one(found, name, offset, burning, raws, length)
+            ids, keys = (np.array([getattr(row, c) for row, _ in chunk], np.int64)[found.text] for c in ("id", "key"))
+            size = found.strings + length - 1
+            begin = np.cumsum([0, *[len(raw) for raw in raws]])[found.text] + found.start
+            first = _first_equal(name, offset, found.strings, found.whole)
+            windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join([*raws, bytes(width)]), np.uint8), width)
+            settled = np.zeros(len(name), bool)
+            some = np.flatnonzero(ids[first] < ids)
+            for a in range(0, len(some), SLICE):
+                i = some[a : a + SLICE]
+                j = first[i]
+                equal = (name[i] == name[j]) & (offset[i] == offset[j]) & (size[i] == size[j])
+                settled[i] = equal & _equal_bytes(windows[begin[i]], windows[begin[j]], size[i])
+            out = []
+            # contexts come in the order of the text: what is settled forms runs
+            text, start, end = _joined(found.text[settled], found.start[settled], (found.start + size)[settled])
+            for r in _packed_runs(np.array([row.key for row, _ in chunk], np.int64)[text], start, end, buckets):
+                out.append((r[0], 1, b"", r[1], b"", r[2], b"", r[3], b""))
+            rest = np.flatnonzero(~settled)
+            bucket = (name[rest].view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            rest = rest[np.argsort(bucket, kind="stable")]
+            cuts = np.searchsorted(np.sort(bucket), np.arange((1 << bits) + 1)).tolist()
+            columns = {"anchors": name, "keys": keys, "ids": ids, "starts": found.start, "strings": found.strings, "offsets": offset}
+            packed = [x[rest].astype(KINDS[c]) for c, x in columns.items()]
+            bytes_ = [raws[t][a:b] for t, a, b in zip(found.text[rest].tolist(), found.start[rest].tolist(), (found.start + size)[rest].tolist())]
+            for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if a < b:
+                    out.append((n, 0, *[x[a:b].tobytes() for x in packed], b"".join(bytes_[a:b])))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in CONTEXTS.split(", ")])
+
+    return texts.mapInPandas(cut, CONTEXTS)
+
+
+def _among(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which hashes are wanted; ``wanted`` is sorted."""
+    if not len(wanted):
+        return np.zeros(len(hashes), bool)
+    return wanted[np.minimum(wanted.searchsorted(hashes), len(wanted) - 1)] == hashes
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -306,22 +375,53 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return (h ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def _one_by_one(rows: list[tuple], burning: list[bool], raw: bytes, length: int) -> Iterator[tuple]:
-    """The strings of hot anchors on their own, each under a name of its content."""
-    for (anchor, p, a, n), hot in zip(rows, burning):
-        if not hot:
-            yield anchor, p, a, n
-            continue
-        for b in range(a, a + n):
-            name = int.from_bytes(hashlib.md5(raw[b : b + length]).digest()[:8], "little") - (1 << 63)
-            yield name, p, b, 1
+def _first_equal(name: np.ndarray, offset: np.ndarray, strings: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """For each context the first one that is equal, by hash."""
+    place = (offset.astype(np.uint64) << np.uint64(32)) + strings.astype(np.uint64)
+    _, first, same = np.unique(
+        rolling.spread(rolling.spread(name.view(np.uint64) + rolling.spread(place)) ^ whole), return_index=True, return_inverse=True
+    )
+    return first[same]
 
 
-def _context_frame(rows: list[tuple]) -> pd.DataFrame:
-    types = [c.split() for c in CONTEXT.split(", ")]
-    columns = zip(*rows) if rows else [()] * len(types)
-    kinds = {"long": np.int64, "int": np.int32, "binary": object}
-    return pd.DataFrame({name: np.array(column, kinds[kind]) for (name, kind), column in zip(types, columns)})
+def _equal_bytes(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Rows whose first ``size`` bytes are equal."""
+    return ~((a != b) & (np.arange(a.shape[1]) < size[:, None])).any(1)
+
+
+def _one_by_one(found: Anchors, name: np.ndarray, offset: np.ndarray, burning: np.ndarray, raws: list[bytes], length: int) -> tuple:
+    """The strings of hot anchors on their own, each under a name of its content."""
+    n = np.where(burning, found.strings, 1)
+    each = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+    found, name, offset = Anchors(*[x[each] for x in found]), name[each], offset[each] - nth
+    found = found._replace(start=found.start + nth, strings=np.where(burning[each], 1, found.strings))
+    for i in np.flatnonzero(burning[each]).tolist():
+        a = int(found.start[i])
+        name[i] = int.from_bytes(hashlib.md5(raws[found.text[i]][a : a + length]).digest()[:8], "little") - (1 << 63)
+        found.whole[i] = name[i].view(np.uint64)
+    return found, name, offset
+
+
+def _joined(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges that meet or overlap as one; they come by group, a number from 0 on, and start."""
+    if not len(group):
+        return group, start, end
+    far = int(end.max()) + 2
+    base = group.astype(np.int64) * far
+    reach = np.maximum.accumulate(base + end)
+    new = np.flatnonzero(np.append(True, (base + start)[1:] > reach[:-1]))
+    last = np.append(new[1:], len(group)) - 1
+    return group[new], start[new], reach[last] - base[last]
+
+
+def _packed_runs(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, groups: int) -> list[tuple]:
+    """A row for each group of texts."""
+    part = keys % groups
+    by = np.argsort(part, kind="stable")
+    keys, starts, ends, part = keys[by], starts[by].astype(np.int32), ends[by].astype(np.int32), part[by]
+    begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() if len(part) else []
+    return [(int(part[a]), keys[a:b].tobytes(), starts[a:b].tobytes(), ends[a:b].tobytes()) for a, b in zip(begin, [*begin[1:], len(part)])]
 
 
 class SuffixOrder:
@@ -386,71 +486,87 @@ class SuffixOrder:
         return order
 
 
-def _sorted_out(rows: pd.DataFrame, length: int) -> list[tuple]:
-    """(key, start, end) of the strings that a smaller id has too; whole anchors."""
-    out: list[tuple] = []
-    anchor = rows["anchor"].to_numpy()
-    many = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-    size = np.repeat(np.diff(np.append(many, len(anchor))), np.diff(np.append(many, len(anchor))))
-    rows = rows[size > 1]
-    if not len(rows):
-        return out
+def _settled(rows: list, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, starts, ends) of the strings that a smaller id has too; whole anchors, a slice of them at a time."""
+    anchor, key, id_, start, strings, offset = (
+        np.concatenate([np.frombuffer(getattr(r, c), kind) for r in rows]) for c, kind in KINDS.items()
+    )
+    width = 2 * length - gram
+    data = np.frombuffer(b"".join([*[r.bytes for r in rows], bytes(width)]), np.uint8)
+    begin = np.cumsum(strings + (length - 1), dtype=np.int64) - strings - (length - 1)
+    windows = np.lib.stride_tricks.sliding_window_view(data, width)
+    by = np.lexsort((id_, anchor))
+    several = anchor[by][1:] == anchor[by][:-1]
+    by = by[np.append(several, False) | np.append(False, several)]  # anchors of one context end here
+    ends = np.append(np.flatnonzero(anchor[by][1:] != anchor[by][:-1]) + 1, len(by))
+    done = 0
+    while done < len(by):
+        end = ends[max(np.searchsorted(ends, done + SLICE, "right") - 1, np.searchsorted(ends, done, "right"))]
+        some = by[done:end]
+        yield _sorted_out(*[x[some] for x in (anchor, key, id_, start, strings, offset)], windows[begin[some]], length)
+        done = end
+
+
+def _sorted_out(anchor, key, id_, start, strings, offset, windows, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, starts, ends) of the strings that a smaller id has too; contexts come by anchor and id."""
+    data = windows.reshape(-1)
+    order = SuffixOrder(data, length)
+    begin = np.arange(len(windows)) * windows.shape[1]
+    size = strings + length - 1
     # equal contexts: all but the smallest id go, the rest is sorted
-    firsts: dict = {}
-    kept = []
-    names = [c.split()[0] for c in CONTEXT.split(", ")]
-    for r in zip(*[rows[c].tolist() for c in names]):
-        anchor, _, key, id_, start, strings, offset, part = r
-        first = firsts.setdefault((anchor, offset, part), id_)
-        if id_ > first:
-            out.append((key, start, start + strings + length - 1))
-        else:  # rows come by id, so it is the first one, or has the same id
-            kept.append(r)
-    kept = [Context._make(r) for r in kept]
-    count = np.array([r.strings for r in kept])
-    data = np.frombuffer(b"".join([r.bytes for r in kept]), np.uint8)
-    begin = np.cumsum([0, *[len(r.bytes) for r in kept]])[:-1]
-    own = np.repeat(np.arange(len(kept)), count)
+    first = _first_equal(anchor, offset, strings, (order.sums[begin + size] - order.sums[begin]) * order.down[begin])
+    settled = np.zeros(len(anchor), bool)
+    i = np.flatnonzero(id_[first] < id_)
+    j = first[i]
+    settled[i] = (anchor[i] == anchor[j]) & (offset[i] == offset[j]) & (size[i] == size[j]) & _equal_bytes(windows[i], windows[j], size[i])
+    out = [(key[settled], start[settled], (start + size)[settled])]
+
+    def found() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    kept = np.flatnonzero(~settled)
+    several = anchor[kept][1:] == anchor[kept][:-1]
+    kept = kept[np.append(several, False) | np.append(False, several)] if len(kept) else kept
+    if not len(kept):
+        return found()
+    count = strings[kept]
+    own = np.repeat(kept, count)
     nth = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-    start = begin[own] + nth
-    _, group = np.unique(np.array([r.anchor for r in kept]), return_inverse=True)
-    place = np.array([r.offset for r in kept])[own] - nth
-    segment = group[own] * (length + 1) + place
-    # suffixes alone in their segment need no comparison
-    _, which, alone = np.unique(segment, return_inverse=True, return_counts=True)
-    take = alone[which] > 1
-    own, nth, start, segment = own[take], nth[take], start[take], which[take]
-    if not len(own):
-        return out
-    order = SuffixOrder(data, length)
-    # nor do those whose first bytes have a hash of their own: no other suffix begins like them
-    whole = order.window(start) ^ (segment.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, which, alone = np.unique(whole, return_inverse=True, return_counts=True)
-    take = alone[which] > 1
-    own, nth, start, segment = own[take], nth[take], start[take], segment[take]
+    at = begin[own] + nth
+    group = np.cumsum(np.append(True, anchor[1:] != anchor[:-1]))
+    segment = group[own] * (length + 1) + offset[own] - nth
+    # suffixes whose first bytes have a hash of their own need no comparison: no other suffix begins like them
+    whole = order.window(at) ^ (segment.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    by = np.sort(whole)
+    twice = by[1:][by[1:] == by[:-1]]
+    take = _among(whole, twice)
+    own, nth, at, segment = own[take], nth[take], at[take], segment[take]
     if not len(own):
-        return out
-    by = order.sort(segment, start)
-    own, nth, start, segment = own[by], nth[by], start[by], segment[by]
-    near = (segment[1:] == segment[:-1]) & (order.common(start[1:], start[:-1]) >= length)
-    at = np.flatnonzero(near)
+        return found()
+    by = order.sort(segment, at)
+    own, nth, at, segment = own[by], nth[by], at[by], segment[by]
+    near = (segment[1:] == segment[:-1]) & (order.common(at[1:], at[:-1]) >= length)
+    pairs = np.flatnonzero(near)
     window = np.arange(length)
-    for a in range(0, len(at), 1 << 16):
-        some = at[a : a + (1 << 16)]
-        if (data[start[some + 1][:, None] + window] != data[start[some][:, None] + window]).any():
-            return out + _by_bytes(kept, length)  # equal hashes of different bytes
-    ids = np.array([r.id for r in kept], np.int64)[own]
+    for a in range(0, len(pairs), SLICE):
+        some = pairs[a : a + SLICE]
+        if (data[at[some + 1][:, None] + window] != data[at[some][:, None] + window]).any():
+            # equal hashes of different bytes
+            rows = [Context(*r[:-1], r[-1].tobytes()) for r in zip(*[x[kept].tolist() for x in (anchor, key, id_, start, strings, offset)], windows[kept])]
+            out.append(tuple(np.array(x, np.int64) for x in zip(*_by_bytes(rows, length))) or (key[:0], start[:0], start[:0]))
+            return found()
+    ids = id_[own]
     begin_run = np.flatnonzero(np.append(True, ~near))
     least = np.repeat(np.minimum.reduceat(ids, begin_run), np.diff(np.append(begin_run, len(ids))))
     gone = ids > least
     own, nth = own[gone], nth[gone]
     by = np.lexsort((nth, own))
     own, nth = own[by], nth[by]
-    cut = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (nth[1:] != nth[:-1] + 1))) if len(own) else []
-    for a, b in zip(cut, [*cut[1:], len(own)]):
-        r = kept[own[a]]
-        out.append((r.key, int(r.start + nth[a]), int(r.start + nth[b - 1] + length)))
-    return out
+    if len(own):
+        new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (nth[1:] != nth[:-1] + 1)))
+        last = np.append(new[1:], len(own)) - 1
+        out.append((key[own[new]], start[own[new]] + nth[new], start[own[last]] + nth[last] + length))
+    return found()
 
 
 def _by_bytes(kept: list, length: int) -> list[tuple]:
@@ -464,49 +580,62 @@ def _by_bytes(kept: list, length: int) -> list[tuple]:
     return [(r.key, r.start + i, r.start + i + length) for r, i, s in strings if r.id > least[s]]
 
 
-def _removed(contexts: DataFrame, length: int) -> DataFrame:
-    """(key, start, end) of the runs to remove."""
+def _removed(contexts: DataFrame, length: int, gram: int, groups: int) -> DataFrame:
+    """(key, starts, ends) of the runs to remove from each text."""
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        size = 0
+        """Whole buckets at a time; the runs of several buckets go out together."""
+        held: list = []
+        ready: list[tuple] = []
+
+        def packed(ready: list[tuple]) -> pd.DataFrame:
+            rows = _packed_runs(*[np.concatenate(x) for x in zip(*ready)], groups) if ready else []
+            return pd.DataFrame(rows, columns=[c.split()[0] for c in RUNS.split(", ")])
+
         for batch in batches:
-            done = batch[batch["kind"] == 1]
-            if len(done):
-                yield pd.DataFrame(
-                    {"key": done["key"], "start": done["start"], "end": done["start"] + done["strings"] + length - 1}
-                )
-            batch = batch[batch["kind"] == 0]
-            if not len(batch):
-                continue
-            held.append(batch)
-            size += len(batch)
-            if size > 1 << 14:  # all anchors but the last, which may go on in the next batch
-                rows = pd.concat(held)
-                last = rows["anchor"].to_numpy() == rows["anchor"].iloc[-1]
-                yield _runs(_sorted_out(rows[~last], length))
-                held = [rows[last]]
-                size = len(held[0])
+            for r in batch.itertuples(index=False):
+                if r.kind == 1:
+                    ready.append(tuple(np.frombuffer(x, kind) for x, kind in ((r.keys, np.int64), (r.starts, np.int32), (r.offsets, np.int32))))
+                    continue
+                if held and r.bucket != held[-1].bucket:
+                    ready.extend(_settled(held, length, gram))
+                    held = []
+                held.append(r)
+            if sum(len(k) for k, *_ in ready) > 1 << 20:
+                yield packed(ready)
+                ready = []
         if held:
-            yield _runs(_sorted_out(pd.concat(held), length))
-
-    dealt = contexts.repartition("anchor").sortWithinPartitions("kind", "anchor", "id")
-    return dealt.mapInPandas(settle, "key long, start int, end int")
+            ready.extend(_settled(held, length, gram))
+        yield packed(ready)
 
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The runs of each text, of all tasks; one group of texts at a time."""
+        found: list = []
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                if found and r.part != found[-1].part:
+                    yield _runs_by_text(found)
+                    found = []
+                found.append(r)
+        if found:
+            yield _runs_by_text(found)
 
-def _runs(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["key", "start", "end"])
-    return frame.astype({"key": "int64", "start": "int32", "end": "int32"})
+    dealt = contexts.repartition("bucket").sortWithinPartitions("kind", "bucket")
+    runs = common.materialize(dealt.mapInPandas(settle, RUNS), "suffix-runs")
+    return runs.repartition("part").sortWithinPartitions("part").mapInPandas(gather, "key long, starts binary, ends binary")
 
 
-def _merged(runs: list, n: int) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((r["start"], r["end"]) for r in runs):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
+def _runs_by_text(rows: list) -> pd.DataFrame:
+    key = np.concatenate([np.frombuffer(r.keys, np.int64) for r in rows])
+    start, end = (np.concatenate([np.frombuffer(getattr(r, c), np.int32) for r in rows]) for c in ("starts", "ends"))
+    by = np.lexsort((start, key))
+    keys, group = np.unique(key[by], return_inverse=True)
+    group, start, end = _joined(group, start[by], end[by])
+    start, end = start.astype(np.int32), end.astype(np.int32)
+    cuts = np.searchsorted(group, np.arange(len(keys) + 1)).tolist()
+    return pd.DataFrame(
+        {"key": keys, "starts": [start[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], "ends": [end[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]}
+    )
 
 
 def remove_repeats(
@@ -535,15 +664,14 @@ def remove_repeats(
         long.groupBy("key", F.md5(F.col("body").cast("binary")).alias("digest")).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")),
         "suffix-texts",
     )
-    wanted = hits.select("key", F.array("hashes").alias("hashes"))
+    wanted = hits
     if hots.isEmpty():
         wanted = wanted.withColumn("hot", F.lit(None).cast("array<bigint>"))
     else:
         wanted = wanted.join(_hot(hits, hots), "key", "left")
     wanted = wanted.join(digests.select("key", F.col("first_id").alias("id")), "key")
     texts = long.select("key", "id", "body").join(wanted, ["key", "id"]).select("key", "id", "body", "hashes", "hot")
-    gone = common.materialize(_removed(_contexts(texts, length, gram), length), "suffix-runs")
-    runs = gone.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    runs = _removed(_contexts(texts, length, gram, buckets), length, gram, buckets)
     copies = digests.where(F.col("copies") > 1).select("key", "digest", "first_id")
     firsts = copies.groupBy("key").agg(F.collect_list(F.struct("digest", "first_id")).alias("texts"))
     notes = common.materialize(runs.join(firsts, "key", "full"), "suffix-notes")
@@ -551,15 +679,16 @@ def remove_repeats(
     copy = F.exists(
         "texts", lambda t: (t["digest"] == F.md5(F.col("body").cast("binary"))) & (t["first_id"] < F.col("id"))
     )
-    noted = noted.select("doc_id", "body", "runs", (F.coalesce(copy, F.lit(False)) & (F.octet_length("body") >= length)).alias("copy"))
+    noted = noted.select("doc_id", "body", "starts", "ends", (F.coalesce(copy, F.lit(False)) & (F.octet_length("body") >= length)).alias("copy"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_kept else "")
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text, found, is_copy in zip(batch["doc_id"].astype("object"), batch["body"], batch["runs"], batch["copy"]):
+            for doc_id, text, starts, ends, is_copy in zip(batch["doc_id"].astype("object"), batch["body"], batch["starts"], batch["ends"], batch["copy"]):
                 raw = text.encode("utf-8", "surrogatepass")
-                spans = [(0, len(raw))] if is_copy else _merged(found if found is not None else [], len(raw))
+                found = [] if starts is None else zip(np.frombuffer(starts, np.int32).tolist(), np.frombuffer(ends, np.int32).tolist())
+                spans = [(0, len(raw))] if is_copy else list(found)
                 at, left = 0, []
                 for a, b in spans:
                     left.append(raw[at:a])

@@ -144,3 +144,53 @@ def test_components(spark, seed):
     expected = {x: find(x) for e in edges if e[0] != e[1] for x in e}
     found = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {x["node"]: x["component"] for x in found} == expected and len(found) == len(expected)
+
+
+def test_contexts_go_to_python_by_buckets(spark, monkeypatch):
+    """A chunk sends a row for each bucket of anchors, not for each context, and a text's runs come in one row."""
+    seen = {}
+    once = suffixes._removed
+    monkeypatch.setattr(suffixes, "_removed", lambda contexts, *a: seen.setdefault("runs", once(seen.setdefault("contexts", contexts), *a)))
+    r = random.Random(5)
+    passages = [" ".join(f"w{r.randrange(5000)}" for _ in range(300)) for _ in range(4)]
+    rows = [(i, f"{i} own words of {i * i} " + r.choice(passages) + f" {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = suffixes.remove_repeats(df).collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, brute.remove_repeats(rows)))
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert seen["contexts"].count() <= 4 * 2 * buckets
+    assert seen["runs"].count() == len({x["key"] for x in seen["runs"].collect()}) <= 200
+
+
+@pytest.mark.parametrize("bound", [1, 7, 1 << 14])
+def test_slices_of_whole_anchors(monkeypatch, bound):
+    """Anchors of many contexts, and many anchors, give the same runs in slices of any size."""
+    from types import SimpleNamespace as Row
+
+    monkeypatch.setattr(suffixes, "SLICE", bound)
+    r = random.Random(6)
+    length, gram = 12, 4
+    contexts = []
+    for n in range(300):
+        strings = r.randrange(1, length - gram + 2)
+        text = "".join(r.choices("ab", k=strings + length - 1)).encode()
+        contexts.append((r.randrange(-9, 9) if n % 3 else 5, n, r.randrange(40), r.randrange(50), strings, strings - 1, text))
+    least: dict = {}
+    for anchor, _, id_, _, strings, offset, text in contexts:
+        for i in range(strings):
+            name = anchor, offset - i, text[i : i + length]
+            least[name] = min(least.get(name, id_), id_)
+    expected = {
+        (n, start + i + j)
+        for anchor, n, id_, start, strings, offset, text in contexts
+        for i in range(strings) if least[anchor, offset - i, text[i : i + length]] < id_
+        for j in range(length)
+    }
+    names = list(suffixes.KINDS.items())
+    parts = [contexts[:100], contexts[100:]]
+    rows = [Row(**{c: np.array([x[k] for x in p], t).tobytes() for k, (c, t) in enumerate(names)}, bytes=b"".join(x[-1] for x in p)) for p in parts]
+    found = set()
+    for keys, starts, ends in suffixes._settled(rows, length, gram):
+        for key, a, b in zip(keys.tolist(), starts.tolist(), ends.tolist()):
+            found.update((key, x) for x in range(a, b))
+    assert found == expected and expected
