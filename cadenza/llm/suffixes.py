@@ -12,7 +12,8 @@ the suffixes are sorted where they can matter, without losing any:
    all but the one of the smallest id go.  What is left is sorted: suffixes of one
    anchor and offset, by mergesort, where two suffixes are compared by a binary
    search for their common extension on prefix polynomial hashes; a suffix whose first
-   ``length`` bytes have a hash of their own is left out.  Neighbours of
+   ``length`` bytes have a hash of their own is left out, and of those that share one
+   hash one is sorted and places the others.  Neighbours of
    ``length`` common bytes are equal strings, which is verified on the bytes.
 3. The runs found are merged per document and cut from its text.
 
@@ -543,7 +544,11 @@ def _sorted_out(anchor, key, id_, start, strings, offset, windows, length: int)
     own, nth, at, segment = own[take], nth[take], at[take], segment[take]
     if not len(own):
         return found()
-    by = order.sort(segment, at)
+    # of those that share it one is sorted, and the others take its place
+    _, one, same = np.unique(whole[take], return_index=True, return_inverse=True)
+    place = np.empty(len(one), np.int64)
+    place[order.sort(segment[one], at[one])] = np.arange(len(one))
+    by = np.lexsort((segment, place[same]))
     own, nth, at, segment = own[by], nth[by], at[by], segment[by]
     near = (segment[1:] == segment[:-1]) & (order.common(at[1:], at[:-1]) >= length)
     pairs = np.flatnonzero(near)
